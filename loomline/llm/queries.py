@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, chat_format, language_id, quality_rules, secret_scan
+from loomline.llm import bpe, chat_format, language_id, quality_rules, secret_scan, simhash
 from loomline.llm.common import table
 
 #: Conversation -1: control strings in both turns.
@@ -22,6 +22,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_secret_scan": op3_secret_scan,
+    "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
