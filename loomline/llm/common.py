@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,8 @@ def stored(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    gc.collect()
+    jvm.System.gc()  # what only the written plan needed, its shuffle files above all, can go now and not in half an hour
     return spark.read.schema(df.schema).parquet(path)
 
 
