@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, chat_format, language_id, quality_rules, secret_scan, simhash, suffix_dedup
+from loomline.llm import bpe, chat_format, language_id, packing, quality_rules, secret_scan, sharding, simhash, suffix_dedup
 from loomline.llm.common import table
 
 #: Conversation -1: control strings in both turns.
@@ -34,6 +34,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), bpe.default_path())
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -51,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op6_packing": op6_packing,
+    "op7_sharding": op7_sharding,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
 }
