@@ -146,7 +146,7 @@ def _compared(scheme: Scheme, starts: np.ndarray, sizes: np.ndarray, f: np.ndarr
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     small = sizes <= 48
     ends = np.repeat(starts[small] + sizes[small], sizes[small])
-    rows = np.concatenate([np.arange(s, s + n) for s, n in zip(starts[small], sizes[small], strict=True)]) if small.sum() < 64 else _ranges(starts[small], sizes[small])
+    rows = _ranges(starts[small], sizes[small])
     for step in range(1, int(sizes[small].max(initial=1))):
         keep = rows + step < ends
         rows, ends = rows[keep], ends[keep]
