@@ -44,13 +44,14 @@ def _buckets(code: np.ndarray, order: int, bits: int) -> np.ndarray:
     return (h >> np.uint64(7)) & np.uint64((1 << bits) - 1)
 
 
-def _pieces(text: str) -> Iterator[str]:
-    """Overlapping pieces in which each n-gram of the text starts exactly once, but for the overlap's start."""
+def _pieces(text: str) -> Iterator[tuple[str, int]]:
+    """(piece, n): pieces of a text, the last n characters of which start no n-gram but in the next piece."""
     for at in range(0, max(len(text), 1), _BLOCK):
-        yield text[at : at + _BLOCK + ORDERS[-1] - 1]
+        piece = text[at : at + _BLOCK + ORDERS[-1] - 1]
+        yield piece, max(0, len(piece) - _BLOCK) if at + _BLOCK < len(text) else 0
 
 
-def _ngrams(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _ngrams(texts: list[str], overlaps: list[int], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, starts): the buckets of all n-grams, text after text, and where each text's begin.
 
     Each text has ``orders x (length + 1)`` entries; those that start no n-gram point to the extra zero row.
@@ -65,28 +66,31 @@ def _ngrams(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
             for back in range(order):  # n-grams that hold or cross a text's end
                 at = ends - 1 - back
                 table[at[at >= 0], k] = 1 << bits
+    for end, n in zip(ends, overlaps, strict=True):
+        if n:
+            table[end - 1 - n : end] = 1 << bits
     return table.ravel(), (ends - lengths) * len(ORDERS)
 
 
 def _scored(texts: list[str], model: Model, bits: int) -> np.ndarray:
     out = np.zeros((len(texts), len(model.langs)))
-    batch: list[str] = []
+    batch: list[tuple[str, int]] = []
     of: list[int] = []
     size = 0
 
     def flush() -> None:
         nonlocal batch, of, size
         if batch:
-            buckets, starts = _ngrams(batch, bits)
+            buckets, starts = _ngrams(*map(list, zip(*batch, strict=True)), bits)
             np.add.at(out, of, np.add.reduceat(model.log_prob[buckets], starts, axis=0))
         batch, of, size = [], [], 0
 
     for i, text in enumerate(texts):
         low = text.lower()
-        for piece in _pieces(low) if len(low) > _BLOCK else (low,):
+        for piece in _pieces(low):
             batch.append(piece)
             of.append(i)
-            size += len(piece)
+            size += len(piece[0])
             if size >= _BLOCK // 4:
                 flush()
     flush()
@@ -112,8 +116,8 @@ def fit(docs: DataFrame, train_docs_per_lang: int = 1500, bits: int = 15, smooth
         totals: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for piece in _pieces(text.as_py().lower()):
-                    got = np.bincount(_ngrams([piece], bits)[0], minlength=(1 << bits) + 1)
+                for piece, overlap in _pieces(text.as_py().lower()):
+                    got = np.bincount(_ngrams([piece], [overlap], bits)[0], minlength=(1 << bits) + 1)
                     totals[lang] = totals[lang] + got if lang in totals else got
         for lang, total in totals.items():
             at = np.flatnonzero(total[:-1])
@@ -130,31 +134,44 @@ def fit(docs: DataFrame, train_docs_per_lang: int = 1500, bits: int = 15, smooth
     return Model(langs, log_prob, np.log(prior / prior.sum()) if langs else prior)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], bits: int = 15) -> DataFrame:
-    """The columns ``keep`` with lang_pred and score; of the others only text is read."""
+def _judged(texts: list[str], m: Model, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    letters = np.array([bool(_LETTER.search(x)) for x in texts], bool)
+    pred = np.full(len(texts), "und", object)
+    score = np.zeros(len(texts))
+    if m.langs and letters.any():
+        at = np.flatnonzero(letters)
+        s = _scored([texts[i] for i in at], m, bits)
+        pred[at] = np.array(m.langs, object)[s.argmax(1)]
+        score[at] = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
+    return pred, score
+
+
+def predict(docs: DataFrame, model: Model, bits: int = 15) -> DataFrame:
+    """doc_id, lang_pred and score of every document; only text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields if f.name in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string", "score double"])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
-            texts = [x or "" for x in b.column(0).to_pylist()]
-            letters = np.array([bool(_LETTER.search(x)) for x in texts], bool)
-            pred = np.full(len(texts), "und", object)
-            score = np.zeros(len(texts))
-            if m.langs and letters.any():
-                at = np.flatnonzero(letters)
-                s = _scored([texts[i] for i in at], m, bits)
-                best = s.argmax(1)
-                pred[at] = np.array(m.langs, object)[best]
-                score[at] = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*(f.name for f in fields), "lang_pred", "score"])
+            pred, score = _judged([x or "" for x in b.column(1).to_pylist()], shared.value, bits)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, model: Model, bits: int = 15) -> DataFrame:
+    """The rows of docs whose text has a language, all columns as they are; ``und`` is rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [x or "" for x in b.column(b.schema.get_field_index("text")).to_pylist()]
+            yield b.filter(pa.array(_judged(texts, shared.value, bits)[0] != "und"))
 
-    return docs.select(F.col("text").alias("_text"), *(f"`{f.name}`" for f in fields)).mapInArrow(scored, schema)
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def identify(docs: DataFrame, train_docs_per_lang: int = 1500) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
-    out = predict(docs, fit(docs, train_docs_per_lang), ["doc_id"])
+    out = predict(docs, fit(docs, train_docs_per_lang))
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

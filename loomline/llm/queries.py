@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, chat_format, language_id, packing, quality_rules, secret_scan, sharding, simhash, suffix_dedup
+from loomline.llm import ann, bpe, chat_format, language_id, packing, quality_rules, secret_scan, sharding, simhash, suffix_dedup
 from loomline.llm.common import table
 
 #: Conversation -1: control strings in both turns.
@@ -42,6 +42,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
+    "op8_nearest": op8_nearest,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
 }
