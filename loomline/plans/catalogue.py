@@ -1,7 +1,665 @@
-"""The registered queries over the driver's tables, each with its SQL."""
+"""The registered queries over the driver's tables, each with DuckDB SQL that gives the same rows.
+
+``documents.text`` has no comments or code in it; queries on code wrap it into a synthetic file first.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = "clean_code_profile"
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomline.functions import keys
+from loomline.functions import text as T
+from loomline.operators import diffs, entities, extract, fragments, instructions, lines, profile, retrieval
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+FLAGSHIP = "clean_code_profile"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if SQL can express it."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*columns) if columns else df
+
+
+def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents", *columns)
+
+
+def _code() -> Column:
+    """A documented one-line function around each document."""
+    return F.concat(F.lit("/** "), F.col("text"), F.lit(" */\nint  f"), F.col("doc_id"), F.lit("( int a ) ; // "), F.col("source"), F.lit("\n"))
+
+
+_CODE = "'/** ' || text || ' */' || chr(10) || 'int  f' || doc_id || '( int a ) ; // ' || source || chr(10)"
+_BLANKS = "' ' || chr(9) || chr(13) || chr(12) || chr(11)"
+
+
+def _sql_clean_code(c: str) -> str:
+    for pattern, to in ((r"(?s)/\*.*?\*/", ""), (r"//[^\n]*", ""), (r"[ \t]+", " "), (r" ([<>{}\[\]();,&*:])", r"\1"), (r"([<>{}\[(:*&]) ", r"\1")):
+        c = f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
+    return f"array_to_string(list_filter(list_transform(string_split({c}, chr(10)), lambda x: trim(x, {_BLANKS})), lambda x: x <> ''), chr(10))"
+
+
+def _sql_tokens(c: str) -> str:
+    return f"CAST(len(regexp_extract_all({c}, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\r\\n\\f]')) AS BIGINT)"
+
+
+def _sql_replace(c: str, *steps: tuple[str, str]) -> str:
+    for pattern, to in steps:
+        c = f"regexp_replace({c}, '{pattern}', {to}, 'g')"
+    return c
+
+
+# Text ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {_sql_clean_code(_CODE)} AS code FROM documents")
+def clean_code_text(spark, sf_dir):
+    return _docs(spark, sf_dir, "doc_id", "text", "source").select("doc_id", T.clean_cpp_code(_code()).alias("code"))
+
+
+_DOCSTRING = _sql_replace(
+    "'/**' || chr(10) || '****' || chr(10) || ' * ' || replace(text, '. ', '.  ' || chr(10) || '  *  ') || chr(10) || '---' || chr(10) || ' */'",
+    (r"(?m)^[*+-]+$", "''"),
+    (r"(?m)^/\*\*|\*/", "''"),
+    (r"(?m)^[ \t\r\n\f]*\* ?", "''"),
+    (r"(?m)^-+$", "''"),
+    (r"[ \t]{2,}", "' '"),
+    (r" *\n *", "chr(10)"),
+    (r"\n{2,}", "chr(10)"),
+    (r"(?m)^[*+-]+$", "''"),
+    (r"\n{2,}", "chr(10)"),
+)
+
+
+@query(f"SELECT doc_id, trim({_DOCSTRING}, {_BLANKS} || chr(10)) AS docstring FROM documents")
+def clean_docstring_text(spark, sf_dir):
+    doc = F.concat(F.lit("/**\n****\n * "), F.replace("text", F.lit(". "), F.lit(".  \n  *  ")), F.lit("\n---\n */"))
+    return _docs(spark, sf_dir, "doc_id", "text").select("doc_id", T.clean_docstring(doc).alias("docstring"))
+
+
+_COMMENT = "'//-----' || chr(10) || '//  ' || replace(text, '. ', '.' || chr(10) || '//-+ ') || ' @{ x @}' || chr(10) || '//' || chr(10) || '//==='"
+
+
+@query(
+    f"""SELECT doc_id, trim(regexp_replace(array_to_string(list_filter(list_transform(list_filter(list_transform(string_split({_COMMENT}, chr(10)),
+    lambda x: trim(x, {_BLANKS})), lambda x: x <> '' AND NOT regexp_matches(x, '^//[-+=]+[ \\t]*$') AND NOT regexp_matches(x, '^//[-+]*[ \\t]*$')),
+    lambda x: trim(regexp_replace(regexp_replace(x, '^//[-+]*[ \\t]*', ''), '@[{{}}]', '', 'g'), {_BLANKS})), lambda x: x <> ''), ' '),
+    '[ \\t\\r\\f]+', ' ', 'g'), {_BLANKS} || chr(10)) AS comment FROM documents"""
+)
+def clean_comment_text(spark, sf_dir):
+    comment = F.concat(F.lit("//-----\n//  "), F.replace("text", F.lit(". "), F.lit(".\n//-+ ")), F.lit(" @{ x @}\n//\n//==="))
+    return _docs(spark, sf_dir, "doc_id", "text").select("doc_id", T.clean_comment(comment).alias("comment"))
+
+
+_INDENT = "chr(10) || '  ' || chr(10) || chr(9) || replace(text, '. ', '.  ' || chr(10) || chr(10) || chr(9) || chr(10) || chr(10) || chr(9)) || chr(10) || ' '"
+
+
+@query(
+    f"""SELECT doc_id, regexp_replace(replace(regexp_replace(regexp_replace(array_to_string(list_transform(string_split({_INDENT}, chr(10)),
+    lambda x: rtrim(x, {_BLANKS})), chr(10)), '^\\n+', ''), '\\n+$', ''), chr(9), '    '), '\\n{{3,}}', chr(10) || chr(10), 'g') AS code FROM documents"""
+)
+def normalize_indent(spark, sf_dir):
+    code = F.concat(F.lit("\n  \n\t"), F.replace("text", F.lit(". "), F.lit(".  \n\n\t\n\n\t")), F.lit("\n "))
+    return _docs(spark, sf_dir, "doc_id", "text").select("doc_id", T.normalize_indent(code).alias("code"))
+
+
+@query(
+    f"""SELECT doc_id, trim(array_to_string(list_filter(string_split(replace(text, '. ', '.' || chr(10) || '# '), chr(10)), lambda x: NOT starts_with(x, '#')), chr(10)),
+    {_BLANKS} || chr(10)) AS text FROM documents"""
+)
+def drop_hash_lines(spark, sf_dir):
+    return _docs(spark, sf_dir, "doc_id", "text").select("doc_id", T.drop_hash_lines(F.replace("text", F.lit(". "), F.lit(".\n# "))).alias("text"))
+
+
+@query(
+    f"""SELECT doc_id, array_to_string(regexp_extract_all({_CODE} || '\"\"\"' || source || '\"\"\" x', '(?s)(\"\"\".*?\"\"\"|''''''.*?''''''|/\\*\\*.*?\\*/)'), chr(10)) AS docstring FROM documents"""
+)
+def docstring_blocks(spark, sf_dir):
+    text = F.concat(_code(), F.lit('"""'), F.col("source"), F.lit('""" x'))
+    return _docs(spark, sf_dir, "doc_id", "text", "source").select("doc_id", T.docstring_blocks(text).alias("docstring"))
+
+
+_ANSWER = "'draft' || chr(10) || '@note b' || chr(10) || text || chr(10) || ' @brief ' || source || chr(10) || '@note b' || chr(10) || '@return' || ' tail'"
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, {_ANSWER} AS c FROM documents), b AS (SELECT doc_id, substr(c, strpos(c, '@brief')) AS c FROM a),
+    l AS (SELECT doc_id, unnest(string_split(substr(c, 1, strpos(c, '@return') + 6), chr(10))) AS line, generate_subscripts(string_split(substr(c, 1, strpos(c, '@return') + 6), chr(10)), 1) AS i FROM b),
+    f AS (SELECT doc_id, trim(line, {_BLANKS}) AS bare, arg_min(line, i) AS line, min(i) AS i FROM l WHERE trim(line, {_BLANKS}) <> '' GROUP BY ALL)
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS response FROM f GROUP BY doc_id"""
+)
+def clean_response(spark, sf_dir):
+    text = F.concat(F.lit("draft\n@note b\n"), F.col("text"), F.lit("\n @brief "), F.col("source"), F.lit("\n@note b\n@return tail"))
+    return _docs(spark, sf_dir, "doc_id", "text", "source").select("doc_id", T.clean_response(text).alias("response"))
+
+
+@query(
+    f"""SELECT doc_id, trim(substr(c, 1, strpos(c, '{{') - 1), {_BLANKS} || chr(10)) AS declaration, trim(substr(c, strpos(c, '{{')), {_BLANKS} || chr(10)) AS body
+    FROM (SELECT doc_id, 'int f' || doc_id || '(int a) {{ ' || text || ' }}' AS c FROM documents)"""
+)
+def decl_body_split(spark, sf_dir):
+    code = F.concat(F.lit("int f"), F.col("doc_id"), F.lit("(int a) { "), F.col("text"), F.lit(" }"))
+    return _docs(spark, sf_dir, "doc_id", "text").select("doc_id", T.split_declaration(code).alias("x")).select("doc_id", "x.declaration", "x.body")
+
+
+_THOUGHT = "'<think>' || text || '</think> ' || role || ' </think> ' || conv_id || ' '"
+
+
+@query(
+    f"""SELECT conv_id, turn, trim(substr(c, strpos(c, '</think>') + 8), {_BLANKS} || chr(10)) AS first_cut, trim(string_split(c, '</think>')[-1], {_BLANKS} || chr(10)) AS last_cut
+    FROM (SELECT conv_id, turn, {_THOUGHT} AS c FROM conversations)"""
+)
+def strip_reasoning(spark, sf_dir):
+    c = F.concat(F.lit("<think>"), F.col("text"), F.lit("</think> "), F.col("role"), F.lit(" </think> "), F.col("conv_id"), F.lit(" "))
+    return _t(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").select("conv_id", "turn", T.strip_reasoning(c).alias("first_cut"), T.strip_reasoning(c, last=True).alias("last_cut"))
+
+
+@query(
+    f"""SELECT doc_id, {_sql_tokens("text")} AS tokens, CAST(floor(tokens * 3.5) AS BIGINT) AS est_chars, round(0.8 * length(text) / greatest(tokens, 1), 6) AS chars_per_token FROM documents"""
+)
+def token_counts(spark, sf_dir):
+    tokens = T.token_count(F.col("text"))
+    rows = _docs(spark, sf_dir, "doc_id", "text").select("doc_id", F.length("text").alias("n"), tokens.alias("tokens"))
+    return rows.select("doc_id", "tokens", F.floor(F.col("tokens") * 3.5).cast("long").alias("est_chars"), F.round(0.8 * F.col("n") / F.greatest("tokens", F.lit(1)), 6).alias("chars_per_token"))
+
+
+# Identifiers -----------------------------------------------------------------------------------------------------
+
+_ID = """SELECT doc_id, kind, path, n_chars AS line, doc_id % 80 AS col, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'f' || doc_id END AS name
+    FROM (SELECT *, upper(lang) || '_DECL' AS kind, source || '/a:b.cpp' AS path FROM documents)"""
+
+
+@query(
+    f"""WITH e AS ({_ID}), n AS (SELECT *, CASE WHEN name = '' THEN substr(kind, 1, 5) || '-' || path || '-' || line || '-' || col ELSE name END AS made FROM e)
+    SELECT doc_id, made AS name, substr(kind, 1, 5) || '_' || substr(sha256(CASE WHEN name = '' THEN made ELSE kind || '-' || replace(path, ':', '_') || '-' || line || '-' || col || '-' || made END), 1, 12) AS id FROM n"""
+)
+def element_ids(spark, sf_dir):
+    kind, path, line, col = F.concat(F.upper("lang"), F.lit("_DECL")), F.concat("source", F.lit("/a:b.cpp")), F.col("n_chars"), F.col("doc_id") % 80
+    name = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit("f"), F.col("doc_id")))
+    return _docs(spark, sf_dir).select("doc_id", keys.generated_name(kind, name, path, line, col).alias("name"), keys.element_id(kind, name, path, line, col).alias("id"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'class_decl_' || source || '_' END || 'f' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '_const_' ELSE '' END ||
+    CASE WHEN doc_id % 5 = 0 THEN '' ELSE '_int_' || lang END AS function_key, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'class_decl_' || source || '_' END || 'enum_decl_f' || doc_id AS class_key,
+    'f' || doc_id || ':int:' || lang AS overload_id FROM documents"""
+)
+def entity_keys(spark, sf_dir):
+    kind = F.when(F.col("doc_id") % 3 == 0, "translation_unit").otherwise("class_decl")
+    name = F.concat(F.lit("f"), F.col("doc_id"))
+    types = F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("int"), F.col("lang")))
+    return _docs(spark, sf_dir, "doc_id", "lang", "source").select(
+        "doc_id",
+        keys.function_key(kind, F.col("source"), name, F.col("doc_id") % 2 == 0, types).alias("function_key"),
+        keys.class_key(kind, F.col("source"), F.lit("enum_decl"), name).alias("class_key"),
+        keys.overload_id(name, F.array(F.lit("int"), F.col("lang"))).alias("overload_id"),
+    )
+
+
+# Lines -----------------------------------------------------------------------------------------------------------
+
+_LINES = "SELECT doc_id, unnest(string_split({0}, chr(10))) AS line, generate_subscripts(string_split({0}, chr(10)), 1) AS line_no FROM documents"
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, trim(line, {_BLANKS}) AS line FROM ({_LINES.format("text")}))
+    SELECT doc_id, line_no, coalesce(string_agg(line, chr(10) ORDER BY line_no) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS context_before,
+    string_agg(line, chr(10) ORDER BY line_no) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS context_after FROM l"""
+)
+def line_context(spark, sf_dir):
+    return lines.with_context(_docs(spark, sf_dir, "doc_id", "text"), "doc_id")
+
+
+@query(
+    f"""WITH l AS ({_LINES.format("text")}) SELECT doc_id, CAST(line_no AS INTEGER) AS line_no,
+    CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(length(line) AS INTEGER) AS length FROM l"""
+)
+def line_offsets(spark, sf_dir):
+    return lines.offsets(_docs(spark, sf_dir, "doc_id", "text"), "doc_id")
+
+
+_COMMENTED = "'/** ' || replace(text, '. ', '.' || chr(10)) || ' */' || chr(10) || 'int f; // no' || chr(10) || '  // ' || source || chr(10) || '/// ' || lang || chr(10) || 'a /* b */' || chr(10) || '/* lost' || chr(10) || 'x'"
+
+
+@query(
+    f"""WITH l AS ({_LINES.format(_COMMENTED)}),
+    m AS (SELECT *, contains(line, '/*') AND NOT contains(line, '*/') AS o, contains(line, '*/') AND NOT contains(line, '/*') AS c, contains(line, '/*') AND contains(line, '*/') AS closed FROM l),
+    s AS (SELECT *, coalesce(last_value(CASE WHEN o THEN 1 WHEN c THEN 0 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS inside FROM m),
+    g AS (SELECT *, o AND NOT inside AS begins, sum(CASE WHEN o AND NOT inside THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM s),
+    r AS (SELECT doc_id, min(line_no) AS line_no, 'block' AS type, string_agg(line, chr(10) ORDER BY line_no) AS text FROM g WHERE inside OR begins GROUP BY doc_id, block HAVING bool_or(c)
+    UNION ALL SELECT doc_id, line_no, 'block', line FROM g WHERE NOT inside AND closed
+    UNION ALL SELECT doc_id, line_no, 'line', line FROM g WHERE NOT inside AND NOT begins AND NOT closed AND NOT c AND starts_with(trim(line, {_BLANKS}), '//'))
+    SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, type, text, CASE WHEN regexp_matches(ltrim(text, {_BLANKS}), '^(/\\*\\*|/\\*!|///|//!)') THEN 'docstring' ELSE 'comment' END AS class FROM r"""
+)
+def comment_lines(spark, sf_dir):
+    text = F.concat(F.lit("/** "), F.replace("text", F.lit(". "), F.lit(".\n")), F.lit(" */\nint f; // no\n  // "), F.col("source"), F.lit("\n/// "), F.col("lang"), F.lit("\na /* b */\n/* lost\nx"))
+    return lines.comments(_docs(spark, sf_dir, "doc_id", "text", "source", "lang").select("doc_id", text.alias("text")), "doc_id")
+
+
+@query(
+    f"""WITH t AS ({_LINES.format("text")}), l AS (SELECT doc_id, 2 * line_no AS line_no, trim(line, {_BLANKS}) AS line FROM t
+    UNION ALL SELECT doc_id, 2 * line_no - 1, 'Class ''L' || line_no % 3 || ''' : method m' || line_no % 4 FROM t WHERE line_no % 5 = 1
+    UNION ALL SELECT doc_id, 0, 'preamble' FROM documents),
+    s AS (SELECT *, sum(CASE WHEN starts_with(line, 'Class ''L') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM l),
+    d AS (SELECT doc_id, section, min(line) FILTER (starts_with(line, 'Class ''L')) AS head, string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT starts_with(line, 'Class ''L')) AS doc FROM s WHERE section > 0 GROUP BY ALL)
+    SELECT doc_id, substr(head, 8, 2) AS class_name, regexp_extract(head, 'method (\\w+)', 1) AS method, arg_max(trim(doc, {_BLANKS} || chr(10)), section) AS doc FROM d GROUP BY ALL"""
+)
+def section_fold(spark, sf_dir):
+    rows = lines.explode_lines(_docs(spark, sf_dir, "doc_id", "text"), "doc_id")
+    n = F.col("line_no")
+    body = rows.select("doc_id", (2 * n).alias("line_no"), "line")
+    head = rows.where(n % 5 == 1).select("doc_id", (2 * n - 1).alias("line_no"), F.concat(F.lit("Class 'L"), n % 3, F.lit("' : method m"), n % 4).alias("line"))
+    start = _docs(spark, sf_dir, "doc_id").select("doc_id", F.lit(0).alias("line_no"), F.lit("preamble").alias("line"))
+    return lines.sections(body.unionByName(head).unionByName(start), "doc_id")
+
+
+# Entities --------------------------------------------------------------------------------------------------------
+
+_ENTITY = "SELECT d.doc_id, d.source || '_' || d.lang || '_' || d.doc_id % 9 AS key, coalesce(l.quality = 1, false) AS is_defined FROM documents d LEFT JOIN labels l USING (doc_id)"
+_FOLD = f"SELECT key, count(*) FILTER (is_defined) AS def_cnt, count(*) FILTER (NOT is_defined) AS decl_cnt, min(doc_id) FILTER (is_defined) AS first_def, min(doc_id) FILTER (NOT is_defined) AS first_decl FROM ({_ENTITY}) GROUP BY key"
+
+
+def _folded(spark, sf_dir):
+    rows = _docs(spark, sf_dir, "doc_id", "source", "lang").join(_t(spark, sf_dir, "labels", "doc_id", "quality"), "doc_id", "left")
+    key = F.concat_ws("_", "source", "lang", (F.col("doc_id") % 9).cast("string"))
+    rows = rows.select("doc_id", key.alias("key"), (F.col("quality") == 1).alias("is_defined"), "source")
+    return entities.fold(rows, ["key"], "doc_id", F.col("is_defined"), "doc_id", "source")
+
+
+@query(_FOLD)
+def fold_definitions(spark, sf_dir):
+    return _folded(spark, sf_dir).select("key", "def_cnt", "decl_cnt", F.col("definition.doc_id").alias("first_def"), F.col("declaration.doc_id").alias("first_decl"))
+
+
+@query(f"SELECT status, count(*) AS n FROM (SELECT CASE WHEN def_cnt = 0 THEN 'undefined' WHEN def_cnt > 1 THEN 'multi_defined' WHEN decl_cnt > 1 THEN 'multi_declared' ELSE 'ok' END AS status FROM ({_FOLD})) GROUP BY status")
+def review_status(spark, sf_dir):
+    return profile.counts(_folded(spark, sf_dir).select(entities.review_status().alias("status")), "status")
+
+
+@query(f"SELECT key, first_def FROM ({_FOLD}) WHERE def_cnt = 1 AND decl_cnt <= 1")
+def single_definition_only(spark, sf_dir):
+    return _folded(spark, sf_dir).where(entities.unique_definition()).select("key", F.col("definition.doc_id").alias("first_def"))
+
+
+@query(
+    f"""SELECT f.key, coalesce(nullif(CASE WHEN f.first_def % 2 = 0 THEN '' ELSE a.source END, ''), nullif(b.source, '')) AS docstring FROM ({_FOLD}) f LEFT JOIN documents a ON a.doc_id = f.first_def LEFT JOIN documents b ON b.doc_id = f.first_decl"""
+)
+def docstring_fallback(spark, sf_dir):
+    own = F.when(F.col("definition.doc_id") % 2 == 0, "").otherwise(F.col("definition.source"))
+    return _folded(spark, sf_dir).select("key", entities.first_text(own, F.col("declaration.source")).alias("docstring"))
+
+
+@query("SELECT md5(text) AS hash, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY md5(text)")
+def dedup_first(spark, sf_dir):
+    rows = _docs(spark, sf_dir, "doc_id", "text", "source").select(F.md5("text").alias("hash"), "doc_id", "source")
+    return entities.first_of(rows, ["hash"], "doc_id")
+
+
+@query("SELECT lang || source AS key, count(*) AS def_cnt, min(doc_id) AS first_id FROM documents GROUP BY lang || source")
+def fold_classes(spark, sf_dir):
+    rows = _docs(spark, sf_dir, "doc_id", "lang", "source").select(F.concat("lang", "source").alias("key"), "doc_id")
+    return entities.fold_first(rows, ["key"], "doc_id", "doc_id").select("key", "def_cnt", F.col("definition.doc_id").alias("first_id"))
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def upsert_latest(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value", "ts")
+    return entities.latest(rows, ["user_id", "event_type"], "ts", "event_id").drop("ts")
+
+
+@query("SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id)")
+def resume_pending(spark, sf_dir):
+    return entities.pending(_docs(spark, sf_dir, "doc_id", "lang"), _t(spark, sf_dir, "labels", "doc_id"), "doc_id")
+
+
+_RUN = "SELECT conv_id, any_value(text) AS text FROM conversations WHERE turn = {0} GROUP BY conv_id"
+
+
+@query(
+    f"""SELECT a.conv_id, coalesce(a.text, '') AS run_0, coalesce(b.text, '') AS run_1, coalesce(c.text, '') AS run_2
+    FROM ({_RUN.format(0)}) a LEFT JOIN ({_RUN.format(1)}) b USING (conv_id) LEFT JOIN ({_RUN.format(5)}) c USING (conv_id)"""
+)
+def doc_compare(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    runs = [rows.where(F.col("turn") == k).groupBy("conv_id").agg(F.any_value("text").alias("text")) for k in (0, 1, 5)]
+    return entities.compare_runs(runs, ["conv_id"], "text")
+
+
+@query(
+    """SELECT o_orderkey, len(list(l_partkey)) AS n_children, array_to_string(list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey), ',') AS children
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey"""
+)
+def parent_children(spark, sf_dir):
+    parents = _t(spark, sf_dir, "orders", "o_orderkey")
+    items = _t(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("place"), "l_partkey")
+    out = entities.attach(parents, items, "o_orderkey", F.col("l_partkey"), "place").where(F.size("children") > 0)
+    return out.select("o_orderkey", F.size("children").cast("long").alias("n_children"), F.array_join(F.transform("children", lambda x: x.cast("string")), ",").alias("children"))
+
+
+@query("SELECT p_type, count(DISTINCT p_brand) AS overload_count, count(DISTINCT p_brand) > 1 AS is_overloaded FROM part GROUP BY p_type")
+def overload_count(spark, sf_dir):
+    return entities.overloads(_t(spark, sf_dir, "part", "p_type", "p_brand"), ["p_type"], "p_brand")
+
+
+_LEVEL = "SELECT event_id, user_id, ts, CAST(length(event_type) % 3 AS INTEGER) AS level FROM events"
+_NEAR = "CASE level " + " ".join(f"WHEN {k} THEN last_value(CASE WHEN level <= {k} THEN event_id END IGNORE NULLS) OVER {{0}}" for k in range(3)) + " END"
+
+
+@query(
+    f"""SELECT event_id, level, {_NEAR.format("b")} AS prev, {_NEAR.format("a")} AS next FROM ({_LEVEL})
+    WINDOW b AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+)
+def prev_next_sibling(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type").select("event_id", "user_id", "ts", (F.length("event_type") % 3).alias("level"))
+    return entities.siblings(rows, ["user_id"], ["ts", "event_id"], "level", 3, "event_id").select("event_id", "level", "prev", "next")
+
+
+# Profiles --------------------------------------------------------------------------------------------------------
+
+_LENGTHS = f"SELECT doc_id, lang, source, {_sql_tokens(_sql_clean_code(_CODE))} AS n FROM documents"
+
+
+def _lengths(spark, sf_dir):
+    return _docs(spark, sf_dir, "doc_id", "lang", "source", "text").select("doc_id", "lang", "source", T.token_count(T.clean_cpp_code(F.concat(F.col("text"), F.lit("\n"), _code()))).alias("n"))
+
+
+_PROFILE = f"SELECT doc_id, lang, source, {_sql_tokens(_sql_clean_code('text || chr(10) || ' + _CODE))} AS n FROM documents"
+_WHERE = "'f' || doc_id || ' in ' || source"
+
+
+@query(f"SELECT lang, min(n) AS min_len, arg_min({_WHERE}, (n, doc_id)) AS min_at, max(n) AS max_len, arg_max({_WHERE}, (n, -doc_id)) AS max_at, count(*) AS n FROM ({_PROFILE}) GROUP BY lang")
+def clean_code_profile(spark, sf_dir):
+    at = F.concat(F.lit("f"), F.col("doc_id"), F.lit(" in "), F.col("source"))
+    return profile.extremes(_lengths(spark, sf_dir), ["lang"], "n", at, "doc_id")
+
+
+@query("SELECT lang, source, min(n_chars) AS min_len, arg_min(doc_id, (n_chars, doc_id)) AS min_at, max(n_chars) AS max_len, arg_max(doc_id, (n_chars, -doc_id)) AS max_at, count(*) AS n FROM documents GROUP BY lang, source")
+def length_extremes(spark, sf_dir):
+    return profile.extremes(_docs(spark, sf_dir, "doc_id", "lang", "source", "n_chars"), ["lang", "source"], "n_chars", F.col("doc_id"), "doc_id")
+
+
+@query("SELECT lang || source AS name, arg_max(n_chars, doc_id) AS length, CAST(len(string_split(arg_max(text, doc_id), chr(10))) AS INTEGER) AS n_lines FROM documents GROUP BY 1")
+def last_lengths(spark, sf_dir):
+    rows = _docs(spark, sf_dir, "doc_id", "lang", "source", "n_chars", "text").withColumn("name", F.concat("lang", "source"))
+    return profile.last_lengths(rows, ["name"], "doc_id", "text", "n_chars")
+
+
+@query(
+    """SELECT lang, CAST(coalesce(least(floor((n_chars - lo) * 50 / nullif(hi - lo, 0)), 49), 0) AS BIGINT) AS bin, count(*) AS n
+    FROM (SELECT *, min(n_chars) OVER (PARTITION BY lang) AS lo, max(n_chars) OVER (PARTITION BY lang) AS hi FROM documents) GROUP BY ALL"""
+)
+def length_histogram(spark, sf_dir):
+    return profile.histogram(_docs(spark, sf_dir, "lang", "n_chars"), "lang", "n_chars")
+
+
+@query("SELECT k AS lang, coalesce(n, 0) AS n FROM (SELECT unnest(['de', 'en', 'es', 'fr', 'xx']) AS k) LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) ON k = lang")
+def type_counts(spark, sf_dir):
+    return profile.counts(_docs(spark, sf_dir, "lang"), "lang", ["de", "en", "es", "fr", "xx"])
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def kind_counts_desc(spark, sf_dir):
+    return profile.counts(_t(spark, sf_dir, "events", "event_type"), "event_type").orderBy(F.col("n").desc(), "event_type")
+
+
+@query(
+    """SELECT doc_id, bucket, CAST((row_number() OVER (PARTITION BY bucket ORDER BY n_chars, doc_id) - 1) // CASE bucket WHEN 'short' THEN 4 WHEN 'medium' THEN 2 ELSE 1 END AS BIGINT) AS batch
+    FROM (SELECT doc_id, n_chars, CASE WHEN n_chars <= 1500 THEN 'short' WHEN n_chars <= 3000 THEN 'medium' ELSE 'long' END AS bucket FROM documents)"""
+)
+def length_bucket_batches(spark, sf_dir):
+    rows = _docs(spark, sf_dir, "doc_id", "n_chars").withColumn("bucket", T.length_bucket(F.col("n_chars")))
+    size = F.when(F.col("bucket") == "short", 4).when(F.col("bucket") == "medium", 2).otherwise(1)
+    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("n_chars", "doc_id")) - 1
+    return rows.select("doc_id", "bucket", F.floor(nth / size).cast("long").alias("batch"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42-' || doc_id), doc_id) <= floor(count(*) OVER () * 0.1) THEN 'test' ELSE 'train' END AS split FROM documents"""
+)
+def train_test_split(spark, sf_dir):
+    return profile.split_exactly(_docs(spark, sf_dir, "doc_id"), "doc_id")
+
+
+_IDS = "list_transform(string_split(text, ' '), lambda x: CAST(length(x) AS BIGINT))"
+
+
+@query(f"SELECT doc_id, len(x) > 512 AS is_truncated, array_to_string(list_resize(x, 512, 0)[1:512], ',') AS ids FROM (SELECT doc_id, {_IDS} AS x FROM documents)")
+def truncation_flags(spark, sf_dir):
+    ids = F.transform(F.split("text", " "), lambda x: F.length(x).cast("long"))
+    rows = _docs(spark, sf_dir, "doc_id", "text").select("doc_id", ids.alias("x"))
+    return rows.select("doc_id", profile.truncated(F.col("x")).alias("is_truncated"), F.array_join(profile.padded(F.col("x"), 512, 0).cast("array<string>"), ",").alias("ids"))
+
+
+@query(
+    f"""SELECT a.conv_id, array_to_string(list_concat(list_concat(a.x, b.x), [99]), ',') AS ids FROM (SELECT conv_id, {_IDS} AS x FROM ({_RUN.format(0)})) a JOIN (SELECT conv_id, {_IDS} AS x FROM ({_RUN.format(1)})) b USING (conv_id)"""
+)
+def sequence_concat(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    ids = F.transform(F.split("text", " "), lambda x: F.length(x).cast("long"))
+    both = rows.where("turn in (0, 1)").groupBy("conv_id").agg(F.any_value(F.when(F.col("turn") == 0, F.col("text")), True).alias("a"), F.any_value(F.when(F.col("turn") == 1, F.col("text")), True).alias("b"))
+    both = both.where("a is not null and b is not null").select("conv_id", F.transform(F.split("a", " "), lambda x: F.length(x).cast("long")).alias("a"), F.transform(F.split("b", " "), lambda x: F.length(x).cast("long")).alias("b"))
+    return both.select("conv_id", F.array_join(profile.joined_sequence(F.col("a"), F.col("b"), 99).cast("array<string>"), ",").alias("ids"))
+
+
+# Instructions ----------------------------------------------------------------------------------------------------
+
+_PARTS = {
+    "instruction": "'Write the C++ function f' || doc_id",
+    "location": "' located at file: ' || source || ', line:' || n_chars",
+    "context": "CASE WHEN lang <> 'fr' THEN chr(10) || 'Context before is: \"' || substr(text, 1, 1500) || '\"' END",
+    "docstring": "chr(10) || substr(text, 1, doc_id % 2500)",
+    "comments": "chr(10) || substr(text, 1, doc_id % 1100)",
+}
+_BUDGET = f"""WITH p AS (SELECT doc_id, {", ".join(f"coalesce({v}, '') AS p{i}" for i, v in enumerate(_PARTS.values()))} FROM documents),
+    t AS (SELECT *, {", ".join(f"{_sql_tokens(f'p{i}')} AS t{i}" for i in range(5))} FROM p), s AS (SELECT *, t0 + t1 + t2 + t3 + t4 AS a FROM t),
+    r AS (SELECT *, CASE WHEN a > 512 THEN a - t4 ELSE a END AS b FROM s), q AS (SELECT *, CASE WHEN b > 512 THEN b - t2 ELSE b END AS c FROM r),
+    z AS (SELECT *, CASE WHEN c > 512 THEN c - t1 ELSE c END AS d FROM q)
+    SELECT doc_id, p0 || CASE WHEN c <= 512 THEN p1 ELSE '' END || CASE WHEN b <= 512 THEN p2 ELSE '' END || p3 || CASE WHEN a <= 512 THEN p4 ELSE '' END AS prompt, d > 512 AS too_long FROM z"""
+
+
+@query(_BUDGET)
+def prompt_budget(spark, sf_dir):
+    text = lambda n: F.substring("text", F.lit(1), n)
+    parts = {
+        "instruction": F.concat(F.lit("Write the C++ function f"), F.col("doc_id")),
+        "location": F.concat(F.lit(" located at file: "), F.col("source"), F.lit(", line:"), F.col("n_chars")),
+        "context": F.when(F.col("lang") != "fr", F.concat(F.lit('\nContext before is: "'), text(F.lit(1500)), F.lit('"'))),
+        "docstring": F.concat(F.lit("\n"), text((F.col("doc_id") % 2500).cast("int"))),
+        "comments": F.concat(F.lit("\n"), text((F.col("doc_id") % 1100).cast("int"))),
+    }
+    prompt, over = instructions.within_budget(parts)
+    return _docs(spark, sf_dir).select("doc_id", prompt.alias("prompt"), over.alias("too_long"))
+
+
+_KINDS = ("function_decl", "cxx_method", "constructor", "destructor", "class_decl", "var_decl", "enum_decl", "function_template")
+_MODES = ("whole", "first", "next", "last", "docstring")
+_WORDING = (
+    """WITH e AS (SELECT doc_id, ['function_decl','cxx_method','constructor','destructor','class_decl','var_decl','enum_decl','function_template'][1 + doc_id % 8] AS k, ['whole','first','next','last','docstring'][1 + doc_id % 5] AS m,
+    'f' || doc_id AS n, source AS p, doc_id % 3 = 0 AS in_class, ['Write','Create','Develop','Provide implementation of','Produce'][1 + CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 5] AS v FROM documents),
+    w AS (SELECT *, CASE WHEN k = 'cxx_method' OR (k = 'function_template' AND in_class) THEN 'method ' || n || ' of the C++ class ' || p WHEN k IN ('function_decl', 'function_template') THEN 'C++ function ' || n
+    WHEN k IN ('constructor', 'destructor') THEN k || ' of the C++ class ' || p WHEN k = 'class_decl' THEN 'C++ class ' || n WHEN k = 'var_decl' THEN 'variable ' || n || ' of the project sources' ELSE 'enumeration ' || n || ' of the project sources' END AS what FROM e)
+    SELECT doc_id, k AS kind, m AS mode, CASE WHEN m = 'docstring' THEN 'Write documentation (docstring) for the ' || what ELSE CASE WHEN k IN ('var_decl', 'enum_decl') THEN 'Declare' ELSE v END ||
+    CASE m WHEN 'first' THEN ' the first fragment of' WHEN 'last' THEN ' the last fragment of' WHEN 'next' THEN CASE WHEN k IN ('function_decl', 'class_decl') OR (k = 'function_template' AND NOT in_class) THEN ' fragment (#' ELSE ' the next fragment (#' END || doc_id % 7 || ') of' ELSE '' END
+    || ' the ' || what END AS instruction FROM w"""
+)
+
+
+@query(_WORDING)
+def instruction_pairs(spark, sf_dir):
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("doc_id") % len(xs) + 1).cast("int"))
+    rows = _docs(spark, sf_dir, "doc_id", "source").select("doc_id", pick(_KINDS).alias("kind"), pick(_MODES).alias("mode"), F.concat(F.lit("f"), F.col("doc_id")).alias("name"), "source")
+    parent = F.when(F.col("doc_id") % 3 == 0, "class_decl").otherwise("translation_unit")
+    text = instructions.instruction(F.col("kind"), F.col("name"), parent, F.col("source"), F.col("mode"), (F.col("doc_id") % 7).cast("string"), F.col("doc_id").cast("string"))
+    return rows.select("doc_id", "kind", "mode", text.alias("instruction"))
+
+
+_SIG = """WITH e AS (SELECT p_partkey, p_partkey % 4 AS k, p_partkey % 2 = 0 AS c, p_partkey % 3 = 0 AS s, p_partkey % 5 = 0 AS n, p_partkey % 11 = 0 AS pv, p_brand AS b, 'f' || p_size AS nm,
+    '(int' || CASE WHEN p_partkey % 6 = 0 THEN '' ELSE ' a' END || ', char b = ' || p_size || ')' AS args FROM part),
+    m AS (SELECT *, list_filter([CASE WHEN s THEN 'static' END, CASE WHEN pv THEN 'virtual' END, CASE WHEN c THEN 'const' END, CASE WHEN n THEN 'noexcept' END], lambda x: x IS NOT NULL) AS marks FROM e)
+    SELECT p_partkey, array_to_string(list_filter(list_concat(CASE WHEN pv OR len(marks) = 0 THEN [] ELSE marks[1:len(marks) - 1] END,
+    [CASE WHEN k < 2 THEN 'void' END, CASE k WHEN 0 THEN nm || args WHEN 1 THEN b || '::' || nm || args WHEN 2 THEN b || '::' || nm || args ELSE b || '::~' || nm || '()' END,
+    CASE WHEN k < 2 AND c THEN 'const' END, CASE WHEN n THEN 'noexcept' END, CASE WHEN k <> 2 AND pv THEN '= 0' END]), lambda x: x IS NOT NULL), ' ') AS signature FROM m"""
+
+
+@query(_SIG)
+def signature_render(spark, sf_dir):
+    k = F.col("p_partkey")
+    every = lambda n, name: (k % n == 0).alias(name)
+    arg = lambda kind, name, default: F.struct(F.lit(kind).alias("type"), name.alias("name"), default.alias("default_value"))
+    args = F.array(arg("int", F.when(k % 6 == 0, "").otherwise("a"), F.lit(None).cast("string")), arg("char", F.lit("b"), F.col("p_size").cast("string")))
+    sig = F.struct(
+        F.concat(F.lit("f"), F.col("p_size")).alias("name"),
+        F.lit("void").alias("return_type"),
+        args.alias("parameters"),
+        F.struct(every(2, "is_const"), every(3, "is_static"), every(11, "is_virtual"), every(11, "is_pure_virtual"), every(5, "is_noexcept")).alias("qualifiers"),
+    )
+    kind = F.element_at(F.array(*map(F.lit, ("function_decl", "cxx_method", "constructor", "destructor"))), (k % 4 + 1).cast("int"))
+    rows = _t(spark, sf_dir, "part", "p_partkey", "p_size", "p_brand").select("p_partkey", kind.alias("kind"), "p_brand", sig.alias("sig"))
+    return rows.select("p_partkey", instructions.signature(F.col("kind"), F.col("p_brand"), F.col("sig")).alias("signature"))
+
+
+@query(
+    """SELECT 'C' || o_orderkey AS name, 0 AS ord, 'Implement class with name C' || o_orderkey AS input, o_orderpriority AS output FROM orders
+    UNION ALL SELECT 'C' || l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER), 'Implement method of class C' || l_orderkey || ' with name m' || l_partkey, l_linestatus FROM lineitem SEMI JOIN orders ON o_orderkey = l_orderkey"""
+)
+def lora_explode(spark, sf_dir):
+    parents = _t(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority")
+    items = _t(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus")
+    items = items.select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("place"), F.struct(F.concat(F.lit("m"), F.col("l_partkey")).alias("name"), F.col("l_linestatus").alias("code")).alias("m"))
+    nested = entities.attach(parents, items, "o_orderkey", F.col("m"), "place").where("o_orderpriority is not null")
+    return instructions.nested_pairs(nested.select(F.concat(F.lit("C"), F.col("o_orderkey")).alias("name"), F.col("o_orderpriority").alias("declaration"), F.col("children").alias("methods")))
+
+
+@query(
+    """SELECT conv_id, '[' || string_agg('{"role":"' || role || '","n":' || length(text) || '}', ',' ORDER BY turn, role, text) || ']' AS messages FROM conversations GROUP BY conv_id"""
+)
+def chat_messages(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("x"))
+    return grouped.select("conv_id", F.to_json(F.transform("x", lambda m: F.struct(m["role"].alias("role"), F.length(m["text"]).alias("n")))).alias("messages"))
+
+
+# Fragments -------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH RECURSIVE f(doc_id, text, n, idx, start, stop) AS (
+    SELECT doc_id, text, length(text), -1, 0, 0 FROM documents
+    UNION ALL SELECT doc_id, text, n, idx + 1, stop, CASE WHEN stop + 300 >= n THEN n WHEN back > 0 THEN stop + 300 - back + 1 ELSE stop + 300 END
+    FROM (SELECT *, coalesce((SELECT min(p) FROM (VALUES (strpos(reverse(substr(text, stop + 1, 300)), chr(10))), (strpos(reverse(substr(text, stop + 1, 300)), ','))) v(p) WHERE p > 0), 0) AS back FROM f WHERE stop < n))
+    SELECT doc_id, CAST(idx AS INTEGER) AS idx, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end", substr(text, start + 1, stop - start) AS code FROM f WHERE idx >= 0"""
+)
+def fragments_no_overlap(spark, sf_dir):
+    rows = _docs(spark, sf_dir, "doc_id", "text").withColumn("target", F.lit(300))
+    return fragments.fragments(rows, "doc_id", "text", fragments.split_plain, "target")
+
+
+def _overlapping(spark, sf_dir):
+    rows = _docs(spark, sf_dir, "doc_id", "text").withColumn("target", F.lit(400))
+    return fragments.fragments(rows, "doc_id", "text", fragments.split_overlapping, "target")
+
+
+@query()
+def fragments_overlap(spark, sf_dir):
+    return _overlapping(spark, sf_dir)
+
+
+@query()
+def fragment_quality(spark, sf_dir):
+    return fragments.quality(_overlapping(spark, sf_dir), "doc_id")
+
+
+@query()
+def char_chunks(spark, sf_dir):
+    return fragments.chunks(_docs(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
+
+
+@query()
+def emitted_pairs(spark, sf_dir):
+    """Whole documents within the budget, fragments of the others, with their mode."""
+    rows = _docs(spark, sf_dir, "doc_id", "text").select(F.col("doc_id").alias("id"), F.col("text").alias("code"))
+    tokens = T.token_count(F.col("code"))
+    target = F.floor(512 * 0.8 * F.length("code") / F.greatest(tokens, F.lit(1))).cast("int")
+    pieces = fragments.fragments(rows.where(tokens > 512).withColumn("target", target), "id", "code", fragments.split_overlapping, "target")
+    return instructions.emitted(rows, pieces).select("id", "mode", "idx", "output")
+
+
+# Retrieval, diffs, extraction ------------------------------------------------------------------------------------
+
+_TOP = """SELECT q.vec_id AS query_id, c.vec_id AS vec_id, round(list_sum(list_transform(list_zip(c.embedding, q.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))), 6) AS distance
+    FROM embeddings c JOIN (SELECT * FROM embeddings WHERE vec_id < 10) q ON c.vec_id <> q.vec_id"""
+_TOP = f"SELECT query_id, vec_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM ({_TOP}) QUALIFY rank <= 3"
+
+
+@query(_TOP)
+def vector_topk(spark, sf_dir):
+    rows = _t(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return retrieval.nearest(rows, rows.where("vec_id < 10"), 3)
+
+
+@query(
+    f"""SELECT query_id, 'Context:' || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: which?' AS prompt FROM ({_TOP}) t JOIN documents d ON d.doc_id = t.vec_id % 200 GROUP BY query_id"""
+)
+def rag_prompt(spark, sf_dir):
+    rows = _t(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    found = retrieval.nearest(rows, rows.where("vec_id < 10"), 3).withColumn("vec_id", F.col("vec_id") % 200)
+    return retrieval.stuffed_prompt(found, _docs(spark, sf_dir, F.col("doc_id").alias("vec_id"), "text"), F.lit("which?"))
+
+
+_DIFF = f"""WITH d AS (SELECT doc_id, source AS loc, string_split(text, chr(10)) AS l, 1 + doc_id % 6 AS line, list_transform(string_split(lang || ' doc  ' || chr(10) || ' * ' || source, chr(10)), lambda x: rtrim(x, {_BLANKS})) AS doc FROM documents),
+    s AS (SELECT *, greatest(line - 3, 1) AS st, l[greatest(line - 3, 1):line + 2] AS shown FROM d)
+    SELECT doc_id, 'diff --git a/' || loc || ' b/' || loc || chr(10) || 'index 0000000..0000000 100644' || chr(10) || '--- a/' || loc || chr(10) || '+++ b/' || loc || chr(10) || '@@ -' || st || ',' || len(shown) || ' +' || st || ',' || (len(shown) + len(doc)) || ' @@' || chr(10) ||
+    array_to_string(list_concat(list_concat(list_transform(shown[1:line - st], lambda x: ' ' || x), list_transform(doc, lambda x: '+' || x)), list_transform(shown[line - st + 1:], lambda x: ' ' || x)), chr(10)) || chr(10) AS diff FROM s"""
+
+
+@query(_DIFF)
+def diff_render(spark, sf_dir):
+    doc = F.concat("lang", F.lit(" doc  \n * "), "source")
+    diff = diffs.insertion_diff(F.col("source"), T.lines(F.col("text")), (F.col("doc_id") % 6 + 1).cast("int"), doc)
+    return _docs(spark, sf_dir, "doc_id", "source", "text", "lang").select("doc_id", diff.alias("diff"))
+
+
+def _synthetic_file() -> Column:
+    """A file with a namespace, a documented class, a template, an enum and a function per document."""
+    n = F.col("doc_id").cast("string")
+    words = F.regexp_replace(F.col("text"), r"[*/\\]", " ")
+    return F.concat(
+        F.lit("#include <a.h>\nnamespace n"), n, F.lit(" {\n/** "), words, F.lit(" */\nclass C"), n,
+        F.lit(" {\npublic:\n  explicit C"), n, F.lit("(int a, char b = 'x');\n  virtual int get() const = 0;\n};\ntemplate <typename T, int N = 3> T twice(T a) { return a + N; }\nenum class E : int { A, B };\n}\nint f"),
+        n, F.lit("(const char *s) { auto g = [](int x) { return x; }; return g(1); }\n"),
+    )
+
+
+@query(
+    """SELECT type, name_kind, count(*) AS n FROM (SELECT unnest([('inclusion_directive', 'other'), ('namespace', 'numbered'), ('class_decl', 'numbered'), ('constructor', 'numbered'), ('cxx_method', 'other'),
+    ('function_template', 'other'), ('enum_decl', 'other'), ('function_decl', 'numbered'), ('lambda_expr', 'none')]) AS x, x[1] AS type, x[2] AS name_kind FROM documents) GROUP BY type, name_kind"""
+)
+def extract_elements(spark, sf_dir):
+    files = _docs(spark, sf_dir, "doc_id", "text").select(F.concat(F.lit("src/"), F.col("doc_id"), F.lit(".cpp")).alias("location"), _synthetic_file().alias("code"))
+    kind = F.when(F.col("name").isNull(), "none").when(F.col("name").rlike(r"^[nCf]\d+$"), "numbered").otherwise("other")
+    return extract.elements(files).select("type", kind.alias("name_kind")).groupBy("type", "name_kind").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT doc_id, lang AS brief, 'a' AS param, source || ' text' AS description, 'bad' AS throws FROM documents"""
+)
+def doxygen_fields(spark, sf_dir):
+    c = F.concat(F.lit("/**\n * @brief "), F.col("lang"), F.lit("\n * @param[in] a "), F.col("source"), F.lit(" text\n * @throws bad\n */"))
+    x = extract.doxygen(c)
+    return _docs(spark, sf_dir, "doc_id", "lang", "source").select("doc_id", x["brief"].alias("brief"), F.get(x["params"], F.lit(0))["name"].alias("param"), F.get(x["params"], F.lit(0))["description"].alias("description"), F.get(x["throws"], F.lit(0)).alias("throws"))
