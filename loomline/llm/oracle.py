@@ -1,0 +1,31 @@
+"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+
+from __future__ import annotations
+
+ORACLE: dict[str, str] = {
+    "op1_suffix_dedup": """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM b)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+g AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE least < doc_id),
+n AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS first FROM g),
+r AS (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n),
+s AS (SELECT doc_id, run, min(i) AS s, max(i) + 50 AS e FROM r GROUP BY ALL),
+p AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM s),
+k AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS kept FROM p JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM b LEFT JOIN k USING (doc_id)
+""",
+    "op10_chat_format": """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'),
+o AS (SELECT *, row_number() OVER w - 1 AS i, lag(role) OVER w AS p, replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|') AS e,
+replace(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'), chr(10), chr(92) || 'n') AS r FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+v AS (SELECT *, CASE WHEN p IS NULL THEN role NOT IN ('system', 'user') WHEN role = 'user' THEN p = 'user' OR p NOT IN ('system', 'assistant') WHEN role = 'assistant' THEN p IN ('system', 'assistant')
+WHEN role = 'tool' THEN p = 'system' ELSE true END AS bad FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(12 + length(r) + 1 + length(e) + 10 + 1) AS BIGINT) AS formatted_chars, NOT bool_or(bad) AND arg_max(role, i) = 'assistant' AS valid,
+CAST(coalesce(min(i) FILTER (bad), CASE WHEN arg_max(role, i) <> 'assistant' THEN max(i) END) AS INTEGER) AS first_bad FROM v GROUP BY conv_id
+""",
+}

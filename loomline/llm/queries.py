@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm import ann, bpe, chat_format, language_id, packing, quality_rules, secret_scan, sharding, simhash, suffix_dedup
 from loomline.llm.common import table
+from loomline.llm.oracle import ORACLE  # noqa: F401 - registered by the entry point
 
 #: Conversation -1: control strings in both turns.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -69,6 +70,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
 }
-
-#: DuckDB SQL, where SQL can express a query.
-ORACLE: dict[str, str] = {}
