@@ -41,8 +41,11 @@ def stored(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    # what only the written plan needed, its shuffle files above all, can go now and not in half an hour; events that
+    # still wait for their listeners hold the plan, too
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     gc.collect()
-    jvm.System.gc()  # what only the written plan needed, its shuffle files above all, can go now and not in half an hour
+    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
