@@ -160,13 +160,18 @@ def predict(docs: DataFrame, model: Model, bits: int = 15) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, bits: int = 15) -> DataFrame:
-    """The rows of docs whose text has a language, all columns as they are; ``und`` is rejected."""
+    """The rows of docs whose text has a language, all columns as they are; ``und`` is rejected.
+
+    A model of no languages rejects only what has no letter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [x or "" for x in b.column(b.schema.get_field_index("text")).to_pylist()]
-            yield b.filter(pa.array(_judged(texts, shared.value, bits)[0] != "und"))
+            m = shared.value
+            keep = _judged(texts, m, bits)[0] != "und" if m.langs else np.array([bool(_LETTER.search(x)) for x in texts], bool)
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)
 
