@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _tidy(spark: SparkSession) -> None:
+    """Lets finished shuffles go now and not at the driver's next full collection, which can be half an hour away.
+
+    What holds a finished plan (events that wait for listeners, objects with finalizers) is itself freed by the first
+    collection only.
+    """
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    gc.collect()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet below the shared folder and read again: cuts lineage, survives lost executors.
 
@@ -41,11 +55,7 @@ def stored(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    # what only the written plan needed, its shuffle files above all, can go now and not in half an hour; events that
-    # still wait for their listeners hold the plan, too
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    gc.collect()
-    jvm.System.gc()
+    _tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
