@@ -85,6 +85,8 @@ def evolve(lengths: list[int], elite: list[Bins], seed: int, capacity: int = LEN
     decreasing = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     people = [list(map(list, e)) for e in elite] or [best_fit(lengths, [], decreasing, capacity)]
     least = -(-sum(lengths) // capacity)
+    if min(map(len, people)) == least:  # no solution has fewer bins
+        return sorted(people, key=lambda p: -fitness(lengths, p, capacity))[:ELITE]
     while len(people) < POPULATION:
         shuffled = sorted(decreasing, key=lambda i: -lengths[i] * (1 + 0.1 * rng.random()))
         people.append(best_fit(lengths, [], shuffled, capacity))
