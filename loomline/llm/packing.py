@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.llm.bpe import tokenizer
-from loomline.llm.common import stored
+from loomline.llm.common import partitions, stored
 
 LENGTH = 2048
 POD = 4096
@@ -133,7 +133,9 @@ def _evolved(rows: DataFrame, turn: int, capacity: int) -> DataFrame:
                 flat = [k for p in out for k in _numbers(p, n)]
                 yield pa.RecordBatch.from_arrays([pa.array([row["pod"]], pa.int64()), pa.array([row["island"]], pa.int32()), pa.array([row["lengths"]], pa.list_(pa.int32())), pa.array([flat], pa.list_(pa.int32())), pa.array([fitness(row["lengths"], out[0], capacity)], pa.float64())], ["pod", "island", "lengths", "elite", "fitness"])
 
-    return rows.select("pod", "island", "lengths", "elite", "migrants").mapInArrow(run, "pod long, island int, lengths array<int>, elite array<int>, fitness double")
+    # a few small rows each stand for much work: a number given keeps them from being gathered in a few tasks
+    dealt = rows.select("pod", "island", "lengths", "elite", "migrants").repartition(partitions(rows.sparkSession), "pod", "island")
+    return dealt.mapInArrow(run, "pod long, island int, lengths array<int>, elite array<int>, fitness double")
 
 
 def _bins(numbers: list[int]) -> Bins:
@@ -162,7 +164,7 @@ def pack(cut: DataFrame, capacity: int = LENGTH, pod: int = POD) -> DataFrame:
     lengths = F.transform(F.array_sort(F.collect_list(F.struct("nth", "length"))), lambda x: x["length"].cast("int"))
     none = F.lit(None).cast("array<int>")
     islands = items.groupBy("pod").agg(lengths.alias("lengths")).select("pod", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "lengths", none.alias("elite"), none.alias("migrants"))
-    state = stored(_evolved(islands.repartition("pod", "island"), 0, capacity))
+    state = stored(_evolved(islands, 0, capacity))
     for turn in range(1, ROUNDS):
         guests = state.select("pod", ((F.col("island") + 1) % ISLANDS).alias("island"), F.slice("elite", 1, F.size("lengths")).alias("migrants"))
         state = stored(_evolved(state.join(guests, ["pod", "island"]), turn, capacity))
