@@ -6,7 +6,8 @@ in order of promise. How many leaves are visited is calibrated: for up to ``PROB
 neighbours over all rows are found by a scan, and visits are widened until ``TARGET`` of them lie in visited leaves.
 
 Equal vectors are one class, which keeps its ``k + 1`` smallest ids: no more of them can be among anyone's nearest.
-A class's queries search once. Large leaves are dealt to blocks, each of which sees the leaf's queries.
+A class's queries search once. Small leaves are
+compared together, large ones are dealt to blocks; a query gives one short list per group, whatever the leaves in it.
 
 Defined results: vectors that are null, zero, of another length than the most common one, or hold null or
 non-finite components take no part, as query or candidate; rows with a null vec_id neither; repeated vec_ids
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from loomline.llm.common import stored
 
 SAMPLE, BRANCH, LEAF_SAMPLE, PROBES, TARGET = 16_384, 12, 48, 100, 0.97
-#: Rows of a leaf that are compared in one task, about.
+#: Rows that are compared together, about.
 _BLOCK = 20_000
 
 
@@ -138,39 +139,55 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
 
     index = stored(classes.mapInArrow(indexed, "leaf long, cid long, vec array<double>, ids array<long>"))
     visits = _calibrated(index, asked, shared.value, k)
-    sizes = {r[0]: r[1] for r in index.groupBy("leaf").count().collect()}  # one row per leaf of the tree
-    blocks = spark.createDataFrame([(int(n), -(-c // _BLOCK)) for n, c in sizes.items()], "leaf long, blocks int")
+    sizes = sorted((r[0], r[1]) for r in index.groupBy("leaf").count().collect())  # one row per leaf of the tree
+    groups, room = [], 0
+    for leaf, n in sizes:  # small leaves share a group of about _BLOCK rows, a large one has its own, in blocks
+        if not groups or n > room:
+            room = max(_BLOCK, n)
+            groups.append((leaf, (groups[-1][1] + 1) if groups else 0, -(-n // _BLOCK)))
+        else:
+            groups.append((leaf, groups[-1][1], groups[-1][2]))
+        room -= n
+    group_of = {leaf: g for leaf, g, _ in groups}
+    deal = spark.createDataFrame(groups, "leaf long, group int, blocks int")
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
         for b in batches:
-            leaves: list[int] = []
-            counts: list[int] = []
-            for q in _matrix(b.column(1)):
-                mine = [n for n, _ in zip(tree.leaves_by_promise(q), range(visits), strict=False)]
-                leaves += mine
-                counts.append(len(mine))
-            at = np.repeat(np.arange(b.num_rows), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), *(c.take(pa.array(at)) for c in b.columns)], ["leaf", "cid", "vec"])
-
-    sent = asked.select("cid", "vec").mapInArrow(routed, "leaf long, cid long, vec array<double>").join(F.broadcast(blocks), "leaf")
-    sent = sent.select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("cid").alias("query"), "vec")
-    base = index.join(F.broadcast(blocks), "leaf").select("leaf", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("block"), "cid", "vec", "ids")
+            group: list[int] = []
+            leaves: list[list[int]] = []
+            at: list[int] = []
+            for i, q in enumerate(_matrix(b.column(1))):
+                mine: dict[int, list[int]] = {}
+                for leaf, _ in zip(tree.leaves_by_promise(q), range(visits), strict=False):
+                    if leaf in group_of:
+                        mine.setdefault(group_of[leaf], []).append(leaf)
+                group += mine
+                leaves += mine.values()
+                at += [i] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(leaves, pa.list_(pa.int64())), *(c.take(pa.array(at, pa.int64())) for c in b.columns)], ["group", "leaves", "cid", "vec"])
+
+    blocks = F.broadcast(deal.groupBy("group").agg(F.max("blocks").alias("blocks")))
+    sent = asked.select("cid", "vec").mapInArrow(routed, "group int, leaves array<long>, cid long, vec array<double>").join(blocks, "group")
+    sent = sent.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("cid").alias("query"), "vec", "leaves")
+    base = index.join(F.broadcast(deal), "leaf").select("group", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("block"), "leaf", "cid", "vec", "ids")
 
     def compared(base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(base) and len(queries):
             x = np.stack(base["vec"].to_numpy())
             ids = base["ids"].to_numpy()
-            for at in range(0, len(queries), 256):
-                part = queries.iloc[at : at + 256]
+            names, leaf = np.unique(base["leaf"].to_numpy(), return_inverse=True)
+            for at in range(0, len(queries), 128):
+                part = queries.iloc[at : at + 128]
                 q = np.stack(part["vec"].to_numpy())
-                for query, vec, near in zip(part["query"], q, _nearest(q, x, k + 1), strict=True):
+                visited = np.array([np.isin(names, leaves) for leaves in part["leaves"]])
+                for query, vec, near in zip(part["query"], q, _nearest(q, x, k + 1, visited[:, leaf]), strict=True):
                     d = np.sqrt(((x[near] - vec) ** 2).sum(1))
                     out += [(query, v, s) for s, n in zip(d, near, strict=True) for v in ids[n]]
         return pd.DataFrame(out, columns=["query", "vec_id", "score"]).astype({"query": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = base.groupBy("leaf", "block").cogroup(sent.groupBy("leaf", "block")).applyInPandas(compared, "query long, vec_id long, score double")
+    found = base.groupBy("group", "block").cogroup(sent.groupBy("group", "block")).applyInPandas(compared, "query long, vec_id long, score double")
     order = lambda key: Window.partitionBy(key).orderBy("score", "vec_id")
     near = found.withColumn("nth", F.row_number().over(order("query"))).where(F.col("nth") <= k + 1)
     each = queries.select("query_id", F.col("cid").alias("query")).join(near, "query").where("vec_id <> query_id")
@@ -178,14 +195,14 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
-def _nearest(q: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query the rows of x that can be among its k nearest: those up to the k-th distance, with room for rounding."""
+def _nearest(q: np.ndarray, x: np.ndarray, k: int, allowed: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each query the (allowed) rows of x that can be among its k nearest: up to the k-th distance, with room for rounding."""
     d = _distances(q, x)
-    if len(x) <= k:
-        return [np.arange(len(x))] * len(q)
-    edge = np.partition(d, k - 1, axis=1)[:, k - 1]
-    room = 1e-9 * (edge + (q * q).sum(1) + (x * x).sum(1).max())
-    return [np.flatnonzero(row <= e) for row, e in zip(d, edge + room, strict=True)]
+    if allowed is not None:
+        d = np.where(allowed, d, np.inf)
+    edge = np.partition(d, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(q), np.inf)
+    room = 1e-9 * ((q * q).sum(1) + (x * x).sum(1).max())
+    return [np.flatnonzero((row <= e) & np.isfinite(row)) for row, e in zip(d, edge + room, strict=True)]
 
 
 def _calibrated(index: DataFrame, asked: DataFrame, tree: Tree, k: int) -> int:
