@@ -50,7 +50,7 @@ def _repeated_words(words: Column) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(_let(dup_positions(hashes), covered))
 
     hashes = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(F.slice(words, i + 1, WINDOW)))
-    return F.when(F.size(words) < 2 * 1 + WINDOW - 1, 0).otherwise(_let(hashes, counted)).cast("long")
+    return F.when(F.size(words) <= WINDOW, 0).otherwise(_let(hashes, counted)).cast("long")
 
 
 def features(docs: DataFrame) -> DataFrame:
