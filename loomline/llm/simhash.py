@@ -52,19 +52,35 @@ class Scheme:
         return self.bits // 64
 
 
-#: Near copies of a Jaccard similarity of 0.8 or more on five words: their fingerprints differ in about 15 of 100 bits.
-NEAR = Scheme(shingle=5, bits=256, distance=46, masks=32)
+@dataclass(frozen=True)
+class Near:
+    """Near copies: a Jaccard similarity of part / whole or more between the sets of distinct shingles."""
+
+    shingle: int = 5
+    similarity: tuple[int, int] = (4, 5)
+    block: int = 256  # documents of a cluster that are compared with each other at once
+    candidates: Scheme = Scheme(shingle=5, bits=256, distance=46, masks=32)
+
+
+NEAR = Near()
+
+
+def hashed_shingles(text: str | None, k: int) -> np.ndarray:
+    """XXH64 of each shingle of k words, in the order of the text; none for a blank text."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, only ASCII space
+    if not words:
+        return np.zeros(0, np.uint64)
+    hashed = xxhash.xxh64_intdigest
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else [b" ".join(words)]
+    return np.fromiter((hashed(s, 42) for s in shingles), np.uint64, max(1, len(words) - k + 1))
 
 
 def fingerprint(text: str | None, scheme: Scheme) -> np.ndarray:
     """The fingerprint as unsigned 64-bit words, the lowest bits first."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, only ASCII space
     out = np.zeros(scheme.words, np.uint64)
-    if not words:
+    h = hashed_shingles(text, scheme.shingle)
+    if not len(h):
         return out
-    k, hashed = scheme.shingle, xxhash.xxh64_intdigest
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else [b" ".join(words)]
-    h = np.fromiter((hashed(s, 42) for s in shingles), np.uint64, max(1, len(words) - k + 1))
     for w in range(scheme.words):
         if w:
             h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -292,7 +308,90 @@ def report(docs: DataFrame) -> DataFrame:
     return group(docs).select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, scheme: Scheme = NEAR) -> DataFrame:
-    """docs without the documents whose component has a smaller doc_id; all columns stay."""
-    gone = group(docs, scheme).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+def _forest(near: Near, ids: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as (a, b), of the pairs of documents whose sets have the similarity."""
+    n, size = len(ids), np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    col = np.cumsum(np.concatenate([[True], flat[1:] != flat[:-1]])[: len(flat)]) - 1
+    shared = np.bincount(col, minlength=1) > 1
+    keep = shared[col]
+    col, owner = (np.cumsum(shared) - 1)[col[keep]], owner[keep]
+    both = np.zeros((n, n))
+    for at in range(0, int(shared.sum()), 4096):
+        lo, hi = np.searchsorted(col, [at, at + 4096])
+        m = np.zeros((n, int(col[hi - 1]) - at + 1), np.float32)
+        m[owner[lo:hi], col[lo:hi] - at] = 1
+        both += m @ m.T
+    part, whole = near.similarity
+    i, j = np.nonzero(np.triu((part + whole) * both >= part * (size[:, None] + size[None, :]), 1))
+    label, of = _spanning(n, i, j), np.array(ids, np.int64)
+    moved = np.flatnonzero(label != np.arange(n))
+    return of[moved], of[label[moved]]
+
+
+def _connected(rows: DataFrame, near: Near) -> DataFrame:
+    """(a, b): similar pairs within the groups (cluster, i, j) of (doc_id, set), enough to connect what they connect."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sets = None, [], []
+        for b in batches:
+            found = []
+            for *here, doc, x in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+                if here != key:
+                    if len(ids) > 1:
+                        found.append(_forest(near, ids, sets))
+                    key, ids, sets = here, [], []
+                ids.append(doc)
+                sets.append(np.frombuffer(x, "<u8"))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+        if len(ids) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _forest(near, ids, sets)], ["a", "b"])
+
+    key = ["cluster", "i", "j"]
+    dealt = rows.select(*key, "doc_id", "set").repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key)
+    return stored(dealt.mapInArrow(compared, "a long, b long").where("a <> b"))
+
+
+def similar(docs: DataFrame, members: DataFrame, near: Near) -> DataFrame:
+    """(a, b): links that connect the members (doc_id, cluster) of each cluster as its similar pairs do.
+
+    A cluster is named by its smallest doc_id. A large one is first compared in blocks, each with that document, and
+    then across blocks; blocks that are as a whole in its component already need not be compared with each other.
+    """
+    block = near.block
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([np.unique(hashed_shingles(x.as_py(), near.shingle)).astype("<u8").tobytes() for x in b.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), sets], ["doc_id", "cluster", "n", "set"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(members.join(sizes, "cluster"), "doc_id")
+    sets = stored(texts.select("doc_id", "cluster", "n", "text").mapInArrow(made, "doc_id long, cluster long, n long, set binary"))
+    blocks = lambda n: F.ceil(n / F.lit(block)).cast("long")
+    dealt = lambda n: F.pmod(F.xxhash64("doc_id"), F.greatest(blocks(n), F.lit(1)))
+    large = sets.where(F.col("n") > block)
+    rows = sets.select("cluster", dealt(F.col("n")).alias("i"), F.lit(0).cast("long").alias("j"), "doc_id", "set")
+    smallest = large.where("doc_id = cluster").select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col("n")) - 1)).alias("i"), F.lit(0).cast("long").alias("j"), "doc_id", "set")
+    first = _connected(rows.unionByName(smallest), near)
+    if large.isEmpty():
+        return first
+    known = components(first)
+    large = large.join(known, F.col("doc_id") == F.col("node"), "left").withColumn("rest", F.coalesce("component", "doc_id") != F.col("cluster"))
+    counts = large.groupBy("cluster").agg(F.count_if("rest").alias("r"), F.count_if(~F.col("rest")).alias("s")).where("r > 0")
+    r, s = F.col("r"), F.col("s")
+    rows = large.join(counts, "cluster").withColumn("mine", F.when(F.col("rest"), dealt(r)).otherwise(blocks(r) + dealt(s)))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks(r) - 1 + F.when(F.col("rest"), blocks(s)).otherwise(0))))
+    rows = rows.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "doc_id", "set")
+    return first.unionByName(_connected(rows, near)).distinct()
+
+
+def deduplicated(docs: DataFrame, near: Near = NEAR) -> DataFrame:
+    """docs without the documents that similar pairs connect with a smaller doc_id; all columns stay."""
+    found = group(docs, near.candidates).where("doc_id is not null")
+    members = stored(found.select("doc_id", F.col("component_id").alias("cluster")).distinct())
+    gone = components(similar(docs, members, near)).select(F.col("node").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

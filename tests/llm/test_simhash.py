@@ -84,3 +84,31 @@ def test_near_copies_and_empty(spark):
     assert set(range(40)) <= ids and len(ids - set(range(40))) <= 1
     assert simhash.report(df.limit(0)).count() == 0
     assert simhash.deduplicated(df.limit(0)).count() == 0
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def changed(rng, words, n):
+    out = list(words)
+    for at in rng.sample(range(len(words)), n):
+        out[at] = "new%d" % rng.randrange(10**9)
+    return out
+
+
+def test_documents_below_the_similarity_stay(spark):
+    """Pairs at a similarity of 0.7 to 0.79, and pairs that share one much repeated line only, are no near copies."""
+    rng = random.Random(5)
+    docs = []
+    while len(docs) < 240:
+        a = ["w%d" % rng.randrange(5000) for _ in range(200)]
+        b = changed(rng, a, rng.randrange(5, 9))
+        if 0.7 <= jaccard(a, b) < 0.79:
+            docs += [a, b]
+    line = ["all", "of", "us", "say", "the", "same", "line"]
+    docs += [[*line * 60, *("v%d" % rng.randrange(5000) for _ in range(80))] for _ in range(6)]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(range(len(docs)))
