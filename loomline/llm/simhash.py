@@ -2,17 +2,20 @@
 
 Fingerprints come from word shingles hashed with XXH64. Documents of equal fingerprints form a class, which is
 represented by its smallest doc_id; only classes are compared. Each fingerprint is sent to one bucket for each
-of a family of bit masks, keyed by its bits under the mask:
-
-* exact family (``Scheme.exact``): the bits are dealt to distance + 2 blocks and each pair of blocks is a mask;
-  two fingerprints that differ in at most ``distance`` bits agree on two blocks at least, so no link is lost.
-* sampled family, for long fingerprints and large distances: random masks; a link is found unless all miss it.
+of a family of bit masks, keyed by its bits under the mask: the bits are dealt to distance + 2 blocks and each pair
+of blocks is a mask; two fingerprints that differ in at most ``distance`` bits agree on two blocks at least, so no
+link is lost.
 
 Buckets are read in key order. Members of a bucket are compared with each other in blocks; what leaves is a
 spanning forest of the links, never all pairs. A bucket of more than ``limit`` distinct fingerprints is not
 compared but dealt again by more of the bits that its mask has left (exact again), so hot groups spread out.
 Components are found by alternating large-star and small-star contraction on written tables.
 
+``deduplicated`` is about the Jaccard similarity of sets of distinct shingles, for which fingerprints at a distance
+are too vague. Candidates are chained by equal bands of MinHash minima, which miss a pair of similarity s with a
+probability of (1 - s ** rows) ** bands (0.8: 0.00015); within a chained cluster sets are compared exactly, whatever
+its size, up to the 64 bits of a shingle's hash.
+
 Defined results: null and blank texts have fingerprint zero and are linked like any others; fewer words than a
 shingle make one shingle; repeated rows with the same doc_id count once as a node; null doc_ids are left as
 their own rows with null component; other columns are ignored here; an empty table gives no rows.
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import partitions, stored
 
-#: Levels of dealing buckets again; in the last, the exact family's buckets have few bits left.
+#: Levels of dealing buckets again; in the last, buckets have few bits left.
 DEPTH = 3
 _CHUNK = 1 << 17
 
@@ -43,8 +46,6 @@ class Scheme:
     shingle: int = 3
     bits: int = 64
     distance: int = 3
-    masks: int = 0  # random masks of the sampled family; 0: the exact family
-    mask_bits: int = 16
     limit: int = 2048  # distinct fingerprints of a bucket that are compared with each other
 
     @property
@@ -59,7 +60,12 @@ class Near:
     shingle: int = 5
     similarity: tuple[int, int] = (4, 5)
     block: int = 256  # documents of a cluster that are compared with each other at once
-    candidates: Scheme = Scheme(shingle=5, bits=256, distance=46, masks=32)
+    bands: int = 48
+    rows: int = 8  # minima of a band
+
+    def recall(self, similarity: float) -> float:
+        """The share of the pairs of that similarity that have a band in common."""
+        return 1 - (1 - similarity**self.rows) ** self.bands
 
 
 NEAR = Near()
@@ -107,16 +113,12 @@ def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
 @lru_cache(maxsize=4096)
 def _masks(scheme: Scheme, path: int) -> np.ndarray:
     """The masks under a path; digits to the base of their number plus one lead from the whole to a mask."""
-    base = (scheme.masks or (scheme.distance + 2) * (scheme.distance + 1) // 2) + 1
+    base = (scheme.distance + 2) * (scheme.distance + 1) // 2 + 1
     used = _masks(scheme, path // base)[path % base - 1] if path else np.zeros(scheme.words, np.uint64)
     bits = np.unpackbits(used.astype("<u8").view(np.uint8), bitorder="little")
     left = np.flatnonzero(bits == 0)
-    if scheme.masks:
-        rng = np.random.default_rng(path + 1)
-        chosen = [rng.permutation(left)[: scheme.mask_bits] for _ in range(scheme.masks)]
-    else:
-        blocks = np.array_split(left, scheme.distance + 2)
-        chosen = [np.concatenate(pair) for pair in combinations(blocks, 2)]
+    blocks = np.array_split(left, scheme.distance + 2)
+    chosen = [np.concatenate(pair) for pair in combinations(blocks, 2)]
     out = []
     for c in chosen:
         mine = bits.copy()
@@ -389,9 +391,56 @@ def similar(docs: DataFrame, members: DataFrame, near: Near) -> DataFrame:
     return first.unionByName(_connected(rows, near)).distinct()
 
 
+def _bands(near: Near, h: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """A key for each band of minima of the hashes under the multipliers."""
+    least = np.full(len(by), np.iinfo(np.uint64).max)
+    for at in range(0, len(h), 1024):
+        np.minimum(least, (h[at : at + 1024, None] * by).min(0), out=least)
+    key = np.arange(1, near.bands + 1, dtype=np.uint64)
+    for x in least.reshape(near.bands, near.rows).T:
+        key = _mixed((key * np.uint64(0x9E3779B97F4A7C15)) ^ x)
+    return key
+
+
+def sketches(docs: DataFrame, near: Near) -> DataFrame:
+    """doc_id, c0, c1, bands: equal sets of distinct shingles have equal c0 and c1; a blank text has no bands."""
+    by = np.random.default_rng(near.bands * near.rows).integers(0, 1 << 63, near.bands * near.rows, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(hashed_shingles(x.as_py(), near.shingle)).astype("<u8") for x in b.column(1)]
+            same = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h.tobytes()) for h in sets), np.int64).reshape(-1, 2)
+            bands = pa.array([_bands(near, h, by).view(np.int64) if len(h) else [] for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same[:, 0]), pa.array(same[:, 1]), bands], ["doc_id", "c0", "c1", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, c0 long, c1 long, bands array<long>")
+
+
+def clusters(classes: DataFrame) -> DataFrame:
+    """(doc_id, cluster) of the classes (rep, bands) that common bands chain together, named by the smallest."""
+
+    def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, pivot = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, rep = b.column(0).to_numpy(), b.column(1).to_numpy()
+            new = np.concatenate([[open_key is None or key[0] != open_key], key[1:] != key[:-1]])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            to = np.where(start < 0, pivot, rep[start])
+            open_key, pivot = key[-1], to[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x[rep != to]) for x in (rep, to)], ["a", "b"])
+
+    keys = classes.select(F.explode("bands").alias("key"), "rep").repartition(partitions(classes.sparkSession), "key").sortWithinPartitions("key", "rep")
+    found = stored(components(keys.mapInArrow(starred, "a long, b long")))
+    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).unionByName(found.select(F.col("component").alias("doc_id"), F.col("component").alias("cluster")).distinct())
+
+
 def deduplicated(docs: DataFrame, near: Near = NEAR) -> DataFrame:
     """docs without the documents that similar pairs connect with a smaller doc_id; all columns stay."""
-    found = group(docs, near.candidates).where("doc_id is not null")
-    members = stored(found.select("doc_id", F.col("component_id").alias("cluster")).distinct())
-    gone = components(similar(docs, members, near)).select(F.col("node").alias("_gone")).distinct()
+    made = stored(sketches(docs, near).where(F.col("doc_id").isNotNull()))
+    classes = stored(made.groupBy("c0", "c1").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
+    copies = made.select("doc_id", "c0", "c1").join(classes.select("c0", "c1", "rep"), ["c0", "c1"]).where("doc_id <> rep").select("doc_id")
+    found = components(similar(docs, clusters(classes), near))
+    gone = copies.unionByName(found.select(F.col("node").alias("doc_id"))).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from loomline.llm import simhash
 from loomline.llm.simhash import Scheme
@@ -112,3 +113,31 @@ def test_documents_below_the_similarity_stay(spark):
     rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
     kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id for r in kept.collect()} == set(range(len(docs)))
+
+
+def test_all_pairs_just_above_the_similarity_are_linked(spark):
+    """Pairs at a similarity of 0.8 to 0.83; with small blocks, in one chained cluster, against brute force."""
+    rng = random.Random(6)
+    docs = []
+    while len(docs) < 600:
+        a = ["w%d" % rng.randrange(5000) for _ in range(200)]
+        b = changed(rng, a, rng.randrange(4, 6))
+        if 0.8 <= jaccard(a, b) < 0.83:
+            docs += [a, b]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.deduplicated(df).collect()} == set(range(0, 600, 2))
+    assert simhash.NEAR.recall(0.8) > 0.9998
+    docs = docs[:1]
+    while len(docs) < 60:
+        docs.append(changed(rng, docs[rng.randrange(len(docs))], rng.choice((1, 3, 6))))
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    low = list(range(60))
+    for _ in range(60):
+        for i in range(60):
+            for j in range(i):
+                if low[i] != low[j] and jaccard(docs[i], docs[j]) >= 0.8:
+                    low[i] = low[j] = min(low[i], low[j])
+    members = df.select("doc_id", F.lit(0).cast("long").alias("cluster"))
+    for block in (256, 5):
+        got = {r.node: r.component for r in simhash.components(simhash.similar(df, members, simhash.Near(block=block))).collect()}
+        assert [got.get(i, i) for i in range(60)] == low and 2 < len(set(low)) < 59
