@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries in one broadcast.
+#: Queries in one broadcast; about, where they are dealt to several.
 MOST_QUERIES = 10_000
 
 
@@ -16,11 +18,18 @@ def squared_distance(a: Column, b: Column) -> Column:
 def nearest(corpus: DataFrame, queries: DataFrame, k: int = 3, digits: int = 6) -> DataFrame:
     """(query_id, rank, vec_id, distance): exact, over the whole corpus.
 
-    Queries are an interactive set, checked to be small and then broadcast; ranks are cut before the shuffle.
+    Queries are broadcast, many of them in blocks, each with a pass over the corpus; ranks are cut before the shuffle.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: search them in parts")
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
+    blocks = -(-queries.count() // MOST_QUERIES)
+    if blocks > 1:
+        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        parts = [_nearest(corpus, q.where(block == i), k, digits) for i in range(blocks)]
+        return reduce(DataFrame.unionByName, parts)
+    return _nearest(corpus, q, k, digits)
+
+
+def _nearest(corpus: DataFrame, q: DataFrame, k: int, digits: int) -> DataFrame:
     pairs = corpus.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(squared_distance(F.col("embedding"), F.col("_q")), digits).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)

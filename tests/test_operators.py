@@ -186,3 +186,10 @@ def test_files_and_stream(spark, tmp_path):
     assert [r.name for r in spark.read.parquet(str(tmp_path / "el")).collect()] == ["f"]
     utf16 = spark.createDataFrame([(bytearray("hé".encode("utf-16")),), (bytearray(b"h\xe9"),), (bytearray("hé".encode()),)], "b binary")
     assert {r[0] for r in utf16.select(files.decoded(F.col("b"))).collect()} == {"hé"}
+
+
+def test_more_queries_than_one_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i * i % 31), float(i)]) for i in range(40)], "vec_id long, embedding array<float>")
+    want = sorted(retrieval.nearest(rows, rows, 3).collect())
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 7)
+    assert sorted(retrieval.nearest(rows, rows, 3).collect()) == want and len(want) == 120
