@@ -31,6 +31,10 @@ class Rule:
     trigger: str | None = None  # what the combined automaton looks for: each match of least characters has it
 
 
+#: A key's first line. The key goes to its END line if no two dashes come before; else over what looks like base64.
+_PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_BLANK = r"([\x09-\x0D\x20]|\\[nr])"
+
 #: The first three are the base rules, in this order. Lengths are tested on the match, so that a short match is
 #: consumed like any other and the combined automaton needs no counters for overlapping runs.
 RULES = (
@@ -40,7 +44,7 @@ RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", least=40),
     Rule("google", r"AIza[A-Za-z0-9_-]+", least=39),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", least=15),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", rf"{_PEM}(([^-]|-[^-])*-----END [A-Z ]*PRIVATE KEY-----|({_BLANK}+[A-Za-z0-9+/=]{{20,}})+({_BLANK}+[A-Za-z0-9+/=]+)?)?", trigger=_PEM),
 )
 BASE = ("assign", "access", "hex")
 
@@ -109,7 +113,8 @@ class Scanner:
         for start, end, k in self.spans(data):
             chars += start - at if text.isascii() else len(data[at:start].decode("utf-8", "surrogatepass"))
             at = start
-            out.append((self.rules[k].kind, chars, chars + end - start))
+            length = end - start if text.isascii() else len(data[start:end].decode("utf-8", "surrogatepass"))
+            out.append((self.rules[k].kind, chars, chars + length))
         return out
 
 
