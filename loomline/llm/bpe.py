@@ -6,21 +6,24 @@ first; a candidate is the last token if the shorter prefix's last token may stan
 stand side by side if the merges would never join across their border, a test on the pieces that exist at the
 border while each of them is being built. Back-pointers from the last prefix give the exact ids.
 
-Text is cut into pieces (and at the added tokens' strings) as the tokenizer file says. Encodings of pieces are
-kept in a bounded memory per worker.
+Text is cut into pieces (and at the added tokens' strings) as the tokenizer file says. The prefixes of equal length of
+many pieces are worked out at once in numpy; encodings of pieces are kept in a bounded memory per worker.
 
-Defined results: null or empty text has no ids and decodes to ''; texts of any length are encoded whole;
-repeated rows are encoded each by itself. Only byte-level BPE files without normalizer are read; others raise.
+Defined results: null or empty text has no ids and decodes to ''; texts of any length are encoded whole; ties can't
+occur, since the last token of a prefix is unique; repeated rows are encoded each by itself; an empty table gives no
+rows; columns other than doc_id and text are ignored, whatever their names; a null doc_id stays null. Only byte-level
+BPE files without normalizer are read; others raise.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,8 +34,10 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _OTHER = re.compile(rf"[^\x00-\x7f{_LATIN}]")
 _LATIN_PIECES = re.compile(rf" ?[{_LATIN}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+", re.A)
-#: Pieces whose ids a worker remembers at most.
-REMEMBERED = 800_000
+#: A worker's memory: pieces (of LONG_PIECE characters at most) and pairs of tokens, about 45 and 12 MB.
+REMEMBERED, REMEMBERED_PAIRS, LONG_PIECE = 250_000, 400_000, 64
+#: Characters of text cut into pieces together; bytes of pieces, and how few pieces, encoded together.
+TOGETHER, CELLS, FEW = 1 << 20, 1 << 18, 24
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -69,27 +74,22 @@ class Tokenizer:
             t = self.ids[self.bytes_of[a] + self.bytes_of[b]]
             self.rank[a << 20 | b] = r
             self.made.setdefault(t, (a, b, r))
-        self._right: dict[int, list[tuple[int, float]]] = {}
-        self._left: dict[int, list[tuple[int, float]]] = {}
-        self._pairs: dict[int, bool] = {}
-        self._remembered: dict[str, tuple[int, ...]] = {}
+        self._borders = lru_cache(8192)(self._border)
+        self._pairs = _Pairs(0)
+        self._specials: dict[str | int, bytes] = {i: i.to_bytes(4, "little") for i in self.added.values()}
+        self._remembered, self._again = dict(self._specials), set[str | int]()
         self._automaton()
         self._decoded = {i: self.bytes_of[i] for i in self.bytes_of} | {i: t.encode() for t, i in self.added.items()}
 
     def _border(self, token: int, side: int) -> list[tuple[int, float]]:
         """The pieces that stand at the token's right (side 1) or left (0) border while it is built, each with the rank of the merge that ends it."""
-        kept = self._right if side else self._left
-        found = kept.get(token)
-        if found is None:
-            found, t, until = [], token, float("inf")
-            while True:
-                found.append((t, until))
-                if t not in self.made:
-                    break
-                until = self.made[t][2]
-                t = self.made[t][side]
-            kept[token] = found
-        return found
+        found, t, until = [], token, float("inf")
+        while True:
+            found.append((t, until))
+            if t not in self.made:
+                return found
+            until = self.made[t][2]
+            t = self.made[t][side]
 
     def _compatible(self, left: int, right: int, before: float = float("inf")) -> bool:
         """Whether no merge of a rank below ``before`` joins the two across their border.
@@ -98,7 +98,7 @@ class Tokenizer:
         border, one across the border before one inside the right token.
         """
         rank = self.rank
-        ours, theirs = self._border(left, 1), self._border(right, 0)
+        ours, theirs = self._borders(left, 1), self._borders(right, 0)
         i, j = len(ours) - 1, len(theirs) - 1
         while True:  # through time: only pieces that exist together are tried
             a, a_until = ours[i]
@@ -120,40 +120,52 @@ class Tokenizer:
             if j < 0:
                 return True
 
-    @lru_cache(maxsize=None)  # noqa: B019 - as long as the tokenizer
-    def _whole(self, token: int) -> bool:
+    def _whole(self, token: int, known: dict[int, bool]) -> bool:
         """Whether the token's bytes are encoded as the token itself."""
-        if token not in self.made:
-            return len(self.bytes_of[token]) == 1
-        a, b, r = self.made[token]
-        return self._whole(a) and self._whole(b) and self._compatible(a, b, r)
+        found = known.get(token)
+        if found is None:
+            if token not in self.made:
+                found = len(self.bytes_of[token]) == 1
+            else:
+                a, b, r = self.made[token]
+                found = self._whole(a, known) and self._whole(b, known) and self._compatible(a, b, r)
+            known[token] = found
+        return found
 
     def _automaton(self) -> None:
-        """States are the beginnings of tokens. A state's candidates: (token, length) for each token that is one of its suffixes, longest first."""
+        """States are the beginnings of tokens; ``first`` leads from a state to the longest token among its suffixes,
+        ``shorter`` from a token's state to the next one."""
         self._go: dict[int, int] = {}  # state << 8 | byte
-        own: list[tuple[int, int] | None] = [None]
-        depth_order: list[tuple[int, int, int]] = []
+        token, parent, last_byte = [-1], [0], [0]
+        known: dict[int, bool] = {}
         for b, i in sorted(self.ids.items(), key=lambda x: len(x[0])):
-            if not self._whole(i):
+            if not self._whole(i, known):
                 continue
             state = 0
             for c in b:
                 to = self._go.get(state << 8 | c)
                 if to is None:
-                    to = self._go[state << 8 | c] = len(own)
-                    own.append(None)
-                    depth_order.append((state, c, to))
+                    to = self._go[state << 8 | c] = len(token)
+                    token.append(-1)
+                    parent.append(state)
+                    last_byte.append(c)
                 state = to
-            own[state] = (i, len(b))
-        level = [0] * len(own)
-        for parent, _, state in depth_order:
-            level[state] = level[parent] + 1
-        self._fail = [0] * len(own)
-        self._candidates: list[tuple[tuple[int, int], ...]] = [()] * len(own)
-        for parent, c, state in sorted(depth_order, key=lambda x: level[x[2]]):
-            self._fail[state] = self._step(self._fail[parent], c) if parent else 0
-            rest = self._candidates[self._fail[state]]
-            self._candidates[state] = (own[state], *rest) if own[state] else rest
+            token[state] = i
+        if sum(k >> 8 == 0 for k in self._go) < 256:
+            raise ValueError("the vocabulary lacks some of the 256 bytes")
+        n = len(token)
+        depth = [0] * n
+        for s in range(1, n):  # a state's parent comes before it
+            depth[s] = depth[parent[s]] + 1
+        fail, first, shorter = [0] * n, [0] * n, [0] * n
+        self._fail = fail
+        for s in sorted(range(1, n), key=depth.__getitem__):
+            fail[s] = self._step(fail[parent[s]], last_byte[s]) if parent[s] else 0
+            first[s] = s if token[s] >= 0 else first[fail[s]]
+            shorter[s] = first[fail[s]]
+        self._fail, self._first, self._shorter, self._token, self._depth = (np.array(x, np.int32) for x in (fail, first, shorter, token, depth))
+        self._goes = _Pairs(len(self._go))
+        self._goes.add(np.fromiter(self._go.keys(), np.int64, len(self._go)), np.fromiter(self._go.values(), np.int32, len(self._go)))
 
     def _step(self, state: int, byte: int) -> int:
         """The longest beginning of a token that is a suffix of state + byte."""
@@ -161,66 +173,217 @@ class Tokenizer:
             to = self._go.get(state << 8 | byte)
             if to is not None or not state:
                 return to or 0
-            state = self._fail[state]
-
-    def piece(self, piece: bytes) -> tuple[int, ...]:
-        """The ids of a piece."""
-        last = [0] * len(piece)
-        lengths = [0] * len(piece)
-        pairs, go, step, candidates = self._pairs, self._go, self._step, self._candidates
+            state = int(self._fail[state])
+
+    def _steps(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """``_step`` of many states."""
+        out, at, todo = np.zeros(len(state), np.int32), state.astype(np.int64), np.arange(len(state))
+        while len(todo):
+            to = self._goes.get(at[todo] << 8 | byte[todo])
+            hit = to >= 0
+            out[todo[hit]] = to[hit]
+            todo = todo[~hit & (at[todo] > 0)]
+            at[todo] = self._fail[at[todo]]
+        return out
+
+    def _may_follow(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether the tokens left << 20 | right may stand side by side."""
+        found = self._pairs.get(pairs)
+        if (found < 0).any():
+            new = np.unique(pairs[found < 0])
+            if self._pairs.held + len(new) > REMEMBERED_PAIRS:
+                self._pairs = _Pairs(0)
+                new = np.unique(pairs)
+            self._pairs.add(new, np.fromiter((self._compatible(int(p) >> 20, int(p) & 0xFFFFF) for p in new), np.int32, len(new)))
+            found = self._pairs.get(pairs)
+        return found > 0
+
+    def piece(self, piece: bytes) -> bytes:
+        """The packed ids of one piece, prefix after prefix."""
+        first, shorter, token, depth = (x.item for x in (self._first, self._shorter, self._token, self._depth))
+        last, lengths, known = [0] * len(piece), [0] * len(piece), {}
         state = 0
         for end, byte in enumerate(piece):
-            state = go.get(state << 8 | byte) or step(state, byte)
-            for token, n in candidates[state]:
-                if n <= end:
-                    before = last[end - n]
-                    key = before << 20 | token
-                    ok = pairs.get(key)
-                    if ok is None:
-                        if len(pairs) > REMEMBERED:
-                            pairs.clear()
-                        ok = pairs[key] = self._compatible(before, token)
-                    if not ok:
-                        continue
-                last[end] = token
-                lengths[end] = n
-                break
+            state = self._go.get(state << 8 | byte) or self._step(state, byte)
+            s = first(state)
+            while True:
+                t, n = token(s), depth(s)
+                if n > end:
+                    break
+                pair = (last[end - n], t)
+                ok = known.get(pair)
+                if ok is None:
+                    if len(known) > REMEMBERED_PAIRS:
+                        known.clear()
+                    ok = known[pair] = self._compatible(*pair)
+                if ok:
+                    break
+                s = shorter(s)
+            last[end], lengths[end] = t, n
         out, at = [], len(piece) - 1
         while at >= 0:
             out.append(last[at])
             at -= lengths[at]
-        out.reverse()
-        return tuple(out)
-
-    def _remember(self, piece: str) -> tuple[int, ...]:
-        if len(self._remembered) >= REMEMBERED:
-            self._remembered.clear()
-        found = self.piece(piece.encode())
-        if len(piece) <= 64:
-            self._remembered[piece] = found
-        return found
-
-    def _plain(self, text: str) -> list[int]:
-        get, remember = self._remembered.get, self._remember
-        pieces = PIECES if _OTHER.search(text) else _LATIN_PIECES
-        return list(chain.from_iterable([get(p) or remember(p) for p in pieces.findall(text)]))
+        return np.array(out[::-1], "<u4").tobytes()
+
+    def pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of each piece: the prefixes of one length of all pieces are worked out at once."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order, at = np.argsort(-lengths, kind="stable"), 0
+        out: list[bytes] = [b""] * len(pieces)
+        while at < len(order):
+            here = order[at : at + CELLS // max(1, int(lengths[order[at]]))]
+            if len(here) < FEW:  # numpy has no use for so few; very long pieces are such
+                here = order[at : at + 1]
+                found = [self.piece(pieces[here[0]])]
+            else:
+                found = self._together([pieces[i] for i in here], lengths[here])
+            for i, ids in zip(here, found, strict=True):
+                out[i] = ids
+            at += len(here)
+        return out
+
+    def _together(self, pieces: list[bytes], lengths: np.ndarray) -> list[bytes]:
+        """``pieces`` of some pieces in descending order of their lengths."""
+        data, n, most = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64), len(pieces), int(lengths[0])
+        begin = np.cumsum(lengths) - lengths
+        last, size = np.zeros((most, n), np.int32), np.zeros((most, n), np.int32)
+        state = np.zeros(n, np.int32)
+        for end in range(most):
+            live = int(np.searchsorted(-lengths, -end))  # those longer than end
+            state = self._steps(state[:live], data[begin[:live] + end])
+            candidate, todo = self._first[state], np.arange(live)
+            while len(todo):
+                c = candidate[todo]
+                width, token = self._depth[c], self._token[c]
+                ok = width > end
+                inner = np.flatnonzero(~ok)
+                before = last[end - width[inner], todo[inner]].astype(np.int64)
+                ok[inner] = self._may_follow(before << 20 | token[inner])
+                last[end, todo[ok]], size[end, todo[ok]] = token[ok], width[ok]
+                todo = todo[~ok]
+                candidate[todo] = self._shorter[candidate[todo]]
+        rows = np.arange(n)
+        at, ids, count = lengths - 1, np.zeros((n, most), "<u4"), np.zeros(n, np.int64)
+        while len(rows):  # the pointers back, from the right
+            here = at[rows]
+            count[rows] += 1
+            ids[rows, most - count[rows]] = last[here, rows]
+            at[rows] = here - size[here, rows]
+            rows = rows[at[rows] >= 0]
+        flat = ids[np.arange(most) >= most - count[:, None]].tobytes()
+        ends = (4 * np.cumsum(count)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _cut(self, text: str) -> list[str | int]:
+        """The text's pieces; an added token is its id."""
+        find = (PIECES if _OTHER.search(text) else _LATIN_PIECES).findall
+        parts = self.at_added.split(text) if self.at_added else [text]
+        if len(parts) == 1:
+            return find(text)
+        return [x for k, part in enumerate(parts) for x in ([self.added[part]] if k % 2 else find(part))]
+
+    def _cut_long(self, text: str) -> Iterator[list[str | int]]:
+        """``_cut`` of a long text in parts."""
+        pattern = PIECES if _OTHER.search(text) else _LATIN_PIECES
+        parts = enumerate(self.at_added.split(text) if self.at_added else [text])
+        pieces = chain.from_iterable([self.added[x]] if k % 2 else (m[0] for m in pattern.finditer(x)) for k, x in parts)
+        while part := list(islice(pieces, TOGETHER // 4)):
+            yield part
+
+    def _known(self, pieces: set[str | int]) -> dict[str | int, bytes]:
+        """The packed ids of all pieces, some more among them."""
+        if len(self._remembered) > REMEMBERED:  # what was asked for once goes
+            kept = self._again if len(self._again) < REMEMBERED // 2 else set()
+            self._remembered, self._again = self._specials | {p: self._remembered[p] for p in kept}, set()
+        missing = pieces.difference(self._remembered)
+        self._again |= pieces - missing
+        new = list(missing)
+        found = dict(zip(new, self.pieces([p.encode("utf-8", "surrogatepass") for p in new]), strict=True))
+        if max(map(len, new), default=0) <= LONG_PIECE:
+            self._remembered.update(found)
+            return self._remembered
+        self._remembered.update((p, ids) for p, ids in found.items() if len(p) <= LONG_PIECE)
+        return self._remembered | found
+
+    def packed(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers."""
+        texts = iter(texts)
+        while group := list(_some(texts)):
+            if len(group[-1]) > TOGETHER:  # it ends its group
+                last = group.pop()
+            else:
+                last = None
+            cut = [self._cut(x) for x in group]
+            ids = self._known(set().union(*cut))
+            for x in cut:
+                yield b"".join(map(ids.__getitem__, x))
+            if last is not None:
+                yield b"".join(b"".join(map(self._known(set(part)).__getitem__, part)) for part in self._cut_long(last))
 
     def encode(self, text: str) -> list[int]:
-        if self.at_added is None:
-            return self._plain(text)
-        parts = self.at_added.split(text)
-        if len(parts) == 1:
-            return self._plain(text)
-        return [i for k, part in enumerate(parts) for i in ([self.added[part]] if k % 2 else self._plain(part))]
+        return np.frombuffer(next(self.packed([text])), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Bytes that are not UTF-8 become U+FFFD."""
         return b"".join(map(self._decoded.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
+def _some(texts: Iterator[str]) -> Iterator[str]:
+    """The next texts, until they have ``TOGETHER`` characters; none at the end."""
+    size = 0
+    for x in texts:
+        yield x
+        size += len(x)
+        if size >= TOGETHER:
+            return
+
+
+class _Pairs:
+    """Whole numbers by keys that are not negative, in numpy arrays: the pairs are looked up many at a time."""
+
+    def __init__(self, room: int) -> None:
+        self.bits = max(12, (2 * room).bit_length())
+        self.key, self.value, self.held = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32), 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 where there is none."""
+        at = self._slot(keys)
+        there = self.key[at]
+        out = np.where(there == keys, self.value[at], -1)
+        todo = np.flatnonzero((there != keys) & (there >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+            there = self.key[at[todo]]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.value[at[todo[hit]]]
+            todo = todo[~hit & (there >= 0)]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """New keys, each once."""
+        if 2 * (self.held + len(keys)) > len(self.key):
+            old = self.key >= 0
+            had, of = self.key[old], self.value[old]
+            self.__init__(2 * (self.held + len(keys)))
+            self.add(had, of)
+        self.held += len(keys)
+        at, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.key[at[todo]] < 0]
+            self.key[at[free]] = keys[free]  # of those for one slot the last gets it
+            got = self.key[at[todo]] == keys[todo]
+            self.value[at[todo[got]]] = values[todo[got]]
+            todo = todo[~got]
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+
+
+@lru_cache(maxsize=1)
 def tokenizer(path: str) -> Tokenizer:
-    """One tokenizer per worker and file."""
+    """One tokenizer per worker."""
     return Tokenizer(path)
 
 
@@ -231,7 +394,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         t = tokenizer(path)
         for b in batches:
             for part in _small(b):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t.encode(x.as_py() or "") for x in part.column(1)], pa.list_(pa.int32()))], ["doc_id", "ids"])
+                packed = list(t.packed(x.as_py() or "" for x in part.column(1)))
+                edges = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(encoded, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -266,8 +432,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         numerals = [str(i) for i in range(t.size)]
         for b in batches:
             n, of_ids, of_text = [], [], []
-            for x in b.column(1):
-                ids = t.encode(x.as_py() or "")
+            for packed in t.packed(x.as_py() or "" for x in b.column(1)):
+                ids = np.frombuffer(packed, "<u4").tolist()
                 n.append(len(ids))
                 of_ids.append(sha256(",".join(map(numerals.__getitem__, ids)).encode()).hexdigest())
                 of_text.append(sha256(t.decode(ids).encode()).hexdigest())

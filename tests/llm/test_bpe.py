@@ -26,6 +26,20 @@ def test_same_ids_as_the_library(pair):
         assert ours.decode(ids) == theirs.decode(ids, skip_special_tokens=False)
 
 
+def test_many_at_once_and_long_ones(pair, monkeypatch):
+    ours, theirs = pair
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdeéüx\u4e2d\u6587") for _ in range(rng.randrange(1, 14)))
+    texts = [" ".join(word() for _ in range(400)) for _ in range(60)] + ["", "x" * 3000 + " <|endoftext|>y", "\u4e2d\u6587" * 40]
+    want = [theirs.encode(x, add_special_tokens=False).ids for x in texts]
+    as_ids = lambda packed: [int.from_bytes(packed[i : i + 4], "little") for i in range(0, len(packed), 4)]
+    assert list(map(as_ids, ours.packed(texts))) == want
+    monkeypatch.setattr(bpe, "TOGETHER", 1000)  # long texts in parts, and a memory that keeps little
+    monkeypatch.setattr(bpe, "REMEMBERED", 300)
+    monkeypatch.setattr(bpe, "REMEMBERED_PAIRS", 500)
+    assert list(map(as_ids, bpe.Tokenizer(bpe.default_path()).packed(texts))) == want
+
+
 def test_broken_bytes(pair):
     ours, theirs = pair
     rng = random.Random(6)
