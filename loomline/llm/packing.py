@@ -2,14 +2,16 @@
 
 Texts become ids and a final id 0. What is longer than a sequence is cut into full pieces, the first of which
 may be shorter; full pieces are sequences of their own. The other pieces are dealt at random to pods of about
-``POD`` pieces. Each pod is evolved on several islands: crossover injects whole well-filled bins of one
+``POD`` pieces. Each pod starts from best fit decreasing; where that has as few sequences as the total length allows,
+nothing can be gained. The others are evolved on several islands: crossover injects whole well-filled bins of one
 parent into another, removes the bins that hold an injected piece again, and puts their displaced pieces back by
 best fit. Between rounds each island gets the elite of its neighbour. The best solution of a pod's islands stands.
 
-Each pod is bounded, so work and memory per task don't grow with the input; a pod wastes less than one sequence.
+Each pod is bounded, so work and memory per task don't grow with the input; an unlucky pod wastes part of a sequence.
 
-Defined results: a null or empty text is one piece of length 1; ties are broken by doc_id and piece; repeated rows
-are packed each by itself; an empty table gives no rows.
+Defined results: a null or empty text is one piece of length 1; a very long text gives as many pieces as it needs; ties
+are broken by doc_id and piece; repeated rows are packed each by itself; a null doc_id stays null; an empty table gives
+no rows; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -79,12 +81,16 @@ def mutated(lengths: list[int], bins: Bins, capacity: int, rng: np.random.Genera
     return best_fit(lengths, [list(b) for k, b in enumerate(bins) if k not in gone], items, capacity)
 
 
+def lower_bound(lengths: list[int], capacity: int) -> int:
+    return -(-sum(lengths) // capacity)
+
+
 def evolve(lengths: list[int], elite: list[Bins], seed: int, capacity: int = LENGTH) -> list[Bins]:
     """The ELITE best solutions after OFFSPRING births, from the elite given or from nothing."""
     rng = np.random.default_rng(seed)
     decreasing = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     people = [list(map(list, e)) for e in elite] or [best_fit(lengths, [], decreasing, capacity)]
-    least = -(-sum(lengths) // capacity)
+    least = lower_bound(lengths, capacity)
     if min(map(len, people)) == least:  # no solution has fewer bins
         return sorted(people, key=lambda p: -fitness(lengths, p, capacity))[:ELITE]
     while len(people) < POPULATION:
@@ -107,15 +113,19 @@ def pieces(docs: DataFrame, path: str, capacity: int = LENGTH) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for b in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.array([*t.encode(text.as_py() or ""), 0], "<u4")
-                edges = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
-                rows += [(doc, k, s, e - s, zlib.crc32(ids[s:e].tobytes())) for k, (s, e) in enumerate(zip(edges, edges[1:], strict=False))]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            of: list[int] = []
+            rows: list[tuple[int, int, int, int]] = []
+            for i, packed in enumerate(t.packed(x.as_py() or "" for x in b.column(1))):
+                ids = memoryview(packed + b"\0\0\0\0")
+                n = len(ids) // 4
+                edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
+                rows += [(k, s, e - s, zlib.crc32(ids[4 * s : 4 * e])) for k, (s, e) in enumerate(zip(edges, edges[1:], strict=False))]
+                of += [i] * (len(edges) - 1)
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            docs_of = b.column(0).take(pa.array(of, pa.int64()))
+            yield pa.RecordBatch.from_arrays([docs_of, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
@@ -153,22 +163,41 @@ def _numbers(bins: Bins, n: int) -> list[int]:
     return out
 
 
+def _first(pods: DataFrame, capacity: int) -> DataFrame:
+    """(pod, lengths, elite, fitness, solved): best fit decreasing; solved if no solution has fewer sequences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for pod, lengths in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                bins = best_fit(lengths, [], sorted(range(len(lengths)), key=lambda i: -lengths[i]), capacity)
+                done = len(bins) == lower_bound(lengths, capacity)
+                out = ([pod], [lengths], [_numbers(bins, len(lengths))], [fitness(lengths, bins, capacity)], [done])
+                kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.float64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["pod", "lengths", "elite", "fitness", "solved"])
+
+    return pods.mapInArrow(run, "pod long, lengths array<int>, elite array<int>, fitness double, solved boolean")
+
+
 def pack(cut: DataFrame, capacity: int = LENGTH, pod: int = POD) -> DataFrame:
     """The pieces with sequence_id and offset. cut is read several times: a stored table."""
     full = cut.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     items = cut.where(F.col("length") < capacity)
     pods = max(1, -(-items.count() // pod))
-    items = items.withColumn("pod", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(pods)))
+    row = F.monotonically_increasing_id()  # equal rows, too, are dealt to all pods
+    items = items.withColumn("pod", F.pmod(F.xxhash64("doc_id", "piece", row), F.lit(pods)))
     order = Window.partitionBy("pod").orderBy(F.col("length").desc(), "doc_id", "piece")
     items = stored(items.withColumn("nth", F.row_number().over(order) - 1))
     lengths = F.transform(F.array_sort(F.collect_list(F.struct("nth", "length"))), lambda x: x["length"].cast("int"))
-    none = F.lit(None).cast("array<int>")
-    islands = items.groupBy("pod").agg(lengths.alias("lengths")).select("pod", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "lengths", none.alias("elite"), none.alias("migrants"))
-    state = stored(_evolved(islands, 0, capacity))
-    for turn in range(1, ROUNDS):
-        guests = state.select("pod", ((F.col("island") + 1) % ISLANDS).alias("island"), F.slice("elite", 1, F.size("lengths")).alias("migrants"))
-        state = stored(_evolved(state.join(guests, ["pod", "island"]), turn, capacity))
-    best = state.groupBy("pod").agg(F.max_by(F.slice("elite", 1, F.size("lengths")), F.struct("fitness", "island")).alias("bins"))
+    first = stored(_first(items.groupBy("pod").agg(lengths.alias("lengths")).repartition(partitions(cut.sparkSession), "pod"), capacity))
+    best = first.select("pod", "elite", "fitness", F.lit(-1).alias("island"))
+    state = first.where(~F.col("solved")).select("pod", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "lengths", "elite", F.lit(None).cast("array<int>").alias("migrants"))
+    for turn in range(ROUNDS):
+        if turn:
+            guests = state.select("pod", ((F.col("island") + 1) % ISLANDS).alias("island"), F.slice("elite", 1, F.size("lengths")).alias("migrants"))
+            state = state.select("pod", "island", "lengths", "elite").join(guests, ["pod", "island"])
+        state = stored(_evolved(state, turn, capacity))
+    best = best.unionByName(state.select("pod", F.slice("elite", 1, F.size("lengths")).alias("elite"), "fitness", "island"))
+    best = best.groupBy("pod").agg(F.max_by("elite", F.struct("fitness", "island")).alias("bins"))
     placed = items.join(best.select("pod", F.posexplode("bins").alias("nth", "bin")), ["pod", "nth"])
     inside = Window.partitionBy("pod", "bin").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(inside), F.lit(0)).alias("offset")

@@ -24,6 +24,19 @@ def test_evolution_packs_tightly():
         assert len(bins) <= 62
 
 
+def test_evolution_beats_best_fit():
+    rng = random.Random(11)
+    lengths = []
+    for _ in range(150):  # three pieces fill a sequence; best fit decreasing pairs them badly
+        a, b = rng.randrange(500, 820), rng.randrange(500, 820)
+        lengths += [a, b, 2048 - a - b]
+    plain = packing.best_fit(lengths, [], sorted(range(len(lengths)), key=lambda i: -lengths[i]), 2048)
+    elite = packing.evolve(lengths, [], 3)
+    for turn in range(3):
+        elite = packing.evolve(lengths, elite, 4 + turn)
+    assert len(elite[0]) < len(plain)
+
+
 def test_crossover_keeps_each_piece_once():
     rng = np.random.default_rng(3)
     lengths = [int(x) for x in rng.integers(1, 2048, 80)]
@@ -78,6 +91,20 @@ def test_shards(spark):
     assert sharding.assign(df.limit(0)).count() == 0
 
 
+def test_shards_keep_the_law(spark):
+    """Brute force: groups stay together unless they are large, sizes are near equal."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdef") * rng.randrange(1, 9) for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
+    rows = [(i, t) for i, t in enumerate(texts + texts[:500] + [None, "", None])]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    sizes, where = defaultdict(int), defaultdict(set)
+    for r in got:
+        sizes[r.shard] += len((rows[r.doc_id][1] or "").encode()) + 16
+        where[rows[r.doc_id][1] or ""].add(r.shard)
+    assert len(got) == len(rows) and max(map(len, where.values())) == 1
+    assert set(sizes) <= set(range(8)) and max(sizes.values()) <= 1.01 * sum(sizes.values()) / 8
+
+
 def test_place_balances():
     rng = np.random.default_rng(1)
     units = np.stack([x := np.sort(rng.pareto(1.5, 5000) * 1000 + 20)[::-1], x / 5, np.ones(5000)], 1)
