@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import stored
+from loomline.llm.common import lean, stored
 
 SAMPLE, BRANCH, LEAF_SAMPLE, PROBES, TARGET = 16_384, 12, 48, 100, 0.97
 #: Rows that are compared together, about.
@@ -137,7 +137,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
             leaf = shared.value.leaf_of(_matrix(b.column(1)))
             yield pa.RecordBatch.from_arrays([pa.array(leaf), *b.columns], ["leaf", "cid", "vec", "ids"])
 
-    index = stored(classes.mapInArrow(indexed, "leaf long, cid long, vec array<double>, ids array<long>"))
+    index = stored(classes.mapInArrow(lean(indexed), "leaf long, cid long, vec array<double>, ids array<long>"))
     visits = _calibrated(index, asked, shared.value, k)
     sizes = sorted((r[0], r[1]) for r in index.groupBy("leaf").count().collect())  # one row per leaf of the tree
     groups, room = [], 0
@@ -168,7 +168,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(leaves, pa.list_(pa.int64())), *(c.take(pa.array(at, pa.int64())) for c in b.columns)], ["group", "leaves", "cid", "vec"])
 
     blocks = F.broadcast(deal.groupBy("group").agg(F.max("blocks").alias("blocks")))
-    sent = asked.select("cid", "vec").mapInArrow(routed, "group int, leaves array<long>, cid long, vec array<double>").join(blocks, "group")
+    sent = asked.select("cid", "vec").mapInArrow(lean(routed), "group int, leaves array<long>, cid long, vec array<double>").join(blocks, "group")
     sent = sent.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("cid").alias("query"), "vec", "leaves")
     base = index.join(F.broadcast(deal), "leaf").select("group", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("block"), "leaf", "cid", "vec", "ids")
 
@@ -223,7 +223,7 @@ def _calibrated(index: DataFrame, asked: DataFrame, tree: Tree, k: int) -> int:
             d = ((x[at] - q[of]) ** 2).sum(1)
             yield pa.RecordBatch.from_arrays([pa.array(of), b.column(0).take(pa.array(at)), pa.array(d), b.column(2).take(pa.array(at))], ["probe", "leaf", "d", "n"])
 
-    rows = index.select("leaf", "vec", F.size("ids").alias("n")).mapInArrow(scanned, "probe long, leaf long, d double, n int")
+    rows = index.select("leaf", "vec", F.size("ids").alias("n")).mapInArrow(lean(scanned), "probe long, leaf long, d double, n int")
     nth = F.row_number().over(Window.partitionBy("probe").orderBy("d", "leaf"))
     best = rows.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("probe", "leaf").collect()  # PROBES x (k + 1) rows at most
     place = [{leaf: i for i, leaf in enumerate(tree.leaves_by_promise(v))} for v in q]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-import time
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,32 +32,62 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def _tidy(spark: SparkSession) -> None:
-    """Lets finished shuffles go now and not at the driver's next full collection, which can be half an hour away.
-
-    What holds a finished plan (events that wait for listeners, objects with finalizers) is itself freed by the first
-    collection only.
-    """
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    gc.collect()
-    for _ in range(2):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+#: Spark's own setting: a query's shuffle files go when the query ends, not when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet below the shared folder and read again: cuts lineage, survives lost executors.
 
-    The files go when the driver ends.
+    The shuffles behind it go at once; the files go by ``let_go`` or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomline/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    _tidy(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomline_path = path
+    return out
+
+
+def let_go(df: DataFrame) -> None:
+    """Deletes a stored table of which nothing is read any more."""
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._loomline_path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for ``mapInArrow``, giving memory back after each batch.
+
+    Python workers serve one task after another for as long as an executor lives; what allocators keep of each
+    operator's largest batch would add up.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b
+                del b
+                _give_back()
+
+        yield from f(each())
+        _give_back()
+
+    return run
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:

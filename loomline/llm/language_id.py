@@ -1,38 +1,52 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 The model is fitted on a bounded, documented sample of labelled rows (``train_docs_per_lang`` whole texts per
-language, chosen by a hash of doc_id). Its log-probability matrix (``2**bits`` x languages) is broadcast; the
+language, chosen by a hash of doc_id). Its log-probability matrix (``2**bits`` x languages) is broadcast in blocks of
+``BLOCK_LANGS`` languages, one pass over the texts for each block, so any number of languages can be learned; the
 n-grams of whole texts are scored in numpy, batch by batch. A prediction uses the text only.
 
-Defined results: a null text, an empty text or one without any letter is ``und`` with score 0; training rows
-with null text, null lang or null doc_id are not learned from; with no training rows everything is ``und``.
-Equal posteriors go to the language that sorts first. Repeated rows are predicted each by itself.
+Defined results: a null text, an empty text or one without any letter (Unicode category L) is ``und`` with score 0;
+very long texts are scored whole, piece by piece; training rows with null text, null lang or null doc_id are not
+learned from, repeated rows of a doc_id once per language; with no training rows, and for an empty table, everything
+is ``und``. Equal posteriors go to the language that sorts first. Repeated rows are predicted each by itself. A null
+doc_id is predicted like any other, its held_out is null. Other columns are ignored, or kept by ``accepted`` (their names
+may be any but those that begin with ``_loomline_``).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
-MAX_LANGS = 512
+from loomline.llm.common import lean, stored
+
+BLOCK_LANGS = 64
 ORDERS = (1, 2, 3)
-_LETTER = re.compile(r"[^\W\d_]")
-#: Characters scored at once; a longer text is scored piece by piece, n-grams across pieces included.
-_BLOCK = 1 << 19
+_LETTER = regex.compile(r"\p{L}")
+#: Numbers gathered at once when texts are scored.
+_CELLS = 1 << 21
 
 
 @dataclass
 class Model:
+    """A block of languages; priors are those among all languages."""
+
     langs: list[str]
     log_prob: np.ndarray  # (buckets + 1) x languages; the last row is zero, for positions that start no n-gram
     log_prior: np.ndarray
 
+    @property
+    def characters(self) -> int:
+        """Characters scored at once; a longer text is scored piece by piece, n-grams across pieces included."""
+        return max(1024, _CELLS // (len(ORDERS) * max(1, len(self.langs))))
+
 
 def _buckets(code: np.ndarray, order: int, bits: int) -> np.ndarray:
     """Bucket of the n-gram that starts at each position (order - 1 positions fewer than characters)."""
@@ -44,11 +58,11 @@ def _buckets(code: np.ndarray, order: int, bits: int) -> np.ndarray:
     return (h >> np.uint64(7)) & np.uint64((1 << bits) - 1)
 
 
-def _pieces(text: str) -> Iterator[tuple[str, int]]:
+def _pieces(text: str, size: int) -> Iterator[tuple[str, int]]:
     """(piece, n): pieces of a text, the last n characters of which start no n-gram but in the next piece."""
-    for at in range(0, max(len(text), 1), _BLOCK):
-        piece = text[at : at + _BLOCK + ORDERS[-1] - 1]
-        yield piece, max(0, len(piece) - _BLOCK) if at + _BLOCK < len(text) else 0
+    for at in range(0, max(len(text), 1), size):
+        piece = text[at : at + size + ORDERS[-1] - 1]
+        yield piece, max(0, len(piece) - size) if at + size < len(text) else 0
 
 
 def _ngrams(texts: list[str], overlaps: list[int], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,12 +100,11 @@ def _scored(texts: list[str], model: Model, bits: int) -> np.ndarray:
         batch, of, size = [], [], 0
 
     for i, text in enumerate(texts):
-        low = text.lower()
-        for piece in _pieces(low):
+        for piece in _pieces(text.lower(), model.characters):
             batch.append(piece)
             of.append(i)
             size += len(piece[0])
-            if size >= _BLOCK // 4:
+            if size >= model.characters:
                 flush()
     flush()
     return out + model.log_prior
@@ -101,79 +114,100 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
 
-def fit(docs: DataFrame, train_docs_per_lang: int = 1500, bits: int = 15, smoothing: float = 0.5) -> Model:
-    """The model of a bounded sample: at most ``train_docs_per_lang`` whole texts of each language."""
+def sample(docs: DataFrame, train_docs_per_lang: int) -> DataFrame:
+    """(lang, text): of each language at most that many whole texts, those of the least hashes of doc_id.
+
+    No language's rows come together: counts tell below which hash about that many rows lie, and only those are ranked.
+    """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= train_docs_per_lang).select("doc_id").distinct()
-    langs = [r[0] for r in chosen.join(labelled.select("doc_id", "lang"), "doc_id").select("lang").distinct().limit(MAX_LANGS + 1).collect()]
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages: the broadcast matrix would have no proven bound")
-    # at most train_docs_per_lang x MAX_LANGS ids are broadcast
-    sample = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("_loomline_n"))
+    enough = train_docs_per_lang + 8 * train_docs_per_lang**0.5 + 8  # so many are nearly always more than asked for
+    # the hash as a number from 0 to 1; grouping before the rank: repeated rows of an id are one
+    place = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 32)) / float(1 << 32)
+    few = labelled.select("doc_id", "lang").join(counts, "lang").where(place * F.col("_loomline_n") < enough).select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    chosen = few.withColumn("_loomline_nth", F.row_number().over(order)).where(F.col("_loomline_nth") <= train_docs_per_lang).select("doc_id", "lang")
+    return labelled.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def fit(docs: DataFrame, train_docs_per_lang: int = 1500, bits: int = 15, smoothing: float = 0.5) -> list[Model]:
+    """The model of a bounded sample, in blocks of languages in their order."""
+    texts = stored(sample(docs, train_docs_per_lang))
+    sizes = {r[0]: r[1] for r in texts.groupBy("lang").count().collect()}  # one row per language
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
         for b in batches:
+            totals: dict[str, np.ndarray] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for piece, overlap in _pieces(text.as_py().lower()):
+                for piece, overlap in _pieces(text.as_py().lower(), _CELLS // 16):
                     got = np.bincount(_ngrams([piece], [overlap], bits)[0], minlength=(1 << bits) + 1)
                     totals[lang] = totals[lang] + got if lang in totals else got
+                if len(totals) >= BLOCK_LANGS:
+                    yield from rows(totals)
+                    totals = {}
+            yield from rows(totals)
+
+    def rows(totals: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for lang, total in totals.items():
             at = np.flatnonzero(total[:-1])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["lang", "bucket", "n"])
 
-    rows = sample.mapInArrow(counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    sizes = {r[0]: r[1] for r in sample.groupBy("lang").count().collect()}
-    langs = sorted(sizes)
-    counts = np.zeros((1 << bits, len(langs)))
-    place = {x: i for i, x in enumerate(langs)}
-    counts[rows["bucket"].to_numpy(np.int64), [place[x] for x in rows["lang"]]] = rows["n"].to_numpy(float)
-    log_prob = np.vstack([np.log((counts + smoothing) / (counts.sum(0) + smoothing * (1 << bits))), np.zeros(len(langs))])
-    prior = np.array([sizes[x] for x in langs], float)
-    return Model(langs, log_prob, np.log(prior / prior.sum()) if langs else prior)
-
-
-def _judged(texts: list[str], m: Model, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    letters = np.array([bool(_LETTER.search(x)) for x in texts], bool)
-    pred = np.full(len(texts), "und", object)
-    score = np.zeros(len(texts))
-    if m.langs and letters.any():
-        at = np.flatnonzero(letters)
-        s = _scored([texts[i] for i in at], m, bits)
-        pred[at] = np.array(m.langs, object)[s.argmax(1)]
-        score[at] = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
-    return pred, score
-
-
-def predict(docs: DataFrame, model: Model, bits: int = 15) -> DataFrame:
+    counts = stored(texts.mapInArrow(lean(counted), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    langs, models = sorted(sizes), []
+    for at in range(0, len(langs), BLOCK_LANGS):
+        block = langs[at : at + BLOCK_LANGS]
+        found = counts.where(F.col("lang").isin(block)).toPandas()  # at most 2**bits x BLOCK_LANGS rows
+        place = {x: i for i, x in enumerate(block)}
+        table = np.zeros((1 << bits, len(block)))
+        table[found["bucket"].to_numpy(np.int64), [place[x] for x in found["lang"]]] = found["n"].to_numpy(float)
+        log_prob = np.vstack([np.log((table + smoothing) / (table.sum(0) + smoothing * (1 << bits))), np.zeros(len(block))])
+        models.append(Model(block, log_prob, np.log(np.array([sizes[x] for x in block]) / sum(sizes.values()))))
+    return models
+
+
+def _judged(docs: DataFrame, models: list[Model], bits: int) -> DataFrame:
+    """docs with _loomline_lang, _loomline_best and _loomline_sum: the best language, its log-probability, and the logarithm of the sum of all."""
+    names = ["_loomline_lang", "_loomline_best", "_loomline_sum"]
+    kinds = StructType(list(docs.schema.fields)).add(names[0], StringType()).add(names[1], DoubleType()).add(names[2], DoubleType())
+    out, at = docs.select("*", *(F.lit(None).cast(kinds[n].dataType).alias(n) for n in names)), docs.columns.index("text")
+    for model in models or [Model([], np.zeros((1, 0)), np.zeros(0))]:
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def scored(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            for b in batches:
+                texts = [x or "" for x in b.column(at).to_pylist()]
+                lang = np.array(b.column(b.num_columns - 3).to_pylist(), object)
+                best, total = (np.array([-np.inf if x is None else x for x in b.column(b.num_columns - k).to_pylist()], float) for k in (2, 1))
+                here = np.flatnonzero([bool(_LETTER.search(x)) for x in texts])
+                if len(here) and m.langs:
+                    s = _scored([texts[i] for i in here], m, bits)
+                    top = s.max(1)
+                    total[here] = np.logaddexp(total[here], top + np.log(np.exp(s - top[:, None]).sum(1)))
+                    better = top > best[here]
+                    lang[here[better]] = np.array(m.langs, object)[s.argmax(1)[better]]
+                    best[here] = np.maximum(best[here], top)
+                found = [pa.array(lang, pa.string()), *(pa.array(x, pa.float64(), mask=np.isinf(x)) for x in (best, total))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-3], *found], [*b.schema.names[:-3], *names])
+
+        out = out.mapInArrow(lean(scored), kinds)
+    return out
+
+
+def predict(docs: DataFrame, models: list[Model], bits: int = 15) -> DataFrame:
     """doc_id, lang_pred and score of every document; only text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pred, score = _judged([x or "" for x in b.column(1).to_pylist()], shared.value, bits)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, lang_pred string, score double")
+    score = F.least(F.coalesce(F.exp(F.col("_loomline_best") - F.col("_loomline_sum")), F.lit(0.0)), F.lit(1.0))
+    return _judged(docs.select("doc_id", "text"), models, bits).select("doc_id", F.coalesce("_loomline_lang", F.lit("und")).alias("lang_pred"), score.alias("score"))
 
 
-def accepted(docs: DataFrame, model: Model, bits: int = 15) -> DataFrame:
+def accepted(docs: DataFrame, models: list[Model], bits: int = 15) -> DataFrame:
     """The rows of docs whose text has a language, all columns as they are; ``und`` is rejected.
 
     A model of no languages rejects only what has no letter.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [x or "" for x in b.column(b.schema.get_field_index("text")).to_pylist()]
-            m = shared.value
-            keep = _judged(texts, m, bits)[0] != "und" if m.langs else np.array([bool(_LETTER.search(x)) for x in texts], bool)
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(kept, docs.schema)
+    if not models:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return _judged(docs, models, bits).where(F.col("_loomline_lang").isNotNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def identify(docs: DataFrame, train_docs_per_lang: int = 1500) -> DataFrame:

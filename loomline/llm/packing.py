@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.llm.bpe import tokenizer
-from loomline.llm.common import partitions, stored
+from loomline.llm.common import lean, partitions, stored
 
 LENGTH = 2048
 POD = 4096
@@ -128,7 +128,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([docs_of, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(lean(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def _evolved(rows: DataFrame, turn: int, capacity: int) -> DataFrame:
@@ -145,7 +145,7 @@ def _evolved(rows: DataFrame, turn: int, capacity: int) -> DataFrame:
 
     # a few small rows each stand for much work: a number given keeps them from being gathered in a few tasks
     dealt = rows.select("pod", "island", "lengths", "elite", "migrants").repartition(partitions(rows.sparkSession), "pod", "island")
-    return dealt.mapInArrow(run, "pod long, island int, lengths array<int>, elite array<int>, fitness double")
+    return dealt.mapInArrow(lean(run), "pod long, island int, lengths array<int>, elite array<int>, fitness double")
 
 
 def _bins(numbers: list[int]) -> Bins:
@@ -175,7 +175,7 @@ def _first(pods: DataFrame, capacity: int) -> DataFrame:
                 kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.float64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["pod", "lengths", "elite", "fitness", "solved"])
 
-    return pods.mapInArrow(run, "pod long, lengths array<int>, elite array<int>, fitness double, solved boolean")
+    return pods.mapInArrow(lean(run), "pod long, lengths array<int>, elite array<int>, fitness double, solved boolean")
 
 
 def pack(cut: DataFrame, capacity: int = LENGTH, pod: int = POD) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.llm.common import lean
+
 from loomline.llm.automaton import Automaton, compile_rules
 
 
@@ -133,7 +135,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in named(x.as_py() or "")] for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, _ARROW_SPANS)], ["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(scanned, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, spans {_SPANS}")
+    return docs.select("doc_id", "text").mapInArrow(lean(scanned), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, spans {_SPANS}")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -169,4 +171,4 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
                 new.append(text)
             yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
 
-    return docs.mapInArrow(redacted, docs.schema)
+    return docs.mapInArrow(lean(redacted), docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import WORD, stored, text_or_empty
+from loomline.llm.common import WORD, lean, stored, text_or_empty
 
 SHARDS, HEAVY = 40, 200
 #: Parts of groups packed in one task, and rows numbered in one task, about.
@@ -88,7 +88,7 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     kind = pa.schema([("task", pa.int32()), ("group", pa.binary()), ("part", pa.int32()), ("bytes", pa.int64()), ("tokens", pa.int64()), ("rows", pa.int64())])
     dealt = light.select(F.pmod(F.xxhash64("group", "part"), F.lit(tasks)).cast("int").alias("task"), "group", "part", "bytes", "tokens", "rows")
-    others = dealt.repartition(tasks, "task").sortWithinPartitions("task", "group", "part").mapInArrow(packed, "group binary, part int, shard int")
+    others = dealt.repartition(tasks, "task").sortWithinPartitions("task", "group", "part").mapInArrow(lean(packed), "group binary, part int, shard int")
     where = stored(others.unionByName(placed))
     buckets = max(1, (total["n"] or 0) // (shards * _ROWS))
     out = rows.join(where, ["group", "part"]).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).select("doc_id", "size", "text_crc32", "shard", "bucket")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import partitions, stored
+from loomline.llm.common import lean, let_go, partitions, stored
 
 #: Levels of dealing buckets again; in the last, buckets have few bits left.
 DEPTH = 3
@@ -107,7 +107,7 @@ def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
             f = np.array([fingerprint(x.as_py(), scheme) for x in b.column(1)], np.uint64).reshape(-1, scheme.words).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, i]) for i in range(scheme.words))], ["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(made), "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 @lru_cache(maxsize=4096)
@@ -259,11 +259,11 @@ def links(classes: DataFrame, scheme: Scheme) -> DataFrame:
             for key, path, r, x in _dealt(scheme, 0, rep, f):
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(path), pa.array(r), *(pa.array(np.ascontiguousarray(x[:, i]).view(np.int64)) for i in range(scheme.words))], ["key", "path", "rep", *names])
 
-    rows = classes.select("rep", *names).mapInArrow(first, schema)
+    rows = classes.select("rep", *names).mapInArrow(lean(first), schema)
     found = []
     for level in range(DEPTH + 1):
         sort = rows.repartition(partitions(spark), "key").sortWithinPartitions("key")
-        read = stored(sort.mapInArrow(lambda it, last=level == DEPTH: _scan(scheme, it, last), schema))
+        read = stored(sort.mapInArrow(lean(lambda it, last=level == DEPTH: _scan(scheme, it, last)), schema))
         found.append(read.where("path = -1").select(F.greatest("key", "rep").alias("a"), F.least("key", "rep").alias("b")))
         rows = read.where("path >= 0")
         if rows.isEmpty():
@@ -288,7 +288,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        old = now
         now, after = state(small.distinct())
+        let_go(old)
         if after == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         seen = after
@@ -354,7 +356,7 @@ def _connected(rows: DataFrame, near: Near) -> DataFrame:
 
     key = ["cluster", "i", "j"]
     dealt = rows.select(*key, "doc_id", "set").repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key)
-    return stored(dealt.mapInArrow(compared, "a long, b long").where("a <> b"))
+    return stored(dealt.mapInArrow(lean(compared), "a long, b long").where("a <> b"))
 
 
 def similar(docs: DataFrame, members: DataFrame, near: Near) -> DataFrame:
@@ -372,7 +374,7 @@ def similar(docs: DataFrame, members: DataFrame, near: Near) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), sets], ["doc_id", "cluster", "n", "set"])
 
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(members.join(sizes, "cluster"), "doc_id")
-    sets = stored(texts.select("doc_id", "cluster", "n", "text").mapInArrow(made, "doc_id long, cluster long, n long, set binary"))
+    sets = stored(texts.select("doc_id", "cluster", "n", "text").mapInArrow(lean(made), "doc_id long, cluster long, n long, set binary"))
     blocks = lambda n: F.ceil(n / F.lit(block)).cast("long")
     dealt = lambda n: F.pmod(F.xxhash64("doc_id"), F.greatest(blocks(n), F.lit(1)))
     large = sets.where(F.col("n") > block)
@@ -413,7 +415,7 @@ def sketches(docs: DataFrame, near: Near) -> DataFrame:
             bands = pa.array([_bands(near, h, by).view(np.int64) if len(h) else [] for h in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same[:, 0]), pa.array(same[:, 1]), bands], ["doc_id", "c0", "c1", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, c0 long, c1 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(made), "doc_id long, c0 long, c1 long, bands array<long>")
 
 
 def clusters(classes: DataFrame) -> DataFrame:
@@ -432,7 +434,7 @@ def clusters(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[rep != to]) for x in (rep, to)], ["a", "b"])
 
     keys = classes.select(F.explode("bands").alias("key"), "rep").repartition(partitions(classes.sparkSession), "key").sortWithinPartitions("key", "rep")
-    found = stored(components(keys.mapInArrow(starred, "a long, b long")))
+    found = stored(components(keys.mapInArrow(lean(starred), "a long, b long")))
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).unionByName(found.select(F.col("component").alias("doc_id"), F.col("component").alias("cluster")).distinct())
 
 

@@ -55,17 +55,30 @@ def test_levels(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_BATCH", 40)
     rows = [(d, bytes(rng.integers(97, 99, 120, dtype=np.uint8))) for d in range(20)]
     rows += [(100 + d, rows[d][1][5:80] + b"\0" * 30) for d in range(20)]
-    doc, start = suffix_dedup._matched(np.array([d for d, _ in rows]), np.array([7] * 40), [t for _, t in rows])
+    of, place = suffix_dedup._matched(np.array([d for d, _ in rows]), [t for _, t in rows])
     first = {}
     for d, t in rows:
         for i in range(len(t) - W + 1):
             first.setdefault(t[i : i + W], d)
-    want = {(d, 7 + i) for d, t in rows for i in range(len(t) - W + 1) if first[t[i : i + W]] < d}
-    assert set(zip(doc.tolist(), start.tolist(), strict=True)) == want
+    want = {(k, i) for k, (d, t) in enumerate(rows) for i in range(len(t) - W + 1) if first[t[i : i + W]] < d}
+    assert set(zip(of.tolist(), place.tolist(), strict=True)) == want
     levels = suffix_dedup.SuffixLevels()
     for d in range(64):
-        levels.add(rng.integers(0, 256, (10, W), dtype=np.uint8), np.full(10, d))
+        levels.add(rng.integers(0, 256, 10 * W, dtype=np.uint8), np.arange(10) * W, np.full(10, d))
     assert len(levels.levels) <= 7
+    for x in levels.levels:
+        assert (np.diff(np.argsort(x.windows(), kind="stable")) == 1).all()
+
+
+def test_hot_anchor_is_split(spark):
+    """A passage between different words in many documents: many different segments with one anchor."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(20, 70)))
+    rows = [(i, word() + "this very common passage stands in all of the documents, with an end" + word()) for i in range(700)]
+    rows += [(900 + i, rng.choice(rows)[1][rng.randrange(30) :]) for i in range(100)] + [(5, rows[5][1])]
+    got = [tuple(r)[:5] for r in suffix_dedup.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()]
+    want = brute(rows)
+    assert sorted(got) == sorted((d, *want[d]) for d, _ in rows)
 
 
 def test_columns_nulls_and_empty(spark):
