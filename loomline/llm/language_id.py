@@ -28,6 +28,8 @@ from pyspark.sql.types import DoubleType, StringType, StructType
 from loomline.llm.common import lean, stored
 
 BLOCK_LANGS = 64
+#: Languages up to which the sample's ids (``train_docs_per_lang`` each) are broadcast; beyond, they are joined by shuffles.
+FEW_LANGS = 256
 ORDERS = (1, 2, 3)
 _LETTER = regex.compile(r"\p{L}")
 #: Numbers gathered at once when texts are scored.
@@ -120,14 +122,16 @@ def sample(docs: DataFrame, train_docs_per_lang: int) -> DataFrame:
     No language's rows come together: counts tell below which hash about that many rows lie, and only those are ranked.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("_loomline_n"))
+    counts = stored(labelled.groupBy("lang").agg(F.count("*").alias("_loomline_n")))
+    few_langs = counts.count() <= FEW_LANGS  # then what is joined is so small that it can be broadcast
+    small = F.broadcast if few_langs else lambda df: df
     enough = train_docs_per_lang + 8 * train_docs_per_lang**0.5 + 8  # so many are nearly always more than asked for
     # the hash as a number from 0 to 1; grouping before the rank: repeated rows of an id are one
     place = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 32)) / float(1 << 32)
-    few = labelled.select("doc_id", "lang").join(counts, "lang").where(place * F.col("_loomline_n") < enough).select("doc_id", "lang").distinct()
+    few = labelled.select("doc_id", "lang").join(small(counts), "lang").where(place * F.col("_loomline_n") < enough).select("doc_id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(place, "doc_id")
     chosen = few.withColumn("_loomline_nth", F.row_number().over(order)).where(F.col("_loomline_nth") <= train_docs_per_lang).select("doc_id", "lang")
-    return labelled.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
+    return labelled.select("doc_id", "lang", "text").join(small(chosen), ["doc_id", "lang"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def fit(docs: DataFrame, train_docs_per_lang: int = 1500, bits: int = 15, smoothing: float = 0.5) -> list[Model]:

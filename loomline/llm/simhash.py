@@ -281,19 +281,22 @@ def components(edges: DataFrame) -> DataFrame:
         kept = stored(df)
         return kept, tuple(kept.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 998_244_353)).first())
 
+    # the smallest neighbours are written, so that both sides of the joins are plain tables: then Spark itself splits
+    # the rows of a node with very many neighbours
     now, seen = state(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        old = now
-        now, after = state(small.distinct())
-        let_go(old)
-        if after == seen:
+        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = stored(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        lower = stored(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b")))
+        after, sums = state(small.distinct())
+        for x in (now, low, large, lower):
+            let_go(x)
+        now = after
+        if sums == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        seen = after
+        seen = sums
 
 
 def group(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:

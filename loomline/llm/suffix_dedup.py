@@ -45,7 +45,7 @@ from loomline.llm.common import lean, partitions, stored
 WINDOW = 50
 GRAM = 16
 #: Segments per message of step 1, windows per batch of step 3, bytes of segments handled together in step 3.
-_SEND, _BATCH, _TOGETHER = 1 << 19, 1 << 15, 1 << 21
+_SEND, _BATCH, _TOGETHER = 1 << 19, 1 << 17, 1 << 21
 #: Different segments of an anchor that are compared without splitting it; windows of a slice.
 HOT, SLICE = 128, 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -378,31 +378,43 @@ def _slices(anchor: int, data: bytes) -> Iterator[tuple[int, int, int]]:
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, asked) -> (anchor, doc_id, starts, count, bytes): one row for equal segments of a document; hot anchors in slices, of which those that a smaller document here has lose their bytes."""
-    names = ["anchor", "doc_id", "starts", "count", "bytes"]
-    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
     for b in batches:
         for at in range(0, b.num_rows, 512):
-            found: dict[tuple[int, int, bytes], list[int]] = {}
+            plain: list[tuple[int, int, int, bytes]] = []
+            more: dict[tuple[int, int, bytes], list[int]] = {}
             least: dict[tuple[int, bytes], int] = {}
             part = b.slice(at, 512)
             for doc, text, asked in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), strict=True):
                 data = text.as_py().encode("utf-8", "surrogatepass")
+                again = len({a["anchor"] for a in asked}) < len(asked)
                 for a in asked:
-                    begin = a["start"]
-                    segment = data[begin : begin + a["count"] + WINDOW - 1]
-                    if len(segment) < a["count"] + WINDOW - 1:  # another row of this doc_id has it
+                    anchor, begin, n, hot = a["anchor"], a["start"], a["count"] + WINDOW - 1, a["hot"]
+                    segment = data[begin : begin + n]
+                    if len(segment) < n:  # another row of this doc_id has it
                         continue
-                    if not a["hot"]:
-                        found.setdefault((a["anchor"], doc, segment), []).append(begin)
-                        continue
-                    for key, first, count in _slices(a["anchor"], segment):
-                        slice_ = segment[first : first + count + WINDOW - 1]
-                        found.setdefault((key, doc, slice_), []).append(begin + first)
-                        if least.setdefault((key, slice_), doc) > doc:
-                            least[key, slice_] = doc
-            if found:
-                rows = [(k, doc, starts, len(x) - WINDOW + 1, x if least.get((k, x), doc) == doc else None) for (k, doc, x), starts in found.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    if hot:
+                        for key, first, count in _slices(anchor, segment):
+                            slice_ = segment[first : first + count + WINDOW - 1]
+                            more.setdefault((key, doc, slice_), []).append(begin + first)
+                            if least.setdefault((key, slice_), doc) > doc:
+                                least[key, slice_] = doc
+                    elif again:
+                        more.setdefault((anchor, doc, segment), []).append(begin)
+                    else:
+                        plain.append((anchor, doc, begin, segment))
+            plain_starts = [x[2] for x in plain]
+            starts = pa.array([*plain_starts, *(x for found in more.values() for x in found)], pa.int64())
+            edges = np.cumsum([0, *([1] * len(plain)), *map(len, more.values())], dtype=np.int32)
+            bytes_ = [*(x[3] for x in plain), *(x[2] for x in more)]
+            gone = [False] * len(plain) + [least.get((k, x), doc) != doc for k, doc, x in more]
+            columns = [
+                pa.array([*(x[0] for x in plain), *(x[0] for x in more)], pa.int64()),
+                pa.array([*(x[1] for x in plain), *(x[1] for x in more)], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(edges), starts),
+                pa.array([len(x) - WINDOW + 1 for x in bytes_], pa.int64()),
+                pa.array([None if g else x for g, x in zip(gone, bytes_, strict=True)], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "starts", "count", "bytes"])
 
 
 def _runs(docs: DataFrame) -> DataFrame:
