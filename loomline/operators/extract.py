@@ -34,7 +34,7 @@ SCHEMA = (
     "signature struct<name:string,return_type:string,parameters:array<struct<name:string,type:string,default_value:string>>,"
     "qualifiers:struct<is_const:boolean,is_static:boolean,is_virtual:boolean,is_pure_virtual:boolean,is_noexcept:boolean,is_override:boolean,is_final:boolean>>, "
     "template_parameters array<struct<kind:string,name:string,default_value:string>>, fields array<struct<name:string,type:string,line:int>>, "
-    "namespace string, var_type string, is_const boolean, is_static boolean, is_scoped boolean, underlying_type string, macro_args array<string>"
+    "namespace string, var_type string, is_const boolean, is_static boolean, is_scoped boolean, underlying_type string, macro_args array<string>, owner string"
 )
 
 
@@ -53,6 +53,18 @@ def matching(text: str, at: int, pair: str = "{}") -> int:
     return len(text)
 
 
+def pairs(text: str) -> dict[int, int]:
+    """The places of all opening brackets ( and { of masked text that are closed, with those of their closing ones."""
+    out: dict[int, int] = {}
+    open_at: dict[str, list[int]] = {")": [], "}": []}
+    for m in re.finditer(r"[(){}]", text):
+        if m[0] in "({":
+            open_at[")" if m[0] == "(" else "}"].append(m.start())
+        elif open_at[m[0]]:
+            out[open_at[m[0]].pop()] = m.start()
+    return out
+
+
 def body_of(code: str, at: int = 0) -> str | None:
     """The balanced {...} that begins at or after ``at``; None without one."""
     m = masked(code)
@@ -127,6 +139,11 @@ class _Scope:
     at: int = 0
     path: list[str] = field(default_factory=list)
     kinds: list[str] = field(default_factory=list)
+    known: bool = True
+
+
+_BLANK = re.compile(r"(?:[\s;}]|(?:public|protected|private|signals|slots)\s*:(?!:))*")
+_END = re.compile(r"[{;(]")
 
 
 class Scanner:
@@ -137,8 +154,10 @@ class Scanner:
         self.starts = [0, *(m.end() for m in re.finditer("\n", code))]
         self.found: list[dict] = []
         self.m = masked(code)
+        self.records: dict[str, _Scope] = {}  # of this file, by name and by qualified name
         if not (skip and skip(location)):
             self._directives()
+            self.closing = pairs(self.m)
             self._scope(0, len(code), _Scope())
         self.found.sort(key=lambda e: (e["start"], -e["stop"]))
 
@@ -151,7 +170,7 @@ class Scanner:
     def _add(self, kind: str, name: str | None, start: int, stop: int, scope: _Scope, code: bool = True, **more) -> None:
         line, col = self._place(start)
         end_line, end_col = self._place(stop)
-        parent = self._place(scope.at) if scope.kinds else (None, None)
+        parent = self._place(scope.at) if scope.kinds and scope.known else (None, None)
         self.found.append(
             {"type": kind, "name": name or None, "location": self.location, "line": line, "col": col, "end_line": end_line, "end_col": end_col, "start": start, "stop": stop, "level": len(scope.kinds)}
             | {"parent_type": scope.kind, "parent_name": scope.name or None, "parent_line": parent[0], "parent_col": parent[1], "path": list(scope.path), "code": self.code[start:stop] if code else None}
@@ -160,6 +179,7 @@ class Scanner:
 
     def _directives(self) -> None:
         """E11, E38; directives are blanked for what follows."""
+        kept, last = [], 0
         for m in re.finditer(r"(?m)^[ \t]*#[ \t]*(\w+)(?:[^\n\\]|\\.|\\\n)*", self.m):
             start, stop = m.start() + len(m[0]) - len(m[0].lstrip()), m.end()
             d = re.match(r"#\s*define\s+(\w+)(\([^)]*\))?", self.code[start:stop])
@@ -169,30 +189,29 @@ class Scanner:
                 self._add("inclusion_directive", self.code[start:stop].partition("include")[2].strip(' "<>\t'), start, stop, _Scope())
             else:
                 self._add("preprocessing_directive", m[1], start, stop, _Scope())
-            self.m = self.m[: m.start()] + re.sub(r"[^\n]", " ", m[0]) + self.m[m.end() :]
+            kept += [self.m[last : m.start()], re.sub(r"[^\n]", " ", m[0])]
+            last = m.end()
+        self.m = "".join([*kept, self.m[last:]])
+
+    def _close(self, at: int) -> int:
+        """The place of the bracket that closes the one at ``at``, or the end of the text."""
+        return self.closing.get(at, len(self.m))
 
     def _scope(self, at: int, end: int, scope: _Scope) -> None:
-        m = self.m
-        while at < end:
-            if m[at].isspace() or m[at] in ";}":
-                at += 1
-                continue
-            label = re.compile(r"(public|protected|private|signals|slots)\s*:(?!:)").match(m, at, end)
-            if label:
-                at = label.end()
-                continue
+        while (at := _BLANK.match(self.m, at, end).end()) < end:
             at = self._unit(at, end, scope)
 
     def _unit(self, start: int, end: int, scope: _Scope) -> int:
         """One declaration or definition from start; where the next begins."""
         m, i = self.m, start
-        while i < end and m[i] not in "{;":
-            i = matching(m, i, "()") + 1 if m[i] == "(" else i + 1
+        while (x := _END.search(m, i, end)) is not None and x[0] == "(":
+            i = self._close(x.start()) + 1
+        i = x.start() if x else max(i, end)
         brace = i if i < end and m[i] == "{" else -1
-        close = matching(m, brace) if brace >= 0 else -1
+        close = self._close(brace) if brace >= 0 else -1
         stop = min((close if brace >= 0 else i) + 1, end)
         head = m[start:i]
-        template, body_head, offset = None, head, 0
+        template, body_head, offset, templates = None, head, 0, 0
         while (t := re.match(r"\s*template\s*<", body_head)) is not None:
             depth, j = 0, t.end() - 1
             while j < len(body_head):
@@ -201,6 +220,7 @@ class Scanner:
                     break
                 j += 1
             template = template_parameters(body_head[t.end() : j])
+            templates += 1
             offset += j + 1
             body_head = body_head[j + 1 :]
         body_head_s = body_head.strip()
@@ -225,29 +245,37 @@ class Scanner:
                     kind = "class_template_partial_specialization" if r[3] else "class_template"
                 more = {"fields": self._fields(brace + 1, close)} if kind == "union_decl" else {}
                 self._add(kind, r[2], start, stop, scope, template_parameters=template, is_defined=True, **more)
-                self._scope(brace + 1, close, _Scope(kind, r[2] or "", start, [*scope.path, r[2] or "(anonymous)"], [*scope.kinds, kind]))
+                own = _Scope(kind, r[2] or "", start, [*scope.path, r[2] or "(anonymous)"], [*scope.kinds, kind])
+                if r[2] and not r[3]:
+                    self.records["::".join(own.path)] = own
+                    self.records.setdefault(r[2], own)
+                self._scope(brace + 1, close, own)
                 return stop
         paren = body_head.find("(")
         if paren >= 0 and not body_head_s.startswith(("using", "typedef")):
-            shut = matching(body_head, paren, "()")
+            shut_of = lambda at: min(self._close(start + offset + at) - start - offset, len(body_head))
+            shut = shut_of(paren)
             if body_head[max(0, paren - 9) : paren].strip().endswith("operator"):
                 paren = body_head.find("(", shut + 1)
-                shut = matching(body_head, paren, "()") if paren >= 0 else -1
+                shut = shut_of(paren) if paren >= 0 else -1
             tail = body_head[shut + 1 :] if shut >= 0 else ""
             original = self.code[start + offset : start + offset + len(body_head)]
-            sig = signature(body_head, paren, shut) if shut >= 0 and not re.match(r"\s*[=.+\-*/\[]\s*(?!0|default|delete)", tail) else None
+            sig = signature(body_head, paren, shut) if shut >= 0 and not re.match(r"\s*(?:[=.+*/\[]|-(?!>))\s*(?!0|default|delete)", tail) else None
             if sig:
                 sig["parameters"] = [parameter(p) for p in split_top(original[paren + 1 : shut]) if p != "void"]
-                return self._function(start, stop, brace, close, scope, template, sig)
+                return self._function(start, stop, brace, close, scope, template, templates, sig)
         if brace >= 0:  # an initialiser: int a{1}; or = {...};
             stop = self._through_semicolon(stop, end)
         self._plain(start, stop, scope, body_head_s if brace < 0 else m[start + offset : stop].strip().rstrip(";"))
         return stop
 
-    def _function(self, start: int, stop: int, brace: int, close: int, scope: _Scope, template: list | None, sig: dict) -> int:
-        """E6-E8, E10, E37."""
-        owner = sig.pop("qualified").rpartition("::")[0] or (scope.name if scope.kind in keys.CLASS_LIKE else "")
+    def _function(self, start: int, stop: int, brace: int, close: int, scope: _Scope, template: list | None, templates: int, sig: dict) -> int:
+        """E6-E8, E10, E37. A template header for each owner with arguments is the owner's, not the function's."""
+        written = sig.pop("qualified").rpartition("::")[0]
+        owner = written or (scope.name if scope.kind in keys.CLASS_LIKE else "")
         name, short = sig["name"], owner.split("::")[-1].partition("<")[0]
+        if templates <= len(re.findall(r"\w<", written)):
+            template = None
         if name.startswith("operator") and re.match(r"operator\s+\w", name):
             kind = "conversion_function"
         elif template is not None:
@@ -258,16 +286,19 @@ class Scanner:
             kind = "constructor"
         else:
             kind = "cxx_method" if owner else "function_decl"
-        inner = scope
+        inner, outside = scope, None
         if owner and scope.kind not in keys.CLASS_LIKE:  # defined outside of its class
-            inner = _Scope("class_decl", short, scope.at, scope.path, scope.kinds)
-        self._add(kind, sig["name"], start, stop, inner, signature=sig, is_defined=brace >= 0, template_parameters=template)
+            bare = re.sub(r"<[^<>]*>", "", written)
+            outside = "::".join([*scope.path, bare])
+            found = next((self.records[x] for x in (outside, bare, short) if x in self.records), None)
+            inner = found or _Scope("class_decl", short, scope.at, scope.path, scope.kinds, False)
+        self._add(kind, sig["name"], start, stop, inner, signature=sig, is_defined=brace >= 0, template_parameters=template, owner=outside)
         if brace >= 0:
-            own = _Scope(kind, sig["name"], start, [*scope.path, sig["name"]], [*scope.kinds, kind])
+            own = _Scope(kind, sig["name"], start, [*inner.path, sig["name"]], [*inner.kinds, kind])
             for x in _LAMBDA.finditer(self.m, brace + 1, close):
-                self._add("lambda_expr", None, x.start(), min(matching(self.m, x.end() - 1) + 1, close), own)
+                self._add("lambda_expr", None, x.start(), min(self._close(x.end() - 1) + 1, close), own)
             for x in re.compile(r"\b(try|catch)\b[^{;]*\{").finditer(self.m, brace + 1, close):
-                self._add("cxx_try_stmt" if x[1] == "try" else "cxx_catch_stmt", None, x.start(), min(matching(self.m, x.end() - 1) + 1, close), own)
+                self._add("cxx_try_stmt" if x[1] == "try" else "cxx_catch_stmt", None, x.start(), min(self._close(x.end() - 1) + 1, close), own)
         return stop
 
     def _plain(self, start: int, stop: int, scope: _Scope, head: str) -> None:
@@ -279,11 +310,15 @@ class Scanner:
         elif head.startswith("typedef") and not self._inside(scope):
             name = re.search(r"\(\s*\*\s*(\w+)\s*\)|(\w+)\s*(?:\[[^\]]*\]\s*)*$", head)
             self._add("typedef_decl", (name[1] or name[2]) if name else None, start, stop, scope)
-        elif not self._inside(scope) and (v := re.match(r"((?:[\w:]+(?:<[^=;]*>)?[\s*&]+)+)(\w+)\s*(?:\[[^\]]*\])*\s*(?:=|\{|$)", head)) is not None:
-            words = v[1].split()
+        elif not self._inside(scope):
+            first, *others = split_top(head)
+            v = re.match(r"((?:[\w:]+(?:<[^=;]*>)?[\s*&]+)+)(\w+)\s*(?:\[[^\]]*\])*\s*(?:=|\{|$)", first)
+            words = v[1].split() if v else ["return"]
             if words[0] not in ("class", "struct", "union", "enum", "friend", "using", "return", "template", "namespace"):
                 kind = " ".join(w for w in words if w not in ("static", "extern", "inline", "constexpr", "thread_local"))
-                self._add("var_decl", v[2], start, stop, scope, var_type=kind, is_const="const" in words or "constexpr" in words, is_static="static" in words)
+                names = [v[2], *(d[1] for d in (re.match(r"[\s*&]*(\w+)", x) for x in others) if d)]
+                for name in names:
+                    self._add("var_decl", name, start, stop, scope, var_type=kind, is_const="const" in words or "constexpr" in words, is_static="static" in words)
 
     def _through_semicolon(self, at: int, end: int) -> int:
         m = re.compile(r"[^;{}()]*;").match(self.m, at, end)
@@ -304,7 +339,8 @@ class Scanner:
 def elements(files: DataFrame, location: str = "location", code: str = "code", skip: Callable[[str], bool] | None = None) -> DataFrame:
     """One row per element of each file (location, code), with id and parent_id, without repeated ids.
 
-    Null code has no elements; a file that can't be read to its end gives what was found.
+    Null code has no elements; a file that can't be read to its end gives what was found. A member that is defined
+    outside of its class has that class as parent if the file holds it, else ``owner`` names it for ``resolved``.
     """
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -323,6 +359,20 @@ def elements(files: DataFrame, location: str = "location", code: str = "code", s
     return rows.select(ident.alias("id"), parent.alias("parent_id"), "*").drop("parent_line", "parent_col").dropDuplicates(["id"])
 
 
+def resolved(found: DataFrame) -> DataFrame:
+    """Elements, with the parents of members whose class stands in another file: the class of that qualified name, of several the first by place.
+
+    found is read twice: a stored table. One row per class name is joined.
+    """
+    classes = found.where(F.col("type").isin(*keys.CLASS_LIKE) & F.col("name").isNotNull())
+    name = F.array_join(F.concat("path", F.array("name")), "::")
+    first = classes.groupBy(name.alias("owner")).agg(F.min_by(F.struct("id", "type"), F.struct("location", "line", "col")).alias("_class"))
+    out = found.join(first, "owner", "left")
+    open_ = F.col("owner").isNotNull() & F.col("parent_id").isNull() & F.col("_class").isNotNull()
+    new = {"parent_id": F.when(open_, F.col("_class.id")).otherwise(F.col("parent_id")), "parent_type": F.when(open_, F.col("_class.type")).otherwise(F.col("parent_type"))}
+    return out.withColumns(new).select(*found.columns)
+
+
 def _schema():
     from pyspark.sql.types import StructType
 
@@ -350,6 +400,16 @@ def find_element(rows: DataFrame, kind: str, name: str, is_defined: bool | None
     return out.orderBy("location", "line", "col").limit(1)
 
 
+def code_at(files: DataFrame, places: DataFrame) -> DataFrame:
+    """Places (location, line, col, end_line, end_col) with ``code``, looked up in files (location, code); null where there is no such file."""
+    from loomline.functions import text as T
+    from loomline.operators import lines
+
+    rows = places.join(files.select("location", T.lines(F.col("code")).alias("_lines")), "location", "left")
+    cut = lines.code_slice(F.col("_lines"), F.col("line"), F.col("col"), F.col("end_line"), F.col("end_col"))
+    return rows.withColumn("code", F.when(F.col("_lines").isNotNull(), cut)).drop("_lines")
+
+
 def doxygen(c: Column) -> Column:
     """struct(brief, details, returns, params, throws, see, notes, warnings) from a documentation comment."""
     bare = F.regexp_replace(F.regexp_replace(c, r"(?md)^[ \t]*(/\*[*!]|\*/|\*|//[/!])[ \t]?", ""), r"\*/\s*$", "")

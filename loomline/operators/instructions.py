@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text as T
 from loomline.functions.keys import CLASS_LIKE
+from loomline.operators.fragments import position_mode
 
 #: The wording of instructions.
 VERBS = ("Write", "Create", "Develop", "Provide implementation of", "Produce")
@@ -109,14 +110,19 @@ def instruction(kind: Column, name: Column, parent_type: Column, parent: Column,
 def within_budget(parts: dict[str, Column], budget: int = 512, removal: tuple[str, ...] = ("comments", "context", "location")) -> tuple[Column, Column]:
     """(the parts joined, still_too_long). While the parts' tokens are over budget the ones in
     ``removal`` go, in that order; nothing is cut. Null parts are absent. Tokens are counted per part."""
-    tokens = {k: T.token_count(c) for k, c in parts.items()}
-    total = sum(tokens.values(), F.lit(0))
-    shown = dict(parts)
-    for name in removal:
-        if name in parts:
-            shown[name] = F.when(total <= budget, parts[name])
-            total = F.when(total <= budget, total).otherwise(total - tokens[name])
-    return F.concat(*(F.coalesce(c, F.lit("")) for c in shown.values())), total > budget
+    names = list(parts)
+    counts = F.array(*(T.token_count(c) for c in parts.values()))
+    start = F.struct(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array().cast("array<int>").alias("gone"), counts.alias("counts"))
+
+    def step(s: Column, i: Column) -> Column:
+        over = s["total"] > budget
+        return F.struct(F.when(over, s["total"] - F.get(s["counts"], i)).otherwise(s["total"]).alias("total"), F.when(over, F.concat(s["gone"], F.array(i))).otherwise(s["gone"]).alias("gone"), s["counts"].alias("counts"))
+
+    order = F.array(*(F.lit(names.index(n)) for n in removal if n in parts)).cast("array<int>")
+    left = F.aggregate(order, start, step)
+    values = F.array(*(F.coalesce(c, F.lit("")) for c in parts.values()))
+    shown = F.filter(values, lambda _, i: ~F.array_contains(left["gone"], i))
+    return F.array_join(shown, ""), left["total"] > budget
 
 
 def docstring_prompt(code: Column) -> Column:
@@ -156,14 +162,18 @@ def method_rows(classes: DataFrame) -> DataFrame:
     return classes.select(F.col("name").alias("class_name"), F.explode("methods").alias("m")).select("class_name", "m.*")
 
 
+def all_methods(direct: DataFrame, classes: DataFrame) -> DataFrame:
+    """methods that are rows of their own and those nested in classes: (class_name, name, code, ...)."""
+    return direct.unionByName(method_rows(classes), allowMissingColumns=True)
+
+
 def emitted(elements: DataFrame, pieces: DataFrame, budget: int = 512) -> DataFrame:
     """elements (id, code) with mode, idx and output: whole if within budget, else their pieces (id, idx, code)."""
     counted = elements.withColumn("tokens", T.token_count(F.col("code")))
     whole = counted.where(F.col("tokens") <= budget).withColumn("mode", F.lit("whole")).withColumn("idx", F.lit(0)).withColumn("output", F.col("code"))
     n = pieces.groupBy("id").agg(F.count("*").alias("n"))
     cut = counted.where(F.col("tokens") > budget).join(pieces.select("id", "idx", F.col("code").alias("output")), "id").join(n, "id")
-    mode = F.when(F.col("idx") == 0, "first").when(F.col("idx") == F.col("n") - 1, "last").otherwise("next")
-    return whole.unionByName(cut.withColumn("mode", mode).drop("n"))
+    return whole.unionByName(cut.withColumn("mode", position_mode()).drop("n"))
 
 
 def documentation_pairs(elements: DataFrame) -> DataFrame:

@@ -55,9 +55,28 @@ def split_exactly(rows: DataFrame, key: str, share: float = 0.1, seed: int = 42)
     return out.withColumn("split", F.when(test, "test").otherwise("train")).drop("_h", "_b", "_n", "_r", "_first", "_all")
 
 
-def batches(rows: DataFrame, by: str, order: list[str], size: int) -> DataFrame:
+def ranked(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """rows with ``rank`` from 0 within each group in the order given (the first column of it a number), without a task per group.
+
+    Ranges of the first order column (its exponent and three binary digits: some thousand at most) are counted, a
+    running sum over the counts gives where each range begins, and rows are ranked within (group, range).
+    """
+    x = F.abs(F.col(order[0]).cast("double"))
+    exponent = F.when(x == 0, F.lit(-2000.0)).otherwise(F.floor(F.log2(x)))
+    coarse = (exponent * 8 + F.when(x == 0, 0).otherwise(F.floor((x / F.pow(F.lit(2.0), exponent) - 1) * 8))).cast("int")
+    sign = F.when(F.col(order[0]) < 0, -1).otherwise(1)
+    dealt = rows.withColumn("_range", F.when(F.col(order[0]).isNull(), F.lit(-1_000_000)).otherwise(sign * (coarse + 20_000)))
+    sizes = dealt.groupBy(by, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    first = sizes.select(F.col(by).alias("_by"), F.col("_range").alias("_of"), F.coalesce(before, F.lit(0)).alias("_first"))
+    nth = F.row_number().over(Window.partitionBy(by, "_range").orderBy(*order)) - 1
+    out = dealt.withColumn("_nth", nth).join(first, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_of")))
+    return out.withColumn("rank", F.col("_first") + F.col("_nth")).select(*rows.columns, "rank")
+
+
+def batches(rows: DataFrame, by: str, order: list[str], size: int | Column) -> DataFrame:
     """Rows with ``batch``: size rows of a group each, in order."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1) / size).cast("long"))
+    return ranked(rows, by, order).withColumn("batch", F.floor(F.col("rank") / size).cast("long")).drop("rank")
 
 
 def padded(ids: Column, length: int, pad: int) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import keys
 from loomline.functions import text as T
-from loomline.operators import diffs, entities, extract, fragments, instructions, lines, profile, retrieval
+from loomline.operators import diffs, entities, extract, fragments, instructions, lines, profile, records, retrieval
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -328,17 +328,21 @@ def resume_pending(spark, sf_dir):
     return entities.pending(_docs(spark, sf_dir, "doc_id", "lang"), _t(spark, sf_dir, "labels", "doc_id"), "doc_id")
 
 
-_RUN = "SELECT conv_id, any_value(text) AS text FROM conversations WHERE turn = {0} GROUP BY conv_id"
+_TURN = "SELECT conv_id, turn, role, min(text) AS text FROM conversations GROUP BY ALL"
+_ROLES = ("user", "assistant", "system")
 
 
 @query(
-    f"""SELECT a.conv_id, coalesce(a.text, '') AS run_0, coalesce(b.text, '') AS run_1, coalesce(c.text, '') AS run_2
-    FROM ({_RUN.format(0)}) a LEFT JOIN ({_RUN.format(1)}) b USING (conv_id) LEFT JOIN ({_RUN.format(5)}) c USING (conv_id)"""
+    "SELECT conv_id, turn, coalesce(a.text, '') AS run_0, coalesce(b.text, '') AS run_1, coalesce(c.text, '') AS run_2 FROM (SELECT DISTINCT conv_id, turn FROM conversations)"
+    + "".join(f" LEFT JOIN (SELECT conv_id, turn, text FROM ({_TURN}) WHERE role = '{r}') {n} USING (conv_id, turn)" for n, r in zip("abc", _ROLES, strict=True))
 )
 def doc_compare(spark, sf_dir):
-    rows = _t(spark, sf_dir, "conversations", "conv_id", "turn", "text")
-    runs = [rows.where(F.col("turn") == k).groupBy("conv_id").agg(F.any_value("text").alias("text")) for k in (0, 1, 5)]
-    return entities.compare_runs(runs, ["conv_id"], "text")
+    """Every turn, with the text of each role as a run."""
+    rows = _t(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    one = rows.groupBy("conv_id", "turn", "role").agg(F.min("text").alias("text"))
+    runs = [one.where(F.col("role") == r).select("conv_id", "turn", "text") for r in _ROLES]
+    every = rows.select("conv_id", "turn").distinct().join(runs[0], ["conv_id", "turn"], "left")
+    return entities.compare_runs([every, *runs[1:]], ["conv_id", "turn"], "text")
 
 
 @query(
@@ -425,8 +429,7 @@ def kind_counts_desc(spark, sf_dir):
 def length_bucket_batches(spark, sf_dir):
     rows = _docs(spark, sf_dir, "doc_id", "n_chars").withColumn("bucket", T.length_bucket(F.col("n_chars")))
     size = F.when(F.col("bucket") == "short", 4).when(F.col("bucket") == "medium", 2).otherwise(1)
-    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("n_chars", "doc_id")) - 1
-    return rows.select("doc_id", "bucket", F.floor(nth / size).cast("long").alias("batch"))
+    return profile.batches(rows, "bucket", ["n_chars", "doc_id"], size).select("doc_id", "bucket", "batch")
 
 
 @query(
@@ -447,14 +450,14 @@ def truncation_flags(spark, sf_dir):
 
 
 @query(
-    f"""SELECT a.conv_id, array_to_string(list_concat(list_concat(a.x, b.x), [99]), ',') AS ids FROM (SELECT conv_id, {_IDS} AS x FROM ({_RUN.format(0)})) a JOIN (SELECT conv_id, {_IDS} AS x FROM ({_RUN.format(1)})) b USING (conv_id)"""
+    f"""SELECT conv_id, turn, array_to_string(list_concat(list_concat(x, y), [99]), ',') AS ids FROM (SELECT conv_id, turn, {_IDS} AS x, lead({_IDS}) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS y FROM conversations) WHERE x IS NOT NULL AND y IS NOT NULL"""
 )
 def sequence_concat(spark, sf_dir):
-    rows = _t(spark, sf_dir, "conversations", "conv_id", "turn", "text")
-    ids = F.transform(F.split("text", " "), lambda x: F.length(x).cast("long"))
-    both = rows.where("turn in (0, 1)").groupBy("conv_id").agg(F.any_value(F.when(F.col("turn") == 0, F.col("text")), True).alias("a"), F.any_value(F.when(F.col("turn") == 1, F.col("text")), True).alias("b"))
-    both = both.where("a is not null and b is not null").select("conv_id", F.transform(F.split("a", " "), lambda x: F.length(x).cast("long")).alias("a"), F.transform(F.split("b", " "), lambda x: F.length(x).cast("long")).alias("b"))
-    return both.select("conv_id", F.array_join(profile.joined_sequence(F.col("a"), F.col("b"), 99).cast("array<string>"), ",").alias("ids"))
+    """Each row of a conversation with the next one."""
+    rows = _t(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    ids = lambda c: F.transform(F.split(c, " "), lambda x: F.length(x).cast("long"))
+    both = rows.withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))).where("text is not null and next is not null")
+    return both.select("conv_id", "turn", F.array_join(profile.joined_sequence(ids(F.col("text")), ids(F.col("next")), 99).cast("array<string>"), ",").alias("ids"))
 
 
 # Instructions ----------------------------------------------------------------------------------------------------
@@ -462,9 +465,9 @@ def sequence_concat(spark, sf_dir):
 _PARTS = {
     "instruction": "'Write the C++ function f' || doc_id",
     "location": "' located at file: ' || source || ', line:' || n_chars",
-    "context": "CASE WHEN lang <> 'fr' THEN chr(10) || 'Context before is: \"' || substr(text, 1, 1500) || '\"' END",
-    "docstring": "chr(10) || substr(text, 1, doc_id % 2500)",
-    "comments": "chr(10) || substr(text, 1, doc_id % 1100)",
+    "context": "CASE WHEN lang <> 'fr' THEN chr(10) || 'Context before is: \"' || source || ' ' || text || '\"' END",
+    "docstring": "chr(10) || source || ' of ' || lang",
+    "comments": "chr(10) || text",
 }
 _BUDGET = f"""WITH p AS (SELECT doc_id, {", ".join(f"coalesce({v}, '') AS p{i}" for i, v in enumerate(_PARTS.values()))} FROM documents),
     t AS (SELECT *, {", ".join(f"{_sql_tokens(f'p{i}')} AS t{i}" for i in range(5))} FROM p), s AS (SELECT *, t0 + t1 + t2 + t3 + t4 AS a FROM t),
@@ -475,13 +478,12 @@ _BUDGET = f"""WITH p AS (SELECT doc_id, {", ".join(f"coalesce({v}, '') AS p{i}"
 
 @query(_BUDGET)
 def prompt_budget(spark, sf_dir):
-    text = lambda n: F.substring("text", F.lit(1), n)
     parts = {
         "instruction": F.concat(F.lit("Write the C++ function f"), F.col("doc_id")),
         "location": F.concat(F.lit(" located at file: "), F.col("source"), F.lit(", line:"), F.col("n_chars")),
-        "context": F.when(F.col("lang") != "fr", F.concat(F.lit('\nContext before is: "'), text(F.lit(1500)), F.lit('"'))),
-        "docstring": F.concat(F.lit("\n"), text((F.col("doc_id") % 2500).cast("int"))),
-        "comments": F.concat(F.lit("\n"), text((F.col("doc_id") % 1100).cast("int"))),
+        "context": F.when(F.col("lang") != "fr", F.concat(F.lit('\nContext before is: "'), F.col("source"), F.lit(" "), F.col("text"), F.lit('"'))),
+        "docstring": F.concat(F.lit("\n"), F.col("source"), F.lit(" of "), F.col("lang")),
+        "comments": F.concat(F.lit("\n"), F.col("text")),
     }
     prompt, over = instructions.within_budget(parts)
     return _docs(spark, sf_dir).select("doc_id", prompt.alias("prompt"), over.alias("too_long"))
@@ -570,17 +572,34 @@ def fragments_no_overlap(spark, sf_dir):
     return fragments.fragments(rows, "doc_id", "text", fragments.split_plain, "target")
 
 
+def _sql_overlapping(base: str) -> str:
+    """The overlapping split of base (id, text, target): recursive rows (id, idx, start, stop, code)."""
+    back = lambda at: f"coalesce((SELECT min(p) FROM (VALUES (strpos(reverse(substr(text, nxt + 1, {at} - nxt)), chr(10))), (strpos(reverse(substr(text, nxt + 1, {at} - nxt)), ';'))) v(p) WHERE p > 0), 0)"
+    return f"""RECURSIVE f(id, text, n, target, idx, start, stop, nxt) AS (
+    SELECT id, text, length(text), target, -1, 0, 0, 0 FROM ({base}) UNION ALL
+    SELECT id, text, n, target, idx + 1, nxt, best, CASE WHEN e >= n THEN n WHEN p2 > 0 THEN a0 - p2 + 1 ELSE a0 END FROM (SELECT *, {back("a0")} AS p2 FROM (SELECT *, greatest(best - 50, nxt + 1) AS a0 FROM (
+    SELECT *, CASE WHEN e >= n THEN n WHEN p1 > 0 AND e - p1 + 1 > nxt + 50 THEN e - p1 + 1 ELSE e END AS best FROM (SELECT *, {back("e")} AS p1 FROM (SELECT *, nxt + target AS e FROM f WHERE nxt < n)))))),
+    g AS (SELECT id, CAST(idx AS INTEGER) AS idx, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, substr(text, start + 1, stop - start) AS code FROM f WHERE idx >= 0)"""
+
+
+_OVERLAPPING = _sql_overlapping("SELECT doc_id AS id, text, 400 AS target FROM documents")
+
+
 def _overlapping(spark, sf_dir):
     rows = _docs(spark, sf_dir, "doc_id", "text").withColumn("target", F.lit(400))
     return fragments.fragments(rows, "doc_id", "text", fragments.split_overlapping, "target")
 
 
-@query()
+@query(f'WITH {_OVERLAPPING} SELECT id AS doc_id, idx, start, stop AS "end", code FROM g')
 def fragments_overlap(spark, sf_dir):
     return _overlapping(spark, sf_dir)
 
 
-@query()
+@query(
+    f"""WITH {_OVERLAPPING}, s AS (SELECT *, CAST(stop - start AS DOUBLE) AS size, max(idx) OVER (PARTITION BY id) AS last FROM g)
+    SELECT id AS doc_id, count(*) AS n, round(avg(size), 6) AS avg_size, round(stddev_pop(size) FILTER (idx < last), 6) AS std_size, CAST(min(size) FILTER (idx < last) AS BIGINT) AS min_size,
+    CAST(max(size) FILTER (idx < last) AS BIGINT) AS max_size, round(sum(size) / max(stop) * 100, 6) AS coverage FROM s GROUP BY id"""
+)
 def fragment_quality(spark, sf_dir):
     return fragments.quality(_overlapping(spark, sf_dir), "doc_id")
 
@@ -590,7 +609,15 @@ def char_chunks(spark, sf_dir):
     return fragments.chunks(_docs(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
 
 
-@query()
+_EMITTED = f"SELECT doc_id AS id, text, {_sql_tokens('text')} AS tokens FROM documents"
+_TARGET = f"SELECT id, text, CAST(floor(512 * 0.8 * length(text) / greatest(tokens, 1)) AS INTEGER) AS target FROM ({_EMITTED}) WHERE tokens > 512"
+
+
+@query(
+    f"""WITH {_sql_overlapping(_TARGET)}, m AS (SELECT *, max(idx) OVER (PARTITION BY id) AS last FROM g)
+    SELECT id, 'whole' AS mode, 0 AS idx, text AS output FROM ({_EMITTED}) WHERE tokens <= 512
+    UNION ALL SELECT id, CASE WHEN last = 0 THEN 'whole' WHEN idx = 0 THEN 'first' WHEN idx = last THEN 'last' ELSE 'next' END, idx, code FROM m"""
+)
 def emitted_pairs(spark, sf_dir):
     """Whole documents within the budget, fragments of the others, with their mode."""
     rows = _docs(spark, sf_dir, "doc_id", "text").select(F.col("doc_id").alias("id"), F.col("text").alias("code"))
@@ -603,23 +630,25 @@ def emitted_pairs(spark, sf_dir):
 # Retrieval, diffs, extraction ------------------------------------------------------------------------------------
 
 _TOP = """SELECT q.vec_id AS query_id, c.vec_id AS vec_id, round(list_sum(list_transform(list_zip(c.embedding, q.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))), 6) AS distance
-    FROM embeddings c JOIN (SELECT * FROM embeddings WHERE vec_id < 10) q ON c.vec_id <> q.vec_id"""
+    FROM embeddings c JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q ON c.vec_id <> q.vec_id"""
 _TOP = f"SELECT query_id, vec_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM ({_TOP}) QUALIFY rank <= 3"
 
 
+def _found(spark, sf_dir):
+    rows = _t(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return retrieval.nearest(rows, rows.where("vec_id % 100 = 0"), 3)
+
+
 @query(_TOP)
 def vector_topk(spark, sf_dir):
-    rows = _t(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    return retrieval.nearest(rows, rows.where("vec_id < 10"), 3)
+    return _found(spark, sf_dir)
 
 
 @query(
-    f"""SELECT query_id, 'Context:' || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: which?' AS prompt FROM ({_TOP}) t JOIN documents d ON d.doc_id = t.vec_id % 200 GROUP BY query_id"""
+    f"""SELECT query_id, 'Context:' || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: which?' AS prompt FROM ({_TOP}) t JOIN documents d ON d.doc_id = t.vec_id GROUP BY query_id"""
 )
 def rag_prompt(spark, sf_dir):
-    rows = _t(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    found = retrieval.nearest(rows, rows.where("vec_id < 10"), 3).withColumn("vec_id", F.col("vec_id") % 200)
-    return retrieval.stuffed_prompt(found, _docs(spark, sf_dir, F.col("doc_id").alias("vec_id"), "text"), F.lit("which?"))
+    return retrieval.stuffed_prompt(_found(spark, sf_dir), _docs(spark, sf_dir, F.col("doc_id").alias("vec_id"), "text"), F.lit("which?"))
 
 
 _DIFF = f"""WITH d AS (SELECT doc_id, source AS loc, string_split(text, chr(10)) AS l, 1 + doc_id % 6 AS line, list_transform(string_split(lang || ' doc  ' || chr(10) || ' * ' || source, chr(10)), lambda x: rtrim(x, {_BLANKS})) AS doc FROM documents),
@@ -635,25 +664,124 @@ def diff_render(spark, sf_dir):
     return _docs(spark, sf_dir, "doc_id", "source", "text", "lang").select("doc_id", diff.alias("diff"))
 
 
-def _synthetic_file() -> Column:
-    """A file with a namespace, a documented class, a template, an enum and a function per document."""
+#: A file for each document: lines after its documentation comment; {n} is the doc_id, {s} the source.
+_FILE = (
+    "class C{n} {",
+    "public:",
+    "  explicit C{n}(int a, char b = 'x');",
+    "  virtual int get() const = 0;",
+    "  ~C{n}() noexcept;",
+    "};",
+    "struct S{n} { static int make(); };",
+    "template <typename T, int N = 3> T twice(T a) { return a + N; }",
+    "enum class E : int { A, B };",
+    "union U { int i; float f; };",
+    "typedef unsigned long size;",
+    "using text = std::string;",
+    "const int first = 1, second = 2;",
+    "int S{n}::make() { try { return 1; } catch (...) { return 2; } }",
+    "}",
+    "// note {s}",
+    "int f{n}(const char *s) { auto g = [](int x) { return x; }; return g(1); }",
+    "auto last(int a) -> int { return a; }",
+    "using namespace n{n};",
+)
+#: What is in it: (place, kind, name, line of the file above, text from where to where, place of the parent, return type, parameters).
+_HELD = (
+    (3, "class_decl", "C{n}", 0, None, 2, None, None),
+    (4, "constructor", "C{n}", 2, "explicit C{n}(int a, char b = 'x');", 3, "", "int a, char b"),
+    (5, "cxx_method", "get", 3, "virtual int get() const = 0;", 3, "int", ""),
+    (6, "destructor", "C{n}", 4, "~C{n}() noexcept;", 3, "", ""),
+    (7, "struct_decl", "S{n}", 6, "struct S{n} { static int make(); };", 2, None, None),
+    (8, "cxx_method", "make", 6, "static int make();", 7, "int", ""),
+    (9, "function_template", "twice", 7, "template <typename T, int N = 3> T twice(T a) { return a + N; }", 2, "T", "T a"),
+    (10, "enum_decl", "E", 8, "enum class E : int { A, B };", 2, None, None),
+    (11, "union_decl", "U", 9, "union U { int i; float f; };", 2, None, None),
+    (12, "typedef_decl", "size", 10, "typedef unsigned long size;", 2, None, None),
+    (13, "type_alias_decl", "text", 11, "using text = std::string;", 2, None, None),
+    (14, "var_decl", "first", 12, "const int first = 1, second = 2;", 2, None, None),
+    (15, "var_decl", "second", 12, "const int first = 1, second = 2;", 2, None, None),
+    (16, "cxx_method", "make", 13, "int S{n}::make() { try { return 1; } catch (...) { return 2; } }", 7, "int", ""),
+    (17, "cxx_try_stmt", None, 13, "try { return 1; }", 16, None, None),
+    (18, "cxx_catch_stmt", None, 13, "catch (...) { return 2; }", 16, None, None),
+    (19, "function_decl", "f{n}", 16, "int f{n}(const char *s) { auto g = [](int x) { return x; }; return g(1); }", 0, "int", "const char * s"),
+    (20, "lambda_expr", None, 16, "[](int x) { return x; }", 19, None, None),
+    (21, "function_decl", "last", 17, "auto last(int a) -> int { return a; }", 0, "int", "int a"),
+    (22, "using_directive", None, 18, "using namespace n{n};", 0, None, None),
+)
+
+
+def _synthetic_files(spark, sf_dir) -> DataFrame:
     n = F.col("doc_id").cast("string")
+    body = F.replace(F.replace(F.lit("\n".join(_FILE) + "\n"), F.lit("{n}"), n), F.lit("{s}"), F.col("source"))
     words = F.regexp_replace(F.col("text"), r"[*/\\]", " ")
-    return F.concat(
-        F.lit("#include <a.h>\nnamespace n"), n, F.lit(" {\n/** "), words, F.lit(" */\nclass C"), n,
-        F.lit(" {\npublic:\n  explicit C"), n, F.lit("(int a, char b = 'x');\n  virtual int get() const = 0;\n};\ntemplate <typename T, int N = 3> T twice(T a) { return a + N; }\nenum class E : int { A, B };\n}\nint f"),
-        n, F.lit("(const char *s) { auto g = [](int x) { return x; }; return g(1); }\n"),
-    )
+    code = F.concat(F.lit("#include <a.h>\nnamespace n"), n, F.lit(" {\n/** "), words, F.lit(" */\n"), body)
+    return _docs(spark, sf_dir, "doc_id", "text", "source").select(F.concat(F.lit("src/"), n, F.lit(".cpp")).alias("location"), code.alias("code"))
+
+
+def _sql_held() -> str:
+    """The expected elements, e: with places, ids and parents, computed from the file's lines."""
+    put = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    body = put("\n".join(_FILE) + "\n").replace("\n", "' || chr(10) || '")
+    rows = ", ".join(f"({k}, {put(t)}, {put(name)}, {line}, {put(piece)}, {up}, {put(ret)}, {put(args)})" for k, t, name, line, piece, up, ret, args in _HELD)
+    fill = lambda c: f"replace({c}, '{{n}}', n)"
+    return f"""d AS (SELECT CAST(doc_id AS VARCHAR) AS n, 'src/' || doc_id || '.cpp' AS location, '#include <a.h>' || chr(10) || 'namespace n' || doc_id || ' {{' || chr(10) || '/** ' || regexp_replace(text, '[*/\\\\]', ' ', 'g') || ' */' || chr(10)
+    || replace(replace({body}, '{{n}}', CAST(doc_id AS VARCHAR)), '{{s}}', source) AS code FROM documents),
+    f AS (SELECT n, location, code, string_split(code, chr(10)) AS l, len(string_split(code, chr(10))) - {len(_FILE)} AS top FROM d),
+    h(k, type, name, below, piece, up, return_type, parameters) AS (VALUES {rows}),
+    p AS (SELECT f.*, k, type, {fill("name")} AS name, top + below AS line, {fill("piece")} AS piece, up, return_type, parameters FROM f, h
+    UNION ALL SELECT *, 1, 'inclusion_directive', 'a.h', 1, '#include <a.h>', 0, NULL, NULL FROM f UNION ALL SELECT *, 2, 'namespace', 'n' || n, 2, NULL, 0, NULL, NULL FROM f),
+    q AS (SELECT *, CASE WHEN piece IS NULL THEN 1 ELSE strpos(l[line], piece) END AS col, CASE k WHEN 2 THEN top + 14 WHEN 3 THEN line + 5 ELSE line END AS end_line, CASE k WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE strpos(l[line], piece) + length(piece) END AS end_col,
+    CASE k WHEN 2 THEN NULL WHEN 3 THEN array_to_string(l[line:line + 5], chr(10)) ELSE piece END AS text FROM p),
+    i AS (SELECT *, substr(upper(type), 1, 5) AS five, substr(upper(type), 1, 5) || '-' || location || '-' || line || '-' || col AS made FROM q),
+    j AS (SELECT *, five || '_' || substr(sha256(CASE WHEN name IS NULL THEN made ELSE upper(type) || '-' || location || '-' || line || '-' || col || '-' || name END), 1, 12) AS id FROM i),
+    e AS (SELECT c.*, u.id AS parent_id, coalesce(u.type, 'translation_unit') AS parent_type, u.name AS parent_name, u.line AS parent_line, CASE WHEN u.k IS NULL THEN 0 WHEN u.k IN (2, 19) THEN 1 WHEN u.k = 16 THEN 3 ELSE 2 END AS level FROM j c LEFT JOIN j u ON u.location = c.location AND u.k = c.up)"""
 
 
 @query(
-    """SELECT type, name_kind, count(*) AS n FROM (SELECT unnest([('inclusion_directive', 'other'), ('namespace', 'numbered'), ('class_decl', 'numbered'), ('constructor', 'numbered'), ('cxx_method', 'other'),
-    ('function_template', 'other'), ('enum_decl', 'other'), ('function_decl', 'numbered'), ('lambda_expr', 'none')]) AS x, x[1] AS type, x[2] AS name_kind FROM documents) GROUP BY type, name_kind"""
+    f"WITH {_sql_held()} SELECT location, id, parent_id, type, name, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS col, CAST(end_line AS INTEGER) AS end_line, CAST(end_col AS INTEGER) AS end_col, level, parent_type, parent_name, text AS code, return_type, parameters FROM e"
 )
 def extract_elements(spark, sf_dir):
-    files = _docs(spark, sf_dir, "doc_id", "text").select(F.concat(F.lit("src/"), F.col("doc_id"), F.lit(".cpp")).alias("location"), _synthetic_file().alias("code"))
-    kind = F.when(F.col("name").isNull(), "none").when(F.col("name").rlike(r"^[nCf]\d+$"), "numbered").otherwise("other")
-    return extract.elements(files).select("type", kind.alias("name_kind")).groupBy("type", "name_kind").agg(F.count("*").alias("n"))
+    args = F.array_join(F.transform("signature.parameters", lambda p: F.concat_ws(" ", p["type"], p["name"])), ", ")
+    return extract.elements(_synthetic_files(spark, sf_dir)).select(
+        "location", "id", "parent_id", "type", "name", "line", "col", "end_line", "end_col", "level", "parent_type", "parent_name", "code", F.col("signature.return_type").alias("return_type"), args.alias("parameters")
+    )
+
+
+_RECORDS = f"""{_sql_held()}, r AS (SELECT *, list_transform(l[greatest(line - 3, 1):line - 1], lambda x: trim(x, {_BLANKS})) AS before, list_transform(l[line:line + 2], lambda x: trim(x, {_BLANKS})) AS after,
+    CASE WHEN k = 3 THEN array_to_string(l[3:line - 1], chr(10)) END AS doc, CASE WHEN k = 19 THEN l[line - 1] END AS note FROM e)"""
+
+
+@query(f"WITH {_RECORDS} SELECT id, type, array_to_string(before, chr(10)) AS context_before, array_to_string(after, chr(10)) AS context_after, coalesce(doc, '') AS docstrings, coalesce(note, '') AS comments FROM r")
+def element_records(spark, sf_dir):
+    """From source files to element records with context, comments and documentation."""
+    out = records.records(_synthetic_files(spark, sf_dir))
+    return out.select("id", "type", *(F.array_join(c, "\n").alias(c) for c in ("context_before", "context_after", "docstrings", "comments")))
+
+
+_VERB_ID = "['Write','Create','Develop','Provide implementation of','Produce'][1 + CAST(concat('0x', substr(md5(id), 1, 8)) AS BIGINT) % 5]"
+_DOC_CLEAN = _sql_replace("doc", (r"(?m)^[*+-]+$", "''"), (r"(?m)^/\*\*|\*/", "''"), (r"(?m)^[ \t\r\n\f]*\* ?", "''"), (r"(?m)^-+$", "''"), (r"[ \t]{2,}", "' '"), (r" *\n *", "chr(10)"), (r"\n{2,}", "chr(10)"), (r"(?m)^[*+-]+$", "''"), (r"\n{2,}", "chr(10)"))
+_PAIRS = f"""{_RECORDS}, w AS (SELECT *, {_sql_clean_code("text")} AS clean, nullif(trim({_DOC_CLEAN}, {_BLANKS} || chr(10)), '') AS docstring, nullif(trim(substr(note, 3), {_BLANKS}), '') AS comment,
+    CASE WHEN type = 'cxx_method' THEN 'method ' || name || ' of the C++ class ' || parent_name WHEN type IN ('function_decl', 'function_template') THEN 'C++ function ' || name WHEN type IN ('constructor', 'destructor') THEN type || ' of the C++ class ' || parent_name
+    WHEN type IN ('class_decl', 'struct_decl') THEN 'C++ class ' || name WHEN type = 'var_decl' THEN 'variable ' || name || ' of the project sources' ELSE 'enumeration ' || name || ' of the project sources' END AS what,
+    CASE WHEN type IN ('var_decl', 'enum_decl') THEN 'Declare' ELSE {_VERB_ID} END AS verb FROM r WHERE type IN ('class_decl', 'struct_decl', 'constructor', 'destructor', 'cxx_method', 'function_template', 'function_decl', 'enum_decl', 'var_decl'))"""
+_CODE_PAIRS = f"""{_PAIRS}, o AS (SELECT id, clean, verb || ' the ' || what AS p0, ' located at file: ' || location || ', line:' || line AS p1, CASE WHEN len(before) > 0 THEN chr(10) || 'Context before is: "' || array_to_string(before, chr(10)) || '"' ELSE '' END AS p2,
+    coalesce(' using docstring: "' || docstring || '"', '') AS p3, coalesce(' using comments: "' || comment || '"', '') AS p4 FROM w),
+    t AS (SELECT *, {", ".join(f"{_sql_tokens(f'p{i}')} AS t{i}" for i in range(5))} FROM o), s AS (SELECT *, t0 + t1 + t2 + t3 + t4 AS a FROM t),
+    b AS (SELECT *, CASE WHEN a > 512 THEN a - t4 ELSE a END AS b FROM s), c AS (SELECT *, CASE WHEN b > 512 THEN b - t2 ELSE b END AS c FROM b), z AS (SELECT *, CASE WHEN c > 512 THEN c - t1 ELSE c END AS d FROM c)
+    SELECT id, 'whole' AS mode, 0 AS idx, p0 || CASE WHEN c <= 512 THEN p1 ELSE '' END || CASE WHEN b <= 512 THEN p2 ELSE '' END || p3 || CASE WHEN a <= 512 THEN p4 ELSE '' END AS input, clean AS output, d > 512 AS too_long FROM z"""
+
+
+@query(f"WITH {_CODE_PAIRS}")
+def code_pairs(spark, sf_dir):
+    """From source files to instruction and code."""
+    return records.code_pairs(records.documented(records.records(_synthetic_files(spark, sf_dir))))
+
+
+@query(f"WITH {_PAIRS} SELECT id, 'Write documentation (docstring) for the ' || what || ' with code: ' || clean AS input, docstring AS output FROM w WHERE docstring IS NOT NULL")
+def doc_pairs(spark, sf_dir):
+    """From source files to code and documentation."""
+    return records.doc_pairs(records.documented(records.records(_synthetic_files(spark, sf_dir))))
 
 
 @query(

@@ -67,18 +67,17 @@ def installed_models(names: DataFrame) -> DataFrame:
 
 def write_by_type(rows: DataFrame, path: str, by: str = "type") -> None:
     """K1, K6: JSON lines in one folder per type, committed as a whole."""
-    rows.repartition(by).write.partitionBy(by).json(path)
+    rows.write.partitionBy(by).json(path)  # a type with very many rows stays spread over its tasks
 
 
 def write_pairs(code: list[DataFrame], docs: list[DataFrame], path: str) -> None:
     """Code pairs and documentation pairs, each the union of its parts in the order given."""
     for name, parts in (("code", code), ("docs", docs)):
         out = None
-        for i, p in enumerate(parts):
-            p = p.withColumn("part", F.lit(i))
+        for p in parts:
             out = p if out is None else out.unionByName(p, allowMissingColumns=True)
-        if out is not None:
-            out.repartitionByRange("part").sortWithinPartitions("part").drop("part").write.json(f"{path}/{name}")
+        if out is not None:  # a union's partitions, and so its files, come in the order of its parts
+            out.write.json(f"{path}/{name}")
 
 
 def write_records(rows: DataFrame, path: str, content: tuple[str, ...] = ("code", "docstring", "text")) -> None:

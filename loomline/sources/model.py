@@ -11,7 +11,7 @@ Ask = Callable[[list[str]], list[str]]
 
 
 def answered(requests: DataFrame, make_client: Callable[[], Ask], batch: int = 16) -> DataFrame:
-    """M1-M5: (id, prompt) -> (id, response). A client is made once per task; a batch that fails gives ''.
+    """M1-M5: (id, prompt) -> (id, response, failed). A client is made once per task; a batch that fails gives '' and failed.
 
     Null prompts are not asked and give ''.
     """
@@ -19,7 +19,7 @@ def answered(requests: DataFrame, make_client: Callable[[], Ask], batch: int = 1
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = make_client()
         for f in frames:
-            out = [""] * len(f)
+            out, failed = [""] * len(f), [False] * len(f)
             todo = [i for i, p in enumerate(f["prompt"]) if isinstance(p, str)]
             for at in range(0, len(todo), batch):
                 part = todo[at : at + batch]
@@ -27,12 +27,14 @@ def answered(requests: DataFrame, make_client: Callable[[], Ask], batch: int = 1
                     found = ask([f["prompt"].iloc[i] for i in part])
                 except Exception:  # noqa: BLE001 - a failing server must not lose the batch's rows
                     found = [""] * len(part)
+                    for i in part:
+                        failed[i] = True
                 for i, x in zip(part, found, strict=True):
                     out[i] = x
-            yield pd.DataFrame({"id": f["id"], "response": out})
+            yield pd.DataFrame({"id": f["id"], "response": out, "failed": failed})
 
     kind = requests.schema["id"].dataType.simpleString()
-    return requests.select("id", "prompt").mapInPandas(run, f"id {kind}, response string")
+    return requests.select("id", "prompt").mapInPandas(run, f"id {kind}, response string, failed boolean")
 
 
 def token_counter(texts: DataFrame, make_counter: Callable[[], Callable[[list[str]], list[int]]]) -> DataFrame:
