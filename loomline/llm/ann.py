@@ -2,17 +2,19 @@
 
 The tree is fitted on a bounded sample (``SAMPLE`` distinct vectors) and broadcast; every row is indexed by
 descent. Queries traverse it best bin first: a priority queue of nodes by distance to their centres yields leaves
-in order of promise. How many leaves are visited is calibrated: for up to ``PROBES`` query vectors the exact
-neighbours over all rows are found by a scan, and visits are widened until ``TARGET`` of them lie in visited leaves.
+in order of promise. How many leaves are visited is calibrated: for up to ``PROBES`` vectors, other than the queries
+where there are enough, the exact neighbours over all rows are found by a scan, and visits are widened until ``TARGET``
+of them lie in visited leaves. A query goes on until the leaves visited have k + 1 classes.
 
 Equal vectors are one class, which keeps its ``k + 1`` smallest ids: no more of them can be among anyone's nearest.
-A class's queries search once. Small leaves are
-compared together, large ones are dealt to blocks; a query gives one short list per group, whatever the leaves in it.
+A class's queries search once. Small leaves are compared together, large ones are dealt to blocks, and many queries of
+a group to parts; a query gives one short list per group, whatever the leaves in it.
 
 Defined results: vectors that are null, zero, of another length than the most common one, or hold null or
 non-finite components take no part, as query or candidate; rows with a null vec_id neither; repeated vec_ids
-with the same vector count once; ties go to the smaller vec_id; fewer candidates than k give fewer rows; an empty
-table gives none.
+with the same vector count once; a vec_id with several vectors counts, as query and as candidate, at the smallest
+distance of any of them; ties go to the smaller vec_id; fewer candidates than k give fewer rows; an empty table gives
+none; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import lean, stored
+from loomline.llm.common import lean, partitions, stored
 
 SAMPLE, BRANCH, LEAF_SAMPLE, PROBES, TARGET = 16_384, 12, 48, 100, 0.97
-#: Rows that are compared together, about.
-_BLOCK = 20_000
+#: Rows, and queries, that are compared together, about.
+_BLOCK, _QUERIES = 20_000, 4_000
 
 
 @dataclass
@@ -122,10 +124,10 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     few = Window.partitionBy("vec", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
     some = rows.distinct().withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= k + 1)
     classes = some.groupBy("vec").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
-    classes = stored(classes.select(F.col("ids")[0].alias("cid"), "vec", "ids"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("cid"), "vec", "ids"))
     queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vec").distinct()
     queries = stored(queries.join(classes.select("cid", "vec"), "vec").select("query_id", "cid", "vec"))
-    asked = queries.groupBy("cid").agg(F.first("vec").alias("vec"))
+    asked = stored(queries.groupBy("cid").agg(F.first("vec").alias("vec")))
 
     sample = np.array([r[0] for r in classes.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("vec").collect()])
     if not len(sample):
@@ -138,7 +140,8 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(leaf), *b.columns], ["leaf", "cid", "vec", "ids"])
 
     index = stored(classes.mapInArrow(lean(indexed), "leaf long, cid long, vec array<double>, ids array<long>"))
-    visits = _calibrated(index, asked, shared.value, k)
+    others = classes.select("cid", "vec").join(asked.select("cid"), "cid", "left_anti").select("vec", F.lit(0).alias("late"))
+    visits = _calibrated(index, others.unionByName(asked.select("vec", F.lit(1).alias("late"))), shared.value, k)
     sizes = sorted((r[0], r[1]) for r in index.groupBy("leaf").count().collect())  # one row per leaf of the tree
     groups, room = [], 0
     for leaf, n in sizes:  # small leaves share a group of about _BLOCK rows, a large one has its own, in blocks
@@ -149,7 +152,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
             groups.append((leaf, groups[-1][1], groups[-1][2]))
         room -= n
     group_of = {leaf: g for leaf, g, _ in groups}
-    deal = spark.createDataFrame(groups, "leaf long, group int, blocks int")
+    rows_of = dict(sizes)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
@@ -159,18 +162,27 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
             at: list[int] = []
             for i, q in enumerate(_matrix(b.column(1))):
                 mine: dict[int, list[int]] = {}
-                for leaf, _ in zip(tree.leaves_by_promise(q), range(visits), strict=False):
+                have = 0
+                for nth, leaf in enumerate(tree.leaves_by_promise(q)):
+                    if nth >= visits and have > k:
+                        break
                     if leaf in group_of:
                         mine.setdefault(group_of[leaf], []).append(leaf)
+                        have += rows_of[leaf]
                 group += mine
                 leaves += mine.values()
                 at += [i] * len(mine)
             yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(leaves, pa.list_(pa.int64())), *(c.take(pa.array(at, pa.int64())) for c in b.columns)], ["group", "leaves", "cid", "vec"])
 
-    blocks = F.broadcast(deal.groupBy("group").agg(F.max("blocks").alias("blocks")))
-    sent = asked.select("cid", "vec").mapInArrow(lean(routed), "group int, leaves array<long>, cid long, vec array<double>").join(blocks, "group")
-    sent = sent.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("cid").alias("query"), "vec", "leaves")
-    base = index.join(F.broadcast(deal), "leaf").select("group", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("block"), "leaf", "cid", "vec", "ids")
+    dealt = asked.select("cid", "vec").repartition(partitions(spark), "cid")
+    sent = stored(dealt.mapInArrow(lean(routed), "group int, leaves array<long>, cid long, vec array<double>"))
+    asking = {r[0]: r[1] for r in sent.groupBy("group").count().collect()}  # one row per group of leaves
+    parts = {g: -(-n // _QUERIES) for g, n in asking.items()}
+    deal = F.broadcast(spark.createDataFrame([(leaf, g, n, parts.get(g, 0)) for leaf, g, n in groups], "leaf long, group int, blocks int, parts int"))
+    blocks = F.broadcast(spark.createDataFrame([(g, n, parts.get(g, 0)) for g, n in {g: n for _, g, n in groups}.items()], "group int, blocks int, parts int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sent = sent.join(blocks, "group").select("group", F.pmod(F.xxhash64("cid"), "parts").cast("int").alias("part"), each("blocks").alias("block"), F.col("cid").alias("query"), "vec", "leaves")
+    base = index.join(deal, "leaf").where("parts > 0").select("group", each("parts").alias("part"), F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("block"), "leaf", "cid", "vec", "ids")
 
     def compared(base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -187,10 +199,10 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
                     out += [(query, v, s) for s, n in zip(d, near, strict=True) for v in ids[n]]
         return pd.DataFrame(out, columns=["query", "vec_id", "score"]).astype({"query": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = base.groupBy("group", "block").cogroup(sent.groupBy("group", "block")).applyInPandas(compared, "query long, vec_id long, score double")
+    found = base.groupBy("group", "part", "block").cogroup(sent.groupBy("group", "part", "block")).applyInPandas(compared, "query long, vec_id long, score double")
     order = lambda key: Window.partitionBy(key).orderBy("score", "vec_id")
     near = found.withColumn("nth", F.row_number().over(order("query"))).where(F.col("nth") <= k + 1)
-    each = queries.select("query_id", F.col("cid").alias("query")).join(near, "query").where("vec_id <> query_id")
+    each = queries.select("query_id", F.col("cid").alias("query")).join(near, "query").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = each.withColumn("rank", F.row_number().over(order("query_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
@@ -205,9 +217,9 @@ def _nearest(q: np.ndarray, x: np.ndarray, k: int, allowed: np.ndarray | None =
     return [np.flatnonzero((row <= e) & np.isfinite(row)) for row, e in zip(d, edge + room, strict=True)]
 
 
-def _calibrated(index: DataFrame, asked: DataFrame, tree: Tree, k: int) -> int:
-    """How many leaves a query visits: the fewest that hold TARGET of the probes' exact nearest rows."""
-    probes = asked.orderBy(F.xxhash64("cid"), "cid").limit(PROBES).collect()
+def _calibrated(index: DataFrame, vectors: DataFrame, tree: Tree, k: int) -> int:
+    """How many leaves a query visits: the fewest that hold TARGET of the probes' exact nearest rows; probes are taken from late vectors last."""
+    probes = vectors.orderBy("late", F.xxhash64("vec")).limit(PROBES).collect()
     if not probes:
         return 1
     q = np.array([r["vec"] for r in probes])

@@ -52,3 +52,18 @@ def test_tree_first_leaf():
     for v, n in zip(x[:50], leaf, strict=True):
         order = list(tree.leaves_by_promise(v))
         assert order[0] == n and len(order) == len(set(order)) == sum(not c for c in tree.children)
+
+
+def test_one_id_with_two_vectors(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)] + [(i, [float(x) for x in rng.normal(size=4)]) for i in range(10)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, every=30).collect()
+    for q in (0, 30):
+        near = {}
+        for a in (v for i, v in rows if i == q):
+            for i, v in rows:
+                if i != q:
+                    d = float(np.sqrt(((np.array(a) - np.array(v)) ** 2).sum()))
+                    near[i] = min(near.get(i, d), d)
+        want = sorted((d, i) for i, d in near.items())[:5]
+        assert [(r.vec_id, r["rank"]) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(i, n + 1) for n, (_, i) in enumerate(want)]
