@@ -46,8 +46,8 @@ WINDOW = 50
 GRAM = 16
 #: Segments per message of step 1, windows per batch of step 3, bytes of segments handled together in step 3.
 _SEND, _BATCH, _TOGETHER = 1 << 19, 1 << 17, 1 << 21
-#: Different segments of an anchor that are compared without splitting it; windows of a slice.
-HOT, SLICE = 128, 5
+#: Different segments of an anchor that are compared without splitting it (a tenth of _TOGETHER); windows of a slice.
+HOT, SLICE = 2048, 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(50).integers(0, 1 << 64, 256, dtype=np.uint64)
 _COLUMNS = (("anchor", np.uint64), ("whole", np.uint64), ("doc", np.int64), ("start", np.uint32), ("count", np.uint16))

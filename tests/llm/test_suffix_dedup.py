@@ -74,8 +74,8 @@ def test_hot_anchor_is_split(spark):
     """A passage between different words in many documents: many different segments with one anchor."""
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(20, 70)))
-    rows = [(i, word() + "this very common passage stands in all of the documents, with an end" + word()) for i in range(700)]
-    rows += [(900 + i, rng.choice(rows)[1][rng.randrange(30) :]) for i in range(100)] + [(5, rows[5][1])]
+    rows = [(i, word() + "this very common passage stands in all of the documents, with an end" + word()) for i in range(2300)]
+    rows += [(2900 + i, rng.choice(rows)[1][rng.randrange(30) :]) for i in range(100)] + [(5, rows[5][1])]
     got = [tuple(r)[:5] for r in suffix_dedup.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()]
     want = brute(rows)
     assert sorted(got) == sorted((d, *want[d]) for d, _ in rows)
