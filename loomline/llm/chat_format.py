@@ -7,8 +7,9 @@ becomes ``<\\|`` (in roles a line feed also becomes ``\\n``), so after escaping
 
 Defined results: a null text or role is empty; turns sort by turn, then role, then text (nulls first), and
 repeated rows stay; a conversation whose roles break the machine is still formatted, with ``valid`` false and
-the index of its first bad turn in ``first_bad``; rows with a null conv_id form one conversation; other columns
-are ignored; an empty table gives no conversations.
+the index of its first bad turn in ``first_bad``; rows with a null conv_id form one conversation, so a table should
+have few of them; very long texts and conversations are formatted whole, each conversation in one row; other columns
+are ignored, whatever their names; an empty table gives no conversations.
 """
 
 from __future__ import annotations

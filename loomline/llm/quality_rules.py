@@ -5,8 +5,9 @@ Each rule votes good (1), bad (-1) or abstains (0) on a document. Vote patterns
 estimates each rule's accuracy on good and on bad documents and the share of good ones. A document is kept if the
 posterior probability that it is good reaches the threshold, instead of having to pass every rule.
 
-Defined results: a null or blank text has no words, fails the base rule and is not kept; repeated documents get
-the same result each; an empty table gives no rows; other columns are ignored.
+Defined results: a null or blank text has no words, fails the base rule and is not kept; very long texts are read
+whole, as one row; repeated documents get the same result each, and each counts for the accuracies; a posterior at the
+threshold keeps; a null doc_id stays null; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

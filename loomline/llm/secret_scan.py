@@ -7,7 +7,9 @@ are leftmost and do not overlap; those that fail the rule's length test are drop
 Spans are in code points, end exclusive.
 
 Defined results: a null or empty text has no spans; repeated documents get the same spans each; texts of any
-length are read whole, with memory in proportion to one text; an empty table gives no rows.
+length are read whole, with memory in proportion to one text; spans with one start are listed in the order of the rules;
+a null doc_id stays null; other columns are ignored, or kept by ``redact``, whatever their names; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -19,9 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import lean
-
 from loomline.llm.automaton import Automaton, compile_rules
+from loomline.llm.common import lean
 
 
 @dataclass(frozen=True)

@@ -18,7 +18,9 @@ its size, up to the 64 bits of a shingle's hash.
 
 Defined results: null and blank texts have fingerprint zero and are linked like any others; fewer words than a
 shingle make one shingle; repeated rows with the same doc_id count once as a node; null doc_ids are left as
-their own rows with null component; other columns are ignored here; an empty table gives no rows.
+their own rows with null component; very long texts are hashed whole; a bit that is set in exactly half the hashes is 0, and
+a component is named by its smallest doc_id; other columns are ignored, or kept by ``deduplicated`` (their names may be
+any but ``_gone``); an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -1,6 +1,8 @@
 """The registered queries on the smallest tables: against SQL where there is some, else for their contracts' shape."""
 
+import hashlib
 import os
+import re
 
 import pytest
 
@@ -43,3 +45,57 @@ def test_pipeline_handles_odd_rows(spark, tmp_path):
     assert {r.doc_id for r in out} == {3, 5}
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "e" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "e")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op2_bpe", "op3_secret_scan", "op4_simhash", "op5_quality_rules", "op6_packing", "op7_sharding", "op9_language_id"])
+def test_registered_over_all_documents(spark, name):
+    """Every registered query returns every document; what it returns holds together."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.QUERIES[name](spark, SF).collect()
+    assert {r.doc_id for r in rows} == set(docs)
+    if name != "op6_packing":
+        assert len(rows) == len(docs)
+    if name == "op2_bpe":
+        assert all(r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest() for r in rows)
+    if name == "op3_secret_scan":
+        kinds = [("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, 1), ("access", "AKIA[A-Z0-9]+", 20, 0), ("hex", "[0-9a-f]+", 24, 0)]
+        for r in rows:
+            found = [(m.start(), i, m.end(), k) for i, (k, pattern, least, g) in enumerate(kinds) for m in re.finditer(pattern, docs[r.doc_id]) if len(m[g]) >= least]
+            text = ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(found))
+            assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest(), r.doc_id
+            assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for *_, k in found) for x, *_ in kinds]
+    if name == "op4_simhash":
+        from_ = {r.doc_id: int(r.fingerprint, 16) for r in rows}
+        label = {d: d for d in from_}
+        for a in sorted(from_):
+            for b in from_:
+                if (from_[a] ^ from_[b]).bit_count() <= 3 and label[a] != label[b]:
+                    low, high = sorted((label[a], label[b]))
+                    label = {d: low if x == high else x for d, x in label.items()}
+        assert {r.doc_id: r.component_id for r in rows} == label
+    if name == "op5_quality_rules":
+        assert all(not r.kept for r in rows if r.base_failed) and any(r.kept for r in rows)
+    if name == "op6_packing":
+        assert sum(r.length for r in rows) == sum(max(r.start + r.length for r in rows if r.doc_id == d) for d in docs)
+        assert len({r.sequence_id for r in rows}) <= 1.01 * sum(r.length for r in rows) / 2048 + 2
+    if name == "op7_sharding":
+        groups, sizes, slots = {}, dict.fromkeys(range(40), 0), {}
+        for r in rows:
+            groups.setdefault(docs[r.doc_id], set()).add(r.shard)
+            sizes[r.shard] += r["size"]
+            slots.setdefault(r.shard, []).append(r.slot)
+            assert r["size"] == len(docs[r.doc_id].encode()) + 16
+        assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+        heavy = lambda t, n: (len(t.encode()) + 16) * n > sum(sizes.values()) / 160 or n > len(docs) / 160 or len(t.split()) * n > sum(len(d.split()) for d in docs.values()) / 160
+        assert all(len(x) == 1 or heavy(t, sum(d == t for d in docs.values())) for t, x in groups.items())
+    if name == "op9_language_id":
+        lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+        held = [r for r in rows if r.held_out and lang[r.doc_id] and r.lang_pred != "und"]
+        assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.9 * len(held)
+
+
+def test_registered_search(spark):
+    rows = queries.QUERIES["op8_nearest"](spark, SF).collect()
+    ids = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    assert {r.query_id for r in rows} <= {i for i in ids if i % 100 == 0} and all(r.query_id != r.vec_id for r in rows)
+    assert all(sorted(r["rank"] for r in rows if r.query_id == q) == list(range(1, 11)) for q in {r.query_id for r in rows})
