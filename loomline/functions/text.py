@@ -123,7 +123,7 @@ TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n\f]"
 
 
 def token_count(c: Column) -> Column:
-    """P20 without a tokenizer: words and single other characters. ``sources.llm.token_counter`` plugs one in."""
+    """P20 without a tokenizer: words and single other characters. ``sources.model.token_counter`` plugs one in."""
     return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(TOKEN)).cast("long")
 
 
