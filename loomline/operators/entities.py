@@ -78,11 +78,15 @@ def overloads(rows: DataFrame, key: list[str], signature: str) -> DataFrame:
     return counted.withColumn("is_overloaded", F.col("overload_count") > 1)
 
 
-def siblings(rows: DataFrame, key: list[str], order: list[str], level: str, levels: int, name: str) -> DataFrame:
+def siblings(rows: DataFrame, key: list[str], order: list[str], level: str, levels: int | None, name: str) -> DataFrame:
     """Prev and next: the nearest row before and after whose level is at most the row's own.
 
-    One window with a running last value for each of the few levels, instead of a search per row.
+    One window with a running last value for each of the few levels, instead of a search per row. Rows of level
+    ``levels`` and above count for no row and get null; with None there are as many levels as the rows have, found by a
+    pass over them. A level that is null or below 0 gives null.
     """
+    if levels is None:
+        levels = (rows.agg(F.max(level)).first()[0] or 0) + 1
     w = Window.partitionBy(*key).orderBy(*order)
     back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*key).orderBy(*[F.col(o).desc() for o in order]).rowsBetween(Window.unboundedPreceding, -1)
 

@@ -65,9 +65,9 @@ def pairs(text: str) -> dict[int, int]:
     return out
 
 
-def body_of(code: str, at: int = 0) -> str | None:
-    """The balanced {...} that begins at or after ``at``; None without one."""
-    m = masked(code)
+def body_of(code: str, at: int = 0, aware: bool = True) -> str | None:
+    """The balanced {...} that begins at or after ``at``; None without one. E22b: if not aware, braces in comments and literals count."""
+    m = masked(code) if aware else code
     start = m.find("{", at)
     return None if start < 0 else code[start : matching(m, start) + 1]
 
@@ -392,6 +392,43 @@ def in_project(location: Column, root: str) -> Column:
     return ~outside & (location.startswith(root) | ~location.startswith("/"))
 
 
+def problems(code: str) -> list[tuple[int, str, str]]:
+    """What the scanner can't read, by place: (place, severity, message), and the file's own #error and #warning lines."""
+    m = masked(code)
+    out = [(d.start(1), "Error" if d[1] == "#error" else "Warning", d[2].strip()) for d in re.finditer(r"(?m)^[ \t]*(#error|#warning)\b([^\n]*)", code) if m[d.start(1)] == "#"]
+    waiting: list[tuple[int, str]] = []
+    for b in re.finditer(r"[()\[\]{}]", m):
+        if b[0] in "([{":
+            waiting.append((b.start(), b[0]))
+        elif waiting and waiting[-1][1] + b[0] in ("()", "[]", "{}"):
+            waiting.pop()
+        else:
+            out.append((b.start(), "Error", f"'{b[0]}' closes nothing"))
+    out += [(at, "Error", f"'{b}' is not closed") for at, b in waiting]
+    out += [(c.start(), "Fatal", "comment is not closed") for c in _MASKED.finditer(code) if c[0].startswith("/*") and (len(c[0]) < 4 or not c[0].endswith("*/"))]
+    return sorted(out)
+
+
+def diagnostics(files: DataFrame, errors_only: bool = False) -> DataFrame:
+    """(location, line, col, severity, message) of what is wrong with files (location, code); with errors_only no warnings.
+
+    Null code has no diagnostics. Rows leave where their file is read: nothing is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for place, code in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for at, severity, message in problems(code) if code else []:
+                    out.append((place, code.count("\n", 0, at) + 1, at - code.rfind("\n", 0, at), severity, message))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["location", "line", "col", "severity", "message"])
+
+    out = files.select("location", "code").mapInArrow(run, "location string, line int, col int, severity string, message string")
+    return out.where(F.col("severity").isin("Error", "Fatal")) if errors_only else out
+
+
 def find_element(rows: DataFrame, kind: str, name: str, is_defined: bool | None = None) -> DataFrame:
     """The first element of that kind and name, by place."""
     out = rows.where((F.col("type") == kind) & (F.col("name") == name))
@@ -411,18 +448,31 @@ def code_at(files: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def doxygen(c: Column) -> Column:
-    """struct(brief, details, returns, params, throws, see, notes, warnings) from a documentation comment."""
+    """struct(brief, details, returns, params, throws, see, notes, warnings, deprecated, code_blocks) from a documentation comment.
+
+    Without a brief tag the text before the first tag gives brief, its first sentence, and details, the others. A
+    parameter's direction is the bracketed word as written, or ''.
+    """
     bare = F.regexp_replace(F.regexp_replace(c, r"(?md)^[ \t]*(/\*[*!]|\*/|\*|//[/!])[ \t]?", ""), r"\*/\s*$", "")
     tag = lambda name: F.transform(F.regexp_extract_all(bare, F.lit(rf"(?s)[@\\](?:{name})[ \t]+(.*?)(?=\n\s*[@\\][a-z]|\n\s*\n|$)"), 1), lambda x: F.btrim(F.regexp_replace(x, r"\s+", " ")))
-    params = F.transform(tag(r"param(?:\[[a-z,]+\])?"), lambda x: F.struct(F.substring_index(x, " ", 1).alias("name"), F.btrim(F.substring(x, F.length(F.substring_index(x, " ", 1)) + 1, F.length(x))).alias("description")))
+    given = F.regexp_extract_all(bare, F.lit(r"[@\\]param[ \t]*(\[[A-Za-z, ]*\])?(?=[ \t]+\S)"), 1)
+    split = lambda x: (F.substring_index(x, " ", 1), F.btrim(F.substring(x, F.length(F.substring_index(x, " ", 1)) + 1, F.length(x))))
+    params = F.zip_with(tag(r"param(?:[ \t]*\[[A-Za-z, ]*\])?"), given, lambda x, d: F.struct(split(x)[0].alias("name"), split(x)[1].alias("description"), d.alias("direction")))
+    untagged = F.btrim(F.regexp_replace(F.regexp_extract(bare, r"(?s)^(.*?)(?=[@\\][a-z]|$)", 1), r"\s+", " "))
+    first = F.regexp_extract(untagged, r"^(.*?[.!?])(?= |$)", 1)
+    sentence = F.when(first == "", untagged).otherwise(first)
+    rest = F.btrim(F.substring(untagged, F.length(sentence) + 1, F.length(untagged)))
+    blocks = F.transform(F.regexp_extract_all(bare, F.lit(r"(?s)[@\\]code\b(.*?)[@\\]endcode"), 1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     return F.struct(
-        F.get(tag("brief"), F.lit(0)).alias("brief"),
-        F.get(tag("details"), F.lit(0)).alias("details"),
+        F.coalesce(F.get(tag("brief|short"), F.lit(0)), F.nullif(sentence, F.lit(""))).alias("brief"),
+        F.coalesce(F.get(tag("details"), F.lit(0)), F.nullif(rest, F.lit(""))).alias("details"),
         F.get(tag("returns?"), F.lit(0)).alias("returns"),
         params.alias("params"),
         tag("throws?|exception").alias("throws"),
         tag("see|sa").alias("see"),
         tag("note").alias("notes"),
         tag("warning").alias("warnings"),
+        F.get(tag("deprecated"), F.lit(0)).alias("deprecated"),
+        blocks.alias("code_blocks"),
         c.alias("raw"),
     )

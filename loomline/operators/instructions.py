@@ -162,6 +162,12 @@ def method_rows(classes: DataFrame) -> DataFrame:
     return classes.select(F.col("name").alias("class_name"), F.explode("methods").alias("m")).select("class_name", "m.*")
 
 
+def find_method(classes: DataFrame, class_name: str, method: str) -> DataFrame:
+    """The first method of that name in the first class of that name that has one; no row if there is none. Classes are told apart by ``id``."""
+    own = classes.where(F.col("name") == class_name).select("id", F.posexplode("methods").alias("pos", "m"))
+    return own.where(F.col("m.name") == method).orderBy("id", "pos").limit(1).select("id", "m.*")
+
+
 def all_methods(direct: DataFrame, classes: DataFrame) -> DataFrame:
     """methods that are rows of their own and those nested in classes: (class_name, name, code, ...)."""
     return direct.unionByName(method_rows(classes), allowMissingColumns=True)

@@ -15,6 +15,17 @@ def counts(rows: DataFrame, by: str, known: list[str] | None = None) -> DataFram
     return dim.join(out, by, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
+def unhandled(rows: DataFrame, kind: str, expected: tuple[str, ...]) -> DataFrame:
+    """(bucket, kind, n): how often each kind occurs, those in expected apart from the others. Null kinds are unexpected."""
+    bucket = F.when(F.col(kind).isin(*expected), "expected").otherwise("unexpected")
+    return rows.groupBy(bucket.alias("bucket"), F.col(kind).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def flagged(rows: DataFrame, *flags: str) -> DataFrame:
+    """One row: n, and for each flag how many rows have it set."""
+    return rows.agg(F.count("*").alias("n"), *(F.count_if(F.col(f)).alias(f) for f in flags))
+
+
 def extremes(rows: DataFrame, by: list[str], length: str, what: Column, order: str) -> DataFrame:
     """Least and greatest length and what has it; of equal ones the first."""
     low, high = F.struct(F.col(length), F.col(order)), F.struct(F.col(length), -F.col(order))

@@ -791,3 +791,39 @@ def doxygen_fields(spark, sf_dir):
     c = F.concat(F.lit("/**\n * @brief "), F.col("lang"), F.lit("\n * @param[in] a "), F.col("source"), F.lit(" text\n * @throws bad\n */"))
     x = extract.doxygen(c)
     return _docs(spark, sf_dir, "doc_id", "lang", "source").select("doc_id", x["brief"].alias("brief"), F.get(x["params"], F.lit(0))["name"].alias("param"), F.get(x["params"], F.lit(0))["description"].alias("description"), F.get(x["throws"], F.lit(0)).alias("throws"))
+
+
+@query("""SELECT doc_id, 'Of ' || lang || '.' AS brief, 'More of it.' AS details, '[out]' AS direction, 'b' AS param, source || ' text' AS description, 'use ' || source AS deprecated, 'int x = ' || doc_id || ';' AS block FROM documents""")
+def doxygen_tags(spark, sf_dir):
+    parts = ("/**\n * Of ", "lang", ".\n * More of it.\n * @param [out] b ", "source", " text\n * @deprecated use ", "source", "\n * @code\n * int x = ", "doc_id", ";\n * @endcode\n */")
+    x = extract.doxygen(F.concat(*(F.col(p) if i % 2 else F.lit(p) for i, p in enumerate(parts))))
+    p = F.get(x["params"], F.lit(0))
+    return _docs(spark, sf_dir, "doc_id", "lang", "source").select("doc_id", x["brief"].alias("brief"), x["details"].alias("details"), p["direction"].alias("direction"), p["name"].alias("param"), p["description"].alias("description"), x["deprecated"].alias("deprecated"), F.get(x["code_blocks"], F.lit(0)).alias("block"))
+
+
+@query(
+    """SELECT 'f' || doc_id AS location, 3 AS line, 1 AS col, 'Warning' AS severity, source AS message FROM documents
+    UNION ALL SELECT 'f' || doc_id, 2, 10, 'Error', '''{'' is not closed' FROM documents WHERE lang = 'en'
+    UNION ALL SELECT 'f' || doc_id, 2, 12, 'Error', '''}'' closes nothing' FROM documents WHERE lang = 'de'"""
+)
+def scanner_diagnostics(spark, sf_dir):
+    body = F.when(F.col("lang") == "en", "{ ").when(F.col("lang") == "de", "{}}").otherwise("{ }")
+    code = F.concat(F.lit("int a; // {\nvoid f() "), body, F.lit("\n#warning "), F.col("source"), F.lit("\n"))
+    return extract.diagnostics(_docs(spark, sf_dir, "doc_id", "lang", "source").select(F.concat(F.lit("f"), F.col("doc_id")).alias("location"), code.alias("code")))
+
+
+@query("SELECT CASE WHEN event_type IN ('click', 'view') THEN 'expected' ELSE 'unexpected' END AS bucket, event_type AS kind, count(*) AS n FROM events GROUP BY event_type")
+def unhandled_kinds(spark, sf_dir):
+    return profile.unhandled(_t(spark, sf_dir, "events", "event_type"), "event_type", ("click", "view"))
+
+
+@query(f"SELECT count(*) AS n, count_if(too_long) AS too_long FROM ({_BUDGET})")
+def skipped_counts(spark, sf_dir):
+    return profile.flagged(prompt_budget(spark, sf_dir), "too_long")
+
+
+@query(f"""SELECT doc_id AS element_id, doc_id || '_frag' || idx AS fragment_id, code, start AS start_pos, "end" AS end_pos, lang AS element_name, source AS file, n_chars AS line FROM ({ORACLE["fragments_no_overlap"]}) JOIN documents USING (doc_id)""")
+def fragment_records(spark, sf_dir):
+    rows = _docs(spark, sf_dir, "doc_id", "text", "lang", "source", "n_chars")
+    out = fragments.fragment_records(fragments_no_overlap(spark, sf_dir), rows, "doc_id", "lang", "source", "n_chars")
+    return out.select("*", "context.*").drop("context")

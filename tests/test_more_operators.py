@@ -210,3 +210,65 @@ def test_line_ends_and_siblings(spark):
     rows = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 0)], "id long, level int").withColumn("k", F.lit(1))
     got = {r.id: (r.prev, r.next) for r in entities.siblings(rows, ["k"], ["id"], "level", 2, "id").collect()}
     assert got == {1: (None, 4), 2: (1, 3), 3: (2, 4), 4: (1, None)}
+
+
+def test_decoding_policies(spark, tmp_path):
+    (tmp_path / "a.cpp").write_bytes("x�\xff".encode() + b"\xff y")
+    got = {e: files.tree(spark, str(tmp_path), errors=e).first()["code"] for e in ("replace", "strict", "ignore")}
+    assert got == {"replace": "x�\xff� y", "strict": None, "ignore": "x�\xff y"}
+
+
+def test_diagnostics(spark):
+    df = spark.createDataFrame([("a", "int f( {\n/* never"), ("b", "#warning old\n// #error no\n#error bad\n"), ("c", 'auto s = "}"; // )\n'), ("d", None), ("e", "/*/")], "location string, code string")
+    got = sorted(tuple(r) for r in extract.diagnostics(df).collect())
+    assert got == [
+        ("a", 1, 6, "Error", "'(' is not closed"),
+        ("a", 1, 8, "Error", "'{' is not closed"),
+        ("a", 2, 1, "Fatal", "comment is not closed"),
+        ("b", 1, 1, "Warning", "old"),
+        ("b", 3, 1, "Error", "bad"),
+        ("e", 1, 1, "Fatal", "comment is not closed"),
+    ]
+    assert {r.severity for r in extract.diagnostics(df, errors_only=True).collect()} == {"Error", "Fatal"}
+
+
+def test_body_without_regard_to_comments():
+    code = "f() { /* } */ }"
+    assert extract.body_of(code) == "{ /* } */ }" and extract.body_of(code, aware=False) == "{ /* }"
+
+
+def test_siblings_of_any_level(spark):
+    levels = [0, 1, 2, 5, 7, 5, 1, None, 0]
+    rows = spark.createDataFrame([(1, i, lev) for i, lev in enumerate(levels)], "k int, i int, lev int")
+    got = {r.i: (r.prev, r.next) for r in entities.siblings(rows, ["k"], ["i"], "lev", None, "i").collect()}
+
+    def near(i, step):
+        j = i + step
+        while 0 <= j < len(levels) and (levels[j] is None or levels[j] > levels[i]):
+            j += step
+        return j if 0 <= j < len(levels) else None
+
+    assert got == {i: (None, None) if lev is None else (near(i, -1), near(i, 1)) for i, lev in enumerate(levels)}
+    assert entities.siblings(rows.limit(0), ["k"], ["i"], "lev", None, "i").count() == 0
+
+
+def test_find_method(spark):
+    kind = "id int, name string, methods array<struct<name:string,code:string>>"
+    df = spark.createDataFrame([(1, "C", [("a", "1")]), (2, "C", [("m", "2"), ("m", "3")]), (3, "D", [("m", "4")]), (4, "E", None)], kind)
+    assert [tuple(r) for r in instructions.find_method(df, "C", "m").collect()] == [(2, "m", "2")]
+    assert instructions.find_method(df, "E", "m").count() == 0
+
+
+def test_doxygen_forms(spark):
+    got = one(spark, extract.doxygen(F.lit("/** Adds. Twice over!\n * @param[in] a first\n * @param b second one\n * @code\n * f(1);\n * @endcode\n * @code g(); @endcode\n */")))
+    assert (got.brief, got.details, got.deprecated, got.code_blocks) == ("Adds.", "Twice over!", None, ["f(1);", "g();"])
+    assert [tuple(p) for p in got.params] == [("a", "first", "[in]"), ("b", "second one", "")]
+    bare = one(spark, extract.doxygen(F.lit("/// only words")))
+    assert (bare.brief, bare.details, bare.params) == ("only words", None, [])
+    assert one(spark, extract.doxygen(F.lit(""))).brief is None
+
+
+def test_unhandled_kinds(spark):
+    df = spark.createDataFrame([("a", True), ("a", None), ("b", False), (None, True)], "k string, f boolean")
+    assert {tuple(r) for r in profile.unhandled(df, "k", ("a",)).collect()} == {("expected", "a", 2), ("unexpected", "b", 1), ("unexpected", None, 1)}
+    assert tuple(profile.flagged(df, "f").first()) == (4, 2)
