@@ -18,17 +18,17 @@ def _without_invalid(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
 
-def tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = SOURCE, stop: list[str] | None = None, errors: str = "replace") -> DataFrame:
+def tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = SOURCE, stop: list[str] | None = None, strict: bool = False, errors: str = "replace") -> DataFrame:
     """(location, code) of the files below root with one of the extensions.
 
     What happens to bytes that are not UTF-8: with "replace" they become U+FFFD, with "ignore" they go, with "strict" the
-    file's code is null. The extension is pushed to the listing.
+    file's code is null; ``strict`` is short for that. The extension is pushed to the listing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{%s}" % ",".join(extensions)).load(root)
     base = root if ":" in root else f"file:{root}"
     path = keys.relative_path(F.regexp_replace("path", "^file:/+", "file:/"), base)
     text = F.col("content").cast("string")
-    code = {"replace": F.make_valid_utf8(text), "strict": F.try_validate_utf8(text), "ignore": F.when(F.is_valid_utf8(text), text).otherwise(_without_invalid("content"))}[errors]
+    code = {"replace": F.make_valid_utf8(text), "strict": F.try_validate_utf8(text), "ignore": F.when(F.is_valid_utf8(text), text).otherwise(_without_invalid("content"))}["strict" if strict else errors]
     out = files.select(path.alias("location"), code.alias("code"))
     return out.where(~keys.stopped(F.col("location"), stop)) if stop else out
 
