@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import ann, bpe, chat_format, language_id, packing, quality_rules, secret_scan, sharding, simhash, suffix_dedup
+from loomline.llm import ann, bpe, chat_format, hamerly, language_id, merkle, packing, quality_rules, secret_scan, sharding, simhash, suffix_dedup, warc
 from loomline.llm.common import table
 from loomline.llm.oracle import ORACLE  # noqa: F401 - registered by the entry point
 
@@ -58,6 +58,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(rows.unionByName(extra))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamerly.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_bpe": op2_bpe,
@@ -69,4 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
+    "op11_warc": op11_warc,
+    "op12_centroids": op12_centroids,
+    "op13_merkle": op13_merkle,
 }
