@@ -1,29 +1,24 @@
 """C++ elements from text, by a lexical scanner.
 
 Names, kinds, ranges, parents, parameters and qualifiers are recovered from the text alone: types are as written, not
-canonical; macros are not expanded and both sides of a condition are read. The scanner works on one file at a time in Arrow
-batches; all that follows (ids, de-duplication, context, comments) is DataFrame work.
+canonical; macros are not expanded, and all branches of a condition are read, each row tagged with its ``condition``. The
+scanner (``cpp``) works on one file at a time in Arrow batches; a file that it fails on has no elements and a row in
+``diagnostics``. All that follows (ids, context, comments) is DataFrame work.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import keys
+from loomline.operators.cpp import Scanner
 
 _MASKED = re.compile(r'R"(?P<d>[^()\\\s]{0,16})\(.*?\)(?P=d)"|/\*.*?(?:\*/|\Z)|//[^\n]*|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', re.S)
-_RECORD = re.compile(r"\b(class|struct|union)\s+(?:\[\[[^\]]*\]\]\s*|alignas\([^)]*\)\s*)*([A-Za-z_]\w*)?\s*(<[^{;]*>)?\s*(?:final\s*)?(?::(?!:)[^{;]*)?$")
-_ENUM = re.compile(r"\benum\b(\s+class|\s+struct)?\s*([A-Za-z_]\w*)?\s*(?::\s*([\w:\s]+?))?\s*$")
-_NAMESPACE = re.compile(r"^(?:inline\s+)?namespace\b\s*([\w:]*)\s*$")
-_NAME_BEFORE_PAREN = re.compile(r"((?:[A-Za-z_]\w*(?:<[^<>]*>)?::)*(?:~?[A-Za-z_]\w*|operator\s*(?:\(\)|\[\]|[^\s\w(]+|[\w:\s*&]+?)))\s*$")
-_LAMBDA = re.compile(r"\[[^\[\]]*\]\s*(?:\([^()]*\))?\s*(?:mutable\s*|noexcept\s*)*(?:->\s*[\w:<>&*\s]+?)?\{")
-_NO_FUNCTION = {"if", "for", "while", "switch", "catch", "return", "sizeof", "decltype", "alignas", "static_assert", "new", "delete", "throw", "else", "do", "defined"}
 
 #: Prefixes of headers that don't belong to a project.
 SYSTEM_PREFIXES = ("/usr/include", "/usr/lib", "/usr/local/include")
@@ -34,7 +29,9 @@ SCHEMA = (
     "signature struct<name:string,return_type:string,parameters:array<struct<name:string,type:string,default_value:string>>,"
     "qualifiers:struct<is_const:boolean,is_static:boolean,is_virtual:boolean,is_pure_virtual:boolean,is_noexcept:boolean,is_override:boolean,is_final:boolean>>, "
     "template_parameters array<struct<kind:string,name:string,default_value:string>>, fields array<struct<name:string,type:string,line:int>>, "
-    "namespace string, var_type string, is_const boolean, is_static boolean, is_scoped boolean, underlying_type string, macro_args array<string>, owner string"
+    "namespace string, var_type string, is_const boolean, is_static boolean, is_scoped boolean, underlying_type string, macro_args array<string>, owner string, "
+    "condition string, include_kind string, aliased string, rich struct<storage_class:string,calling_convention:string,is_explicit:boolean,is_volatile:boolean,"
+    "parameters:array<struct<name:string,type_kind:string,is_const:boolean,is_volatile:boolean,is_reference:boolean,is_pointer:boolean>>>"
 )
 
 
@@ -53,18 +50,6 @@ def matching(text: str, at: int, pair: str = "{}") -> int:
     return len(text)
 
 
-def pairs(text: str) -> dict[int, int]:
-    """The places of all opening brackets ( and { of masked text that are closed, with those of their closing ones."""
-    out: dict[int, int] = {}
-    open_at: dict[str, list[int]] = {")": [], "}": []}
-    for m in re.finditer(r"[(){}]", text):
-        if m[0] in "({":
-            open_at[")" if m[0] == "(" else "}"].append(m.start())
-        elif open_at[m[0]]:
-            out[open_at[m[0]].pop()] = m.start()
-    return out
-
-
 def body_of(code: str, at: int = 0, aware: bool = True) -> str | None:
     """The balanced {...} that begins at or after ``at``; None without one. E22b: if not aware, braces in comments and literals count."""
     m = masked(code) if aware else code
@@ -72,275 +57,28 @@ def body_of(code: str, at: int = 0, aware: bool = True) -> str | None:
     return None if start < 0 else code[start : matching(m, start) + 1]
 
 
-def split_top(text: str, mark: str = ",") -> list[str]:
-    """text cut at marks outside brackets."""
-    out, depth, last = [], 0, 0
-    for i, c in enumerate(text):
-        depth += c in "(<[{"
-        depth -= c in ")]}" or (c == ">" and text[i - 1 : i] != "-")
-        if c == mark and depth == 0:
-            out.append(text[last:i])
-            last = i + 1
-    return [x.strip() for x in (*out, text[last:]) if x.strip()]
-
-
-def parameter(text: str) -> dict:
-    """Name, type and default of one parameter."""
-    head, eq, default = text.partition("=")
-    m = re.fullmatch(r"(.*?[\s*&>])([A-Za-z_]\w*)\s*(\[[^\]]*\])?", head.strip(), re.S)
-    named = m and m[2] not in ("const", "int", "char", "double", "float", "bool", "long", "short", "unsigned", "auto")
-    kind, name = (m[1] + (m[3] or ""), m[2]) if named else (head, "")
-    return {"name": name, "type": " ".join(kind.split()), "default_value": default.strip() if eq else None}
-
-
-def signature(head: str, open_at: int, close_at: int) -> dict | None:
-    """A function's signature from its head; the parameter list lies between the given brackets."""
-    m = _NAME_BEFORE_PAREN.search(head[:open_at])
-    if not m or m[1].strip() in _NO_FUNCTION:
-        return None
-    before, after = head[: m.start()], head[close_at + 1 :]
-    words = set(re.findall(r"\w+", before))
-    clean = re.sub(r"\b(static|virtual|inline|explicit|constexpr|extern|friend)\b|\[\[.*?\]\]|__\w+", " ", before)
-    if re.search(r"[=?+|!%]|\breturn\b|\.", clean):
-        return None
-    trail = re.match(r"[^{;:]*", after)[0]
-    arrow = re.search(r"->\s*([^{;]+)", after)
-    return {
-        "name": m[1].split("::")[-1].strip() if "operator" not in m[1] else m[1][m[1].index("operator") :].strip(),
-        "qualified": m[1].strip(),
-        "return_type": " ".join((arrow[1] if arrow else clean).split()),
-        "parameters": [parameter(p) for p in split_top(head[open_at + 1 : close_at]) if p != "void"],
-        "qualifiers": {
-            "is_const": bool(re.search(r"\bconst\b", trail)),
-            "is_static": "static" in words,
-            "is_virtual": "virtual" in words,
-            "is_pure_virtual": bool(re.search(r"=\s*0\s*$", after.rstrip(" ;"))),
-            "is_noexcept": bool(re.search(r"\bnoexcept\b(?!\s*\(\s*false)", trail)),
-            "is_override": bool(re.search(r"\boverride\b", trail)),
-            "is_final": bool(re.search(r"\bfinal\b", trail)),
-        },
-    }
-
-
-def template_parameters(text: str) -> list[dict]:
-    """Type and non-type parameters with defaults."""
-    out = []
-    for p in split_top(text):
-        head, eq, default = p.partition("=")
-        m = re.match(r"(?:typename|class)\b(?:\s*\.\.\.)?\s*(\w*)", head)
-        out.append({"kind": "type" if m else "non_type", "name": m[1] if m else head.split()[-1].strip(".*&"), "default_value": default.strip() if eq else None})
-    return out
-
-
-@dataclass
-class _Scope:
-    kind: str = "translation_unit"
-    name: str = ""
-    at: int = 0
-    path: list[str] = field(default_factory=list)
-    kinds: list[str] = field(default_factory=list)
-    known: bool = True
-
-
-_BLANK = re.compile(r"(?:[\s;}]|(?:public|protected|private|signals|slots)\s*:(?!:))*")
-_END = re.compile(r"[{;(]")
-
-
-class Scanner:
-    """All elements of one file."""
-
-    def __init__(self, code: str, location: str, skip: Callable[[str], bool] | None = None) -> None:
-        self.code, self.location = code, location
-        self.starts = [0, *(m.end() for m in re.finditer("\n", code))]
-        self.found: list[dict] = []
-        self.m = masked(code)
-        self.records: dict[str, _Scope] = {}  # of this file, by name and by qualified name
-        if not (skip and skip(location)):
-            self._directives()
-            self.closing = pairs(self.m)
-            self._scope(0, len(code), _Scope())
-        self.found.sort(key=lambda e: (e["start"], -e["stop"]))
-
-    def _place(self, at: int) -> tuple[int, int]:
-        from bisect import bisect_right
-
-        line = bisect_right(self.starts, at)
-        return line, at - self.starts[line - 1] + 1
-
-    def _add(self, kind: str, name: str | None, start: int, stop: int, scope: _Scope, code: bool = True, **more) -> None:
-        line, col = self._place(start)
-        end_line, end_col = self._place(stop)
-        parent = self._place(scope.at) if scope.kinds and scope.known else (None, None)
-        self.found.append(
-            {"type": kind, "name": name or None, "location": self.location, "line": line, "col": col, "end_line": end_line, "end_col": end_col, "start": start, "stop": stop, "level": len(scope.kinds)}
-            | {"parent_type": scope.kind, "parent_name": scope.name or None, "parent_line": parent[0], "parent_col": parent[1], "path": list(scope.path), "code": self.code[start:stop] if code else None}
-            | more
-        )
-
-    def _directives(self) -> None:
-        """E11, E38; directives are blanked for what follows."""
-        kept, last = [], 0
-        for m in re.finditer(r"(?m)^[ \t]*#[ \t]*(\w+)(?:[^\n\\]|\\.|\\\n)*", self.m):
-            start, stop = m.start() + len(m[0]) - len(m[0].lstrip()), m.end()
-            d = re.match(r"#\s*define\s+(\w+)(\([^)]*\))?", self.code[start:stop])
-            if d:
-                self._add("macro_definition", d[1], start, stop, _Scope(), code=False, macro_args=split_top(d[2][1:-1]) if d[2] else None)
-            elif m[1] == "include":
-                self._add("inclusion_directive", self.code[start:stop].partition("include")[2].strip(' "<>\t'), start, stop, _Scope())
-            else:
-                self._add("preprocessing_directive", m[1], start, stop, _Scope())
-            kept += [self.m[last : m.start()], re.sub(r"[^\n]", " ", m[0])]
-            last = m.end()
-        self.m = "".join([*kept, self.m[last:]])
-
-    def _close(self, at: int) -> int:
-        """The place of the bracket that closes the one at ``at``, or the end of the text."""
-        return self.closing.get(at, len(self.m))
-
-    def _scope(self, at: int, end: int, scope: _Scope) -> None:
-        while (at := _BLANK.match(self.m, at, end).end()) < end:
-            at = self._unit(at, end, scope)
-
-    def _unit(self, start: int, end: int, scope: _Scope) -> int:
-        """One declaration or definition from start; where the next begins."""
-        m, i = self.m, start
-        while (x := _END.search(m, i, end)) is not None and x[0] == "(":
-            i = self._close(x.start()) + 1
-        i = x.start() if x else max(i, end)
-        brace = i if i < end and m[i] == "{" else -1
-        close = self._close(brace) if brace >= 0 else -1
-        stop = min((close if brace >= 0 else i) + 1, end)
-        head = m[start:i]
-        template, body_head, offset, templates = None, head, 0, 0
-        while (t := re.match(r"\s*template\s*<", body_head)) is not None:
-            depth, j = 0, t.end() - 1
-            while j < len(body_head):
-                depth += (body_head[j] == "<") - (body_head[j] == ">")
-                if not depth:
-                    break
-                j += 1
-            template = template_parameters(body_head[t.end() : j])
-            templates += 1
-            offset += j + 1
-            body_head = body_head[j + 1 :]
-        body_head_s = body_head.strip()
-
-        if brace >= 0:
-            if (n := _NAMESPACE.match(body_head_s)) is not None:  # E9
-                self._add("namespace", n[1], start, stop, scope, code=False)
-                self._scope(brace + 1, close, _Scope("namespace", n[1], start, [*scope.path, n[1] or "(anonymous)"], [*scope.kinds, "namespace"]))
-                return stop
-            if re.match(r'extern\s*$', body_head_s):
-                self._scope(brace + 1, close, scope)
-                return stop
-            if (e := _ENUM.search(body_head_s)) is not None and "(" not in body_head_s:  # E16
-                stop = self._through_semicolon(stop, end)
-                if not self._inside(scope):
-                    self._add("enum_decl", e[2], start, stop, scope, is_scoped=bool(e[1]), underlying_type=e[3])
-                return stop
-            if (r := _RECORD.search(body_head_s)) is not None and not re.search(r"\)\s*$", body_head_s):  # E4, E5, E13
-                stop = self._through_semicolon(stop, end)
-                kind = {"class": "class_decl", "struct": "struct_decl", "union": "union_decl"}[r[1]]
-                if template is not None and kind != "union_decl":
-                    kind = "class_template_partial_specialization" if r[3] else "class_template"
-                more = {"fields": self._fields(brace + 1, close)} if kind == "union_decl" else {}
-                self._add(kind, r[2], start, stop, scope, template_parameters=template, is_defined=True, **more)
-                own = _Scope(kind, r[2] or "", start, [*scope.path, r[2] or "(anonymous)"], [*scope.kinds, kind])
-                if r[2] and not r[3]:
-                    self.records["::".join(own.path)] = own
-                    self.records.setdefault(r[2], own)
-                self._scope(brace + 1, close, own)
-                return stop
-        paren = body_head.find("(")
-        if paren >= 0 and not body_head_s.startswith(("using", "typedef")):
-            shut_of = lambda at: min(self._close(start + offset + at) - start - offset, len(body_head))
-            shut = shut_of(paren)
-            if body_head[max(0, paren - 9) : paren].strip().endswith("operator"):
-                paren = body_head.find("(", shut + 1)
-                shut = shut_of(paren) if paren >= 0 else -1
-            tail = body_head[shut + 1 :] if shut >= 0 else ""
-            original = self.code[start + offset : start + offset + len(body_head)]
-            sig = signature(body_head, paren, shut) if shut >= 0 and not re.match(r"\s*(?:[=.+*/\[]|-(?!>))\s*(?!0|default|delete)", tail) else None
-            if sig:
-                sig["parameters"] = [parameter(p) for p in split_top(original[paren + 1 : shut]) if p != "void"]
-                return self._function(start, stop, brace, close, scope, template, templates, sig)
-        if brace >= 0:  # an initialiser: int a{1}; or = {...};
-            stop = self._through_semicolon(stop, end)
-        self._plain(start, stop, scope, body_head_s if brace < 0 else m[start + offset : stop].strip().rstrip(";"))
-        return stop
-
-    def _function(self, start: int, stop: int, brace: int, close: int, scope: _Scope, template: list | None, templates: int, sig: dict) -> int:
-        """E6-E8, E10, E37. A template header for each owner with arguments is the owner's, not the function's."""
-        written = sig.pop("qualified").rpartition("::")[0]
-        owner = written or (scope.name if scope.kind in keys.CLASS_LIKE else "")
-        name, short = sig["name"], owner.split("::")[-1].partition("<")[0]
-        if templates <= len(re.findall(r"\w<", written)):
-            template = None
-        if name.startswith("operator") and re.match(r"operator\s+\w", name):
-            kind = "conversion_function"
-        elif template is not None:
-            kind = "function_template"
-        elif name.startswith("~"):
-            kind, sig["name"] = "destructor", name[1:]
-        elif owner and name == short:
-            kind = "constructor"
-        else:
-            kind = "cxx_method" if owner else "function_decl"
-        inner, outside = scope, None
-        if owner and scope.kind not in keys.CLASS_LIKE:  # defined outside of its class
-            bare = re.sub(r"<[^<>]*>", "", written)
-            outside = "::".join([*scope.path, bare])
-            found = next((self.records[x] for x in (outside, bare, short) if x in self.records), None)
-            inner = found or _Scope("class_decl", short, scope.at, scope.path, scope.kinds, False)
-        self._add(kind, sig["name"], start, stop, inner, signature=sig, is_defined=brace >= 0, template_parameters=template, owner=outside)
-        if brace >= 0:
-            own = _Scope(kind, sig["name"], start, [*inner.path, sig["name"]], [*inner.kinds, kind])
-            for x in _LAMBDA.finditer(self.m, brace + 1, close):
-                self._add("lambda_expr", None, x.start(), min(self._close(x.end() - 1) + 1, close), own)
-            for x in re.compile(r"\b(try|catch)\b[^{;]*\{").finditer(self.m, brace + 1, close):
-                self._add("cxx_try_stmt" if x[1] == "try" else "cxx_catch_stmt", None, x.start(), min(self._close(x.end() - 1) + 1, close), own)
-        return stop
-
-    def _plain(self, start: int, stop: int, scope: _Scope, head: str) -> None:
-        """E12, E14, E15."""
-        if (u := re.match(r"using\s+namespace\s+([\w:]+)", head)) is not None:
-            self._add("using_directive", None, start, stop, scope, namespace=u[1])
-        elif (u := re.match(r"using\s+(\w+)\s*=", head)) is not None and not self._inside(scope):
-            self._add("type_alias_decl", u[1], start, stop, scope)
-        elif head.startswith("typedef") and not self._inside(scope):
-            name = re.search(r"\(\s*\*\s*(\w+)\s*\)|(\w+)\s*(?:\[[^\]]*\]\s*)*$", head)
-            self._add("typedef_decl", (name[1] or name[2]) if name else None, start, stop, scope)
-        elif not self._inside(scope):
-            first, *others = split_top(head)
-            v = re.match(r"((?:[\w:]+(?:<[^=;]*>)?[\s*&]+)+)(\w+)\s*(?:\[[^\]]*\])*\s*(?:=|\{|$)", first)
-            words = v[1].split() if v else ["return"]
-            if words[0] not in ("class", "struct", "union", "enum", "friend", "using", "return", "template", "namespace"):
-                kind = " ".join(w for w in words if w not in ("static", "extern", "inline", "constexpr", "thread_local"))
-                names = [v[2], *(d[1] for d in (re.match(r"[\s*&]*(\w+)", x) for x in others) if d)]
-                for name in names:
-                    self._add("var_decl", name, start, stop, scope, var_type=kind, is_const="const" in words or "constexpr" in words, is_static="static" in words)
-
-    def _through_semicolon(self, at: int, end: int) -> int:
-        m = re.compile(r"[^;{}()]*;").match(self.m, at, end)
-        return m.end() if m else at
-
-    def _fields(self, at: int, end: int) -> list[dict]:
-        out = []
-        for m in re.finditer(r"([\w:<>,\s*&]+?)\b(\w+)\s*(\[[^\]]*\])?\s*;", self.m[at:end]):
-            out.append({"name": m[2], "type": " ".join((m[1] + (m[3] or "")).split()), "line": self._place(at + m.start(2))[0]})
-        return out
-
-    @staticmethod
-    def _inside(scope: _Scope) -> bool:
-        """Within a class or a function; constructors and destructors don't count, as in the format."""
-        return any(k in keys.CLASS_LIKE or k in ("union_decl", "function_decl", "cxx_method", "function_template") for k in scope.kinds)
-
-
-def elements(files: DataFrame, location: str = "location", code: str = "code", skip: Callable[[str], bool] | None = None) -> DataFrame:
+def scan(code: str, location: str, skip: Callable[[str], bool] | None = None) -> tuple[list[dict], str | None]:
+    """The elements of a file, and what went wrong, if anything did; then there are none."""
+    try:
+        once = {(e["type"], e["name"], e["line"], e["col"]): e for e in reversed(Scanner(code, location, skip).found)}
+        return list(reversed(once.values())), None
+    except Exception as error:  # noqa: BLE001 - one file must not take the others with it
+        return [], f"{type(error).__name__}: {error}"
+
+
+def _batch(rows: list[dict], kinds: pa.Schema) -> pa.RecordBatch:
+    """Columns, one after the other: no dictionary per row is made for Arrow."""
+    return pa.RecordBatch.from_arrays([pa.array([e.get(f.name) for e in rows], f.type) for f in kinds], schema=kinds)
+
+
+def elements(files: DataFrame, location: str = "location", code: str = "code", skip: Callable[[str], bool] | None = None, repeated: bool = True) -> DataFrame:
     """One row per element of each file (location, code), with id and parent_id, without repeated ids.
 
-    Null code has no elements; a file that can't be read to its end gives what was found. A member that is defined
-    outside of its class has that class as parent if the file holds it, else ``owner`` names it for ``resolved``.
+    With ``repeated`` false each location is there once, as from a source tree: then nothing is shuffled.
+
+    Null code has no elements; what a file leaves open ends with the file; a file that the scanner fails on gives none
+    (``diagnostics`` says why). A member that is defined outside of its class has that class as parent if the file holds it, else
+    ``owner`` names it for ``resolved``.
     """
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -349,14 +87,20 @@ def elements(files: DataFrame, location: str = "location", code: str = "code", s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [e for place, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if text for e in Scanner(text, place, skip).found]
-            yield pa.RecordBatch.from_pylist([{n: e.get(n) for n in kinds.names} for e in rows], schema=kinds)
+            rows = []
+            for place, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows += scan(text, place, skip)[0] if text else []
+                if len(rows) >= 1000:
+                    yield _batch(rows, kinds)
+                    rows = []
+            yield _batch(rows, kinds)
 
     rows = files.select(location, code).mapInArrow(run, _schema())
     kind = F.upper("type")
     ident = keys.element_id(kind, F.col("name"), F.col("location"), F.col("line"), F.col("col"))
     parent = F.when(F.col("parent_line").isNotNull(), keys.element_id(F.upper("parent_type"), F.col("parent_name"), F.col("location"), F.col("parent_line"), F.col("parent_col")))
-    return rows.select(ident.alias("id"), parent.alias("parent_id"), "*").drop("parent_line", "parent_col").dropDuplicates(["id"])
+    out = rows.select(ident.alias("id"), parent.alias("parent_id"), "*").drop("parent_line", "parent_col")
+    return out.dropDuplicates(["id"]) if repeated else out
 
 
 def resolved(found: DataFrame) -> DataFrame:
@@ -409,16 +153,20 @@ def problems(code: str) -> list[tuple[int, str, str]]:
     return sorted(out)
 
 
-def diagnostics(files: DataFrame, errors_only: bool = False) -> DataFrame:
+def diagnostics(files: DataFrame, errors_only: bool = False, skip: Callable[[str], bool] | None = None) -> DataFrame:
     """(location, line, col, severity, message) of what is wrong with files (location, code); with errors_only no warnings.
 
-    Null code has no diagnostics. Rows leave where their file is read: nothing is shuffled.
+    A file that the scanner fails on (with that skip predicate) has one Fatal row with the reason, at its beginning. Null code has no
+    diagnostics. Rows leave where their file is read: nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for place, code in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                failure = scan(code, place, skip)[1] if code else None
+                if failure is not None:
+                    out.append((place, 1, 1, "Fatal", f"not read: {failure}"))
                 for at, severity, message in problems(code) if code else []:
                     out.append((place, code.count("\n", 0, at) + 1, at - code.rfind("\n", 0, at), severity, message))
             columns = list(zip(*out, strict=True)) or [()] * 5

@@ -743,11 +743,89 @@ def _sql_held() -> str:
 )
 def extract_elements(spark, sf_dir):
     args = F.array_join(F.transform("signature.parameters", lambda p: F.concat_ws(" ", p["type"], p["name"])), ", ")
-    return extract.elements(_synthetic_files(spark, sf_dir)).select(
+    return extract.elements(_synthetic_files(spark, sf_dir), repeated=False).select(
         "location", "id", "parent_id", "type", "name", "line", "col", "end_line", "end_col", "level", "parent_type", "parent_name", "code", F.col("signature.return_type").alias("return_type"), args.alias("parameters")
     )
 
 
+#: A file of conditions and declarators for each document, after a comment with its text.
+_BRANCHED = (
+    "#if defined(A{n})",
+    "int u{n}() {",
+    "#else",
+    "int v{n}() {",
+    "#endif",
+    "  return 0; }",
+    "int w{n}(int a) { return a; }",
+    "#ifdef X",
+    "#if Y > 1",
+    "namespace in{n} { int deep; }",
+    "#endif",
+    "#endif",
+    "#if 0",
+    "int broken( {",
+    "#endif",
+    "DECLARE(text)",
+    "int (*cb{n})(int, char);",
+    "struct A{n} { static int count; A{n}(); };",
+    "int A{n}::count = 0;",
+    "struct { int a; } v, *p;",
+    "void (*signal{n}(int sig))(int);",
+    "A{n}::A{n}() try : b{1} { g(); } catch (...) { h(); }",
+    "[[nodiscard]] int flagged();",
+    "#if B",
+    "long t1(int a)",
+    "#elif C",
+    "int t2(int a)",
+    "#else",
+    "int t3(int a)",
+    "#endif",
+    "{ return a; }",
+)
+#: What is in it: (line, end line, kind, name, condition, parent, type).
+_BRANCHES = (
+    *((k, k, "preprocessing_directive", _BRANCHED[k - 1].split()[0][1:], "defined(X)" if k in (9, 11) else None, None, None) for k in (1, 3, 5, 8, 9, 11, 12, 13, 15, 24, 26, 28, 30)),
+    (2, 6, "function_decl", "u{n}", "defined(A{n})", None, "int"),
+    (4, 6, "function_decl", "v{n}", "!(defined(A{n}))", None, "int"),
+    (7, 7, "function_decl", "w{n}", None, None, "int"),
+    (10, 10, "namespace", "in{n}", "(defined(X)) && (Y > 1)", None, None),
+    (10, 10, "var_decl", "deep", "(defined(X)) && (Y > 1)", "in{n}", "int"),
+    (17, 17, "var_decl", "cb{n}", None, None, "int (*)(int, char)"),
+    (18, 18, "struct_decl", "A{n}", None, None, None),
+    (18, 18, "constructor", "A{n}", None, "A{n}", ""),
+    (19, 19, "var_decl", "count", None, "A{n}", "int"),
+    (20, 20, "struct_decl", None, None, None, None),
+    (20, 20, "var_decl", "v", None, None, "struct"),
+    (20, 20, "var_decl", "p", None, None, "struct *"),
+    (21, 21, "function_decl", "signal{n}", None, None, "void (*)(int)"),
+    (22, 22, "constructor", "A{n}", None, "A{n}", ""),
+    (22, 22, "cxx_try_stmt", None, None, "A{n}", None),
+    (22, 22, "cxx_catch_stmt", None, None, "A{n}", None),
+    (23, 23, "function_decl", "flagged", None, None, "int"),
+    (23, 23, "attribute", "nodiscard", None, "flagged", None),
+    (25, 31, "function_decl", "t1", "B", None, "long"),
+    (27, 31, "function_decl", "t2", "!(B) && (C)", None, "int"),
+    (29, 31, "function_decl", "t3", "!(B) && !(C)", None, "int"),
+)
+
+
+def _sql_branches() -> str:
+    put = lambda x: "CAST(NULL AS VARCHAR)" if x is None else f"""replace('{x}', '{{n}}', n)"""
+    rows = " UNION ALL ".join(f"SELECT location, top + {a} AS line, top + {b} AS end_line, '{kind}' AS type, {put(name)} AS name, {put(test)} AS condition, {put(up)} AS parent_name, {put(of)} AS declared FROM f" for a, b, kind, name, test, up, of in _BRANCHES)
+    return f"WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS n, 'src/' || doc_id || '.cc' AS location, len(string_split(text, chr(10))) AS top FROM documents) SELECT location, CAST(line AS INTEGER) AS line, CAST(end_line AS INTEGER) AS end_line, type, name, condition, parent_name, declared FROM ({rows})"
+
+
+@query(_sql_branches())
+def branched_elements(spark, sf_dir):
+    """All branches of nested conditions, and declarators of all forms."""
+    n = F.col("doc_id").cast("string")
+    words = F.regexp_replace(F.col("text"), r"[*/\\]", " ")
+    code = F.concat(F.lit("/* "), words, F.lit(" */\n"), F.replace(F.lit("\n".join(_BRANCHED) + "\n"), F.lit("{n}"), n))
+    files = _docs(spark, sf_dir, "doc_id", "text").select(F.concat(F.lit("src/"), n, F.lit(".cc")).alias("location"), code.alias("code"))
+    found = extract.elements(files, repeated=False)
+    return found.select("location", "line", "end_line", "type", "name", "condition", "parent_name", F.coalesce("signature.return_type", "var_type").alias("declared"))
+
+
 _RECORDS = f"""{_sql_held()}, r AS (SELECT *, list_transform(l[greatest(line - 3, 1):line - 1], lambda x: trim(x, {_BLANKS})) AS before, list_transform(l[line:line + 2], lambda x: trim(x, {_BLANKS})) AS after,
     CASE WHEN k = 3 THEN array_to_string(l[3:line - 1], chr(10)) END AS doc, CASE WHEN k = 19 THEN l[line - 1] END AS note FROM e)"""
 
