@@ -670,6 +670,8 @@ class Scanner:
         behind = w[end] if end < len(w) else ""
         if behind and behind not in _BEHIND and not behind.isidentifier():
             return None
+        if body and behind == ",":
+            return None
         if behind == "=" and (end + 1 >= len(w) or w[end + 1] not in ("0", "default", "delete")):
             return None
         params = [(a, b) for a, b in head.split(open_ + 1, close) if w[a:b] != ["void"]]
