@@ -9,8 +9,9 @@ of its own against its share, so that no task or driver sees all groups.
 
 The law kept is ``bytes``: shards' sizes are nearly equal. Tokens here are words between ASCII white space.
 
-The three dimensions are weighted 1, 0.01 and 0.001: bytes keep the law, tokens and rows decide among shards that are
-near equal in bytes; where bytes and rows are unrelated, shards stay uneven in rows.
+Heavy groups are placed by all three dimensions alike: there are few of them, and what they leave uneven in bytes the
+light ones make up. These are placed with weights 1, 0.01 and 0.001: bytes keep the law, tokens and rows decide among
+shards that are near equal in bytes.
 
 Defined results: null text counts as empty: 16 bytes, no tokens; very long texts are measured whole, one of more than a
 quarter of a shard stays in one piece; repeated rows are rows of one group; ties go to the smaller shard; slots follow
@@ -32,18 +33,19 @@ from loomline.llm.common import WORD, lean, stored, text_or_empty
 SHARDS, HEAVY = 40, 200
 #: Parts of groups packed in one task, and rows numbered in one task, about.
 _UNITS, _ROWS = 50_000, 50_000
-_WEIGHT = np.array([1.0, 0.01, 0.001])  # bytes keep the law; tokens and rows decide among shards near equal in bytes
+#: Weights of bytes, tokens and rows for heavy and for light groups.
+_JOINT, _BYTES = np.array([1.0, 1.0, 1.0]), np.array([1.0, 0.01, 0.001])
 
 
-def place(sizes: np.ndarray, capacity: np.ndarray) -> np.ndarray:
+def place(sizes: np.ndarray, capacity: np.ndarray, weight: np.ndarray = _BYTES) -> np.ndarray:
     """The shard of each unit; sizes (units x 3) in descending order, capacity (shards x 3) is what is left, changed in place."""
     scale = np.maximum(capacity.sum(0) / len(capacity), 1e-9)
-    left = capacity / scale * _WEIGHT
+    left = capacity / scale * weight
     units = sizes / scale
     out = np.empty(len(sizes), np.int64)
     for i, u in enumerate(units):
         k = out[i] = int((left @ u).argmax())
-        left[k] -= u * _WEIGHT
+        left[k] -= u * weight
     np.subtract.at(capacity, out, sizes)
     return out
 
@@ -71,7 +73,7 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     heavy = units.where("weight > 1").orderBy(F.col("bytes").desc(), "group", "part").collect()  # at most 3 x shards x HEAVY, but for split groups
     capacity = np.tile(share, (shards, 1))
     sizes = np.array([[r["bytes"], r["tokens"], r["rows"]] for r in heavy], float).reshape(-1, 3)
-    placed = [(bytes(r["group"]), r["part"], int(k)) for r, k in zip(heavy, place(sizes, capacity), strict=True)]
+    placed = [(bytes(r["group"]), r["part"], int(k)) for r, k in zip(heavy, place(sizes, capacity, _JOINT), strict=True)]
     placed = spark.createDataFrame(placed, "group binary, part int, shard int")
     light = units.where("weight <= 1")
     tasks = max(1, -(-light.count() // _UNITS))
