@@ -9,8 +9,8 @@ Defined results: a null text, an empty text or one without any letter (Unicode c
 very long texts are scored whole, piece by piece; training rows with null text, null lang or null doc_id are not
 learned from, repeated rows of a doc_id once per language; with no training rows, and for an empty table, everything
 is ``und``. Equal posteriors go to the language that sorts first. Repeated rows are predicted each by itself. A null
-doc_id is predicted like any other, its held_out is null. Other columns are ignored, or kept by ``accepted`` (their names
-may be any but those that begin with ``_loomline_``).
+doc_id is predicted like any other, its held_out is null. Other columns are ignored, or kept by ``accepted``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from loomline.llm.common import lean, stored
+from loomline.llm.common import free, lean, stored
 
 BLOCK_LANGS = 64
 #: Languages up to which the sample's ids (``train_docs_per_lang`` each) are broadcast; beyond, they are joined by shuffles.
@@ -169,9 +169,12 @@ def fit(docs: DataFrame, train_docs_per_lang: int = 1500, bits: int = 15, smooth
     return models
 
 
-def _judged(docs: DataFrame, models: list[Model], bits: int) -> DataFrame:
-    """docs with _loomline_lang, _loomline_best and _loomline_sum: the best language, its log-probability, and the logarithm of the sum of all."""
-    names = ["_loomline_lang", "_loomline_best", "_loomline_sum"]
+#: The best language, its log-probability, and the logarithm of the sum of all.
+_NAMES = ["_loomline_lang", "_loomline_best", "_loomline_sum"]
+
+
+def _judged(docs: DataFrame, models: list[Model], bits: int, names: list[str] = _NAMES) -> DataFrame:
+    """docs with the three columns of ``_NAMES``, under names."""
     kinds = StructType(list(docs.schema.fields)).add(names[0], StringType()).add(names[1], DoubleType()).add(names[2], DoubleType())
     out, at = docs.select("*", *(F.lit(None).cast(kinds[n].dataType).alias(n) for n in names)), docs.columns.index("text")
     for model in models or [Model([], np.zeros((1, 0)), np.zeros(0))]:
@@ -204,14 +207,18 @@ def predict(docs: DataFrame, models: list[Model], bits: int = 15) -> DataFrame:
     return _judged(docs.select("doc_id", "text"), models, bits).select("doc_id", F.coalesce("_loomline_lang", F.lit("und")).alias("lang_pred"), score.alias("score"))
 
 
-def accepted(docs: DataFrame, models: list[Model], bits: int = 15) -> DataFrame:
-    """The rows of docs whose text has a language, all columns as they are; ``und`` is rejected.
+def accepted(docs: DataFrame, models: list[Model], bits: int = 15, wanted: tuple[str, ...] | None = None, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose language is one of the wanted (of None: any that is known) with a score of at least ``least``; all columns stay as they are.
 
-    A model of no languages rejects only what has no letter.
+    ``und`` is rejected, and so is a text of which no language is as likely as all others together. A model of no languages
+    rejects only what has no letter.
     """
     if not models:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return _judged(docs, models, bits).where(F.col("_loomline_lang").isNotNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = [free(docs, n) for n in _NAMES]
+    sure = F.col(names[0]).isNotNull() & (F.col(names[1]) - F.col(names[2]) >= F.lit(float(np.log(least))))
+    out = _judged(docs, models, bits, names).where(sure if wanted is None else sure & F.col(names[0]).isin(*wanted))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def identify(docs: DataFrame, train_docs_per_lang: int = 1500) -> DataFrame:

@@ -19,8 +19,8 @@ its size, up to the 64 bits of a shingle's hash.
 Defined results: null and blank texts have fingerprint zero and are linked like any others; fewer words than a
 shingle make one shingle; repeated rows with the same doc_id count once as a node; null doc_ids are left as
 their own rows with null component; very long texts are hashed whole; a bit that is set in exactly half the hashes is 0, and
-a component is named by its smallest doc_id; other columns are ignored, or kept by ``deduplicated`` (their names may be
-any but ``_gone``); an empty table gives no rows.
+a component is named by its smallest doc_id; other columns are ignored, or kept by ``deduplicated``, whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import lean, let_go, partitions, stored
+from loomline.llm.common import free, lean, let_go, partitions, stored
 
 #: Levels of dealing buckets again; in the last, buckets have few bits left.
 DEPTH = 3
@@ -449,5 +449,6 @@ def deduplicated(docs: DataFrame, near: Near = NEAR) -> DataFrame:
     classes = stored(made.groupBy("c0", "c1").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
     copies = made.select("doc_id", "c0", "c1").join(classes.select("c0", "c1", "rep"), ["c0", "c1"]).where("doc_id <> rep").select("doc_id")
     found = components(similar(docs, clusters(classes), near))
-    gone = copies.unionByName(found.select(F.col("node").alias("doc_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    name = free(docs, "_gone")
+    gone = copies.unionByName(found.select(F.col("node").alias("doc_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")

@@ -24,8 +24,8 @@ Equality in steps 1 and 2 is that of 128 bits of fingerprint (the anchor's and t
 Defined results: null and empty texts and those under 50 bytes lose nothing; repeated rows of one doc_id do not
 match each other; where rows give one doc_id different texts, each row is matched against smaller doc_ids and the runs
 found in any of them are cut from all, up to their ends; rows with a null doc_id are kept whole and match nothing; texts
-are taken whole; an empty table gives no rows; other columns are ignored, or kept by ``deduplicated`` (their
-names may be any but ``_loomline_runs``).
+are taken whole; an empty table gives no rows; other columns are ignored, or kept by ``deduplicated``, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import lean, partitions, stored
+from loomline.llm.common import free, lean, partitions, stored
 
 WINDOW = 50
 GRAM = 16
@@ -441,7 +441,7 @@ def _with_runs(docs: DataFrame) -> DataFrame:
     """The columns of docs and, last, the document's runs."""
     runs = _runs(docs).groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("start", "count")).alias("runs"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("key"))
-    return rows.join(runs, "key", "left").select("row.*", F.col("runs").alias("_loomline_runs"))
+    return rows.join(runs, "key", "left").select("row.*", F.col("runs").alias(free(docs, "_loomline_runs")))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -47,6 +47,27 @@ def test_pipeline_handles_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_pipeline_null_and_repeated_ids(spark, tmp_path):
+    """Stage by stage: rows with a null doc_id stay, repeated rows stay, n_chars follows the text, clashing columns too."""
+    words = lambda seed, n: " ".join(f"{w}{(i * seed) % 97}" for i, w in enumerate(["river", "stone", "cloud", "garden", "window"] * (n // 5)))
+    long = words(7, 60)
+    rows = [(None, long, "en", "a", 5), (None, long, "en", "a", 5), (7, long, "en", "a", None), (7, long, "en", "a", None), (9, long + " more", "en", "a", 1), (11, words(31, 40) + " password = hunter22x and more words", "en", "b", 1), (12, "?? 123", "en", "b", 6), (13, None, None, None, None)]
+    docs = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _gone long, _loomline_runs string, _loomline_lang string")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = {}
+    for name in list(stages)[:-1]:
+        docs = stored(stages[name](spark, docs, str(tmp_path)))
+        kept[name] = docs.collect()
+        assert len(docs.columns) == 8
+    assert sorted(str(r.doc_id) for r in kept["language_id"]) == ["11", "7", "7", "9", "None", "None"]
+    assert sorted(str(r.doc_id) for r in kept["near_dedup"]) == ["11", "7", "7", "None", "None"]  # 9 is a near copy of 7
+    assert {r.n_chars == len(r.text) for r in kept["suffix_dedup"]} == {True}
+    masked = next(r for r in kept["secret_scan"] if r.doc_id == 11)
+    assert "hunter22x" not in masked.text and masked.n_chars == len(masked.text)
+    pieces = stages["best_fit_packing"](spark, docs, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in pieces) == ["11", "7", "7", "None", "None"]
+
+
 @pytest.mark.parametrize("name", ["op2_bpe", "op3_secret_scan", "op4_simhash", "op5_quality_rules", "op6_packing", "op7_sharding", "op9_language_id"])
 def test_registered_over_all_documents(spark, name):
     """Every registered query returns every document; what it returns holds together."""
