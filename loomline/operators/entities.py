@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
+
+from loomline.sources.tables import stored
 
 
 def fold(rows: DataFrame, key: list[str], order: str, is_defined: Column, *carried: str) -> DataFrame:
@@ -81,22 +90,76 @@ def overloads(rows: DataFrame, key: list[str], signature: str) -> DataFrame:
 def siblings(rows: DataFrame, key: list[str], order: list[str], level: str, levels: int | None, name: str) -> DataFrame:
     """Prev and next: the nearest row before and after whose level is at most the row's own.
 
-    One window with a running last value for each of the few levels, instead of a search per row. Rows of level
-    ``levels`` and above count for no row and get null; with None there are as many levels as the rows have, found by a
-    pass over them. A level that is null or below 0 gives null.
+    So the next one climbs: the last child of a parent is followed by the parent's own next sibling. Rows of level
+    ``levels`` and above count for no row and get null; with None all levels count. A level that is null or below 0 gives
+    null; a row whose name is null counts for no other.
+
+    Rows are range-sorted, and a stack of the levels that still count goes over them in one pass each way, whatever the
+    depth; what is open at the end of a partition is handed on, so a key may be spread over many.
     """
-    if levels is None:
-        levels = (rows.agg(F.max(level)).first()[0] or 0) + 1
-    w = Window.partitionBy(*key).orderBy(*order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*key).orderBy(*[F.col(o).desc() for o in order]).rowsBetween(Window.unboundedPreceding, -1)
-
-    def nearest(frame) -> Column:
-        out = F.lit(None).cast(rows.schema[name].dataType)
-        for k in reversed(range(levels)):
-            out = F.when(F.col(level) == k, F.last(F.when(F.col(level) <= k, F.col(name)), True).over(frame)).otherwise(out)
-        return out
-
-    return rows.withColumn("prev", nearest(back)).withColumn("next", nearest(ahead))
+    return _nearest(_nearest(rows, key, order, level, levels, name, "prev", False), key, order, level, levels, name, "next", True)
+
+
+def _nearest(rows: DataFrame, key: list[str], order: list[str], level: str, levels: int | None, name: str, out: str, after: bool) -> DataFrame:
+    spark, columns = rows.sparkSession, rows.columns
+    by = [*(F.col(k).asc_nulls_first() for k in key), *((F.col(o).desc_nulls_last() if after else F.col(o).asc_nulls_first()) for o in order)]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = rows.schema[name].dataType
+    # beside each row: whether it looks further back than its partition; and, once a partition, its first key and what its last key leaves
+    extra = StructType([StructField(out, kind), StructField("_open", BooleanType()), StructField("_part", LongType()), StructField("_mark", IntegerType()), StructField("_levels", ArrayType(LongType())), StructField("_names", ArrayType(kind))])
+    schema = StructType([StructField(f.name, f.dataType) for f in rows.schema] + list(extra))
+    at_level, at_name, at_key = columns.index(level), columns.index(name), [columns.index(k) for k in key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, now, single = TaskContext.get().partitionId(), None, None, True
+        held: list[int] = []  # levels, ascending: each is nearer than those before it
+        names: list = []
+        kinds = to_arrow_schema(schema)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = list(zip(*(b.column(i).to_pylist() for i in at_key), strict=True)) if at_key else [()] * b.num_rows
+            found, open_ = [], []
+            for k, own, label in zip(keys, b.column(at_level).to_pylist(), b.column(at_name).to_pylist(), strict=True):
+                if k != now or first is None:
+                    if first is None:
+                        first = (k,)
+                    single = k == first[0]
+                    now, held, names = k, [], []
+                counts = own is not None and (levels is None or own < levels)
+                i = bisect_right(held, own) if counts and own >= 0 else 0
+                found.append(names[i - 1] if i else None)
+                open_.append(counts and own >= 0 and not i and single)
+                if counts and label is not None:
+                    i = bisect_left(held, own)
+                    del held[i:], names[i:]
+                    held.append(own)
+                    names.append(label)
+            size = b.num_rows
+            more = [pa.array(found, kinds.field(out).type), pa.array(open_), pa.array([part] * size, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, kinds.field("_levels").type), pa.nulls(size, kinds.field("_names").type)]
+            yield pa.RecordBatch.from_arrays([*(c.cast(kinds.field(i).type) for i, c in enumerate(b.columns)), *more], schema=kinds)
+        if first is not None:
+            marks = [dict(zip(key, first[0], strict=True)) | {"_part": part, "_mark": 1}, dict(zip(key, now, strict=True)) | {"_part": part, "_mark": 2, "_open": single, "_levels": held, "_names": names}]
+            yield pa.RecordBatch.from_pylist([{f: None for f in kinds.names} | m for m in marks], schema=kinds)
+
+    done = stored(rows.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(run, schema))
+    marks = {(r["_part"], r["_mark"]): r for r in done.where("_mark IS NOT NULL").select("_part", "_mark", "_open", "_levels", "_names", *key).collect()}  # two a partition
+    carried, carry = [], (None, [], [])
+    for part in sorted({p for p, _ in marks}):
+        head, tail = (tuple(marks[part, m][k] for k in key) for m in (1, 2))
+        last = marks[part, 2]
+        going = carry[0] is not None and carry[0] == (head,)
+        if going and carry[1]:
+            carried.append((part, carry[1], carry[2]))
+        own = (list(last["_levels"]), list(last["_names"]))
+        if last["_open"] and going:
+            i = bisect_left(carry[1], own[0][0]) if own[0] else len(carry[1])
+            own = (carry[1][:i] + own[0], carry[2][:i] + own[1])
+        carry = ((tail,), *own)
+    bring = spark.createDataFrame(carried, StructType([StructField("_part", LongType()), StructField("_before", ArrayType(LongType())), StructField("_named", ArrayType(kind))]))
+    near = F.size(F.filter("_before", lambda x: x <= F.col(level)))
+    out_of = F.when(F.col("_open") & F.col("_before").isNotNull() & (near > 0), F.element_at("_named", F.greatest(near, F.lit(1)))).otherwise(F.col(out))
+    return done.where("_mark IS NULL").join(F.broadcast(bring), "_part", "left").select(*columns, out_of.alias(out))
 
 
 def compare_runs(runs: list[DataFrame], key: list[str], value: str) -> DataFrame:

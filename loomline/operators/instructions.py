@@ -108,21 +108,37 @@ def instruction(kind: Column, name: Column, parent_type: Column, parent: Column,
 
 
 def within_budget(parts: dict[str, Column], budget: int = 512, removal: tuple[str, ...] = ("comments", "context", "location")) -> tuple[Column, Column]:
-    """(the parts joined, still_too_long). While the parts' tokens are over budget the ones in
-    ``removal`` go, in that order; nothing is cut. Null parts are absent. Tokens are counted per part."""
-    names = list(parts)
-    counts = F.array(*(T.token_count(c) for c in parts.values()))
-    start = F.struct(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array().cast("array<int>").alias("gone"), counts.alias("counts"))
-
-    def step(s: Column, i: Column) -> Column:
-        over = s["total"] > budget
-        return F.struct(F.when(over, s["total"] - F.get(s["counts"], i)).otherwise(s["total"]).alias("total"), F.when(over, F.concat(s["gone"], F.array(i))).otherwise(s["gone"]).alias("gone"), s["counts"].alias("counts"))
-
-    order = F.array(*(F.lit(names.index(n)) for n in removal if n in parts)).cast("array<int>")
-    left = F.aggregate(order, start, step)
-    values = F.array(*(F.coalesce(c, F.lit("")) for c in parts.values()))
-    shown = F.filter(values, lambda _, i: ~F.array_contains(left["gone"], i))
-    return F.array_join(shown, ""), left["total"] > budget
+    """P16, P17 as expressions for short texts: (the parts joined, still_too_long). ``budgeted`` counts each part once."""
+    left, shown = sum((T.token_count(c) for c in parts.values()), F.lit(0).cast("long")), dict(parts)
+    for n in removal:
+        if n in parts:
+            over = left > budget
+            shown[n] = F.when(~over, parts[n])
+            left = F.when(over, left - T.token_count(parts[n])).otherwise(left)
+    return F.concat(*(F.coalesce(c, F.lit("")) for c in shown.values())), left > budget
+
+
+def budgeted(rows: DataFrame, parts: dict[str, Column], budget: int = 512, removal: tuple[str, ...] = ("comments", "context", "location"), into: tuple[str, str] = ("prompt", "too_long")) -> DataFrame:
+    """Rows with the parts joined, and whether they are still over budget. While the parts' tokens are over
+    budget the ones in ``removal`` go, in that order; nothing is cut. Null parts are absent.
+
+    Tokens are counted once per part, in a projection of their own: a total, what is left of it after each removal, and last the text.
+    """
+    name = lambda kind, n: f"_{into[0]}_{kind}_{n}"
+    held = rows.withColumns({name("text", n): F.coalesce(c, F.lit("")) for n, c in parts.items()})
+    held = held.withColumns({name("tokens", n): T.token_count(F.col(name("text", n))) for n in parts})
+    total = F.lit(0).cast("long")
+    for n in parts:
+        total = total + F.col(name("tokens", n))
+    held = held.withColumn(name("left", "all"), total)
+    last, shown = name("left", "all"), {n: F.col(name("text", n)) for n in parts}
+    for n in removal:
+        if n in parts:
+            over = F.col(last) > budget
+            shown[n] = F.when(over, "").otherwise(shown[n])
+            held = held.withColumn(name("left", n), F.when(over, F.col(last) - F.col(name("tokens", n))).otherwise(F.col(last)))
+            last = name("left", n)
+    return held.withColumns({into[0]: F.concat(*shown.values()), into[1]: F.col(last) > budget}).drop(*(c for c in held.columns if c not in rows.columns))
 
 
 def docstring_prompt(code: Column) -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from loomline.functions import text as T
 
@@ -29,11 +34,35 @@ def with_context(docs: DataFrame, *keys: str, before: int = 3, after: int = 3, t
     return rows.select(*keys, (F.col("pos") + 1).alias("line_no"), F.col("x.b").alias("context_before"), F.col("x.a").alias("context_after"))
 
 
+def _per_document(docs: DataFrame, keys: tuple[str, ...], text: str, read: Callable[[str], Iterable[tuple]], schema: str) -> DataFrame:
+    """(keys, schema): the rows that ``read`` gives for each text. They leave where their text is: nothing is shuffled; null has none."""
+    kinds = StructType([StructField(k, docs.schema[k].dataType) for k in keys] + list(StructType.fromDDL(schema)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = to_arrow_schema(kinds)
+        for b in batches:
+            at, rows = [], []
+            for i, x in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                found = list(read(x)) if x is not None else []
+                at += [i] * len(found)
+                rows += found
+            columns = list(zip(*rows, strict=True)) or [()] * (len(out) - len(keys))
+            held = [b.column(i).take(pa.array(at, pa.int64())).cast(out.field(i).type) for i in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*held, *(pa.array(c, out.field(len(keys) + i).type) for i, c in enumerate(columns))], schema=out)
+
+    return docs.select(*keys, text).mapInArrow(run, kinds)
+
+
 def offsets(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """(keys, line_no, start, length): where each line begins, in code points."""
-    rows = explode_lines(docs, *keys, text=text)
-    earlier = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select(*keys, "line_no", F.coalesce(F.sum(F.length("line") + 1).over(earlier), F.lit(0)).cast("long").alias("start"), F.length("line").alias("length"))
+
+    def read(x: str) -> Iterable[tuple]:
+        start = 0
+        for i, line in enumerate(x.split("\n"), 1):
+            yield i, start, len(line)
+            start += len(line) + 1
+
+    return _per_document(docs, keys, text, read, "line_no int, start long, length int")
 
 
 def position_to_offset(line_starts: Column, line_lengths: Column, line: Column, column: Column) -> Column:
@@ -42,32 +71,31 @@ def position_to_offset(line_starts: Column, line_lengths: Column, line: Column,
     return F.element_at(line_starts, n) + F.least(F.greatest(column - 1, F.lit(0)), F.element_at(line_lengths, n))
 
 
-def comments(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
-    """(keys, line_no, type, text, class): line comments and closed block comments.
+def found_comments(text: str) -> Iterator[tuple[int, str, str]]:
+    """(line_no, block or line, text): one pass over the lines, which knows whether a block is open."""
+    block: list[str] | None = None
+    for i, line in enumerate(text.split("\n"), 1):
+        opens, closes = "/*" in line, "*/" in line
+        if block is not None:
+            block.append(line)
+            if closes and not opens:
+                yield i - len(block) + 1, "block", "\n".join(block)
+                block = None
+        elif opens and closes:
+            yield i, "block", line
+        elif opens:
+            block = [line]
+        elif not closes and line.lstrip(T.BLANK).startswith("//"):
+            yield i, "line", line
+
+
+def comments(docs: DataFrame, *keys: str, text: str = "text", keep: Column | None = None) -> DataFrame:
+    """(keys, line_no, type, text, class): line comments and closed block comments, those for which ``keep`` holds.
 
     A line with both marks is one block; a block that stays open is lost; what stands behind code is not taken.
     """
-    rows = explode_lines(docs, *keys, text=text)
-    order = Window.partitionBy(*keys).orderBy("line_no")
-    opens, closes = F.contains("line", F.lit("/*")), F.contains("line", F.lit("*/"))
-    rows = rows.withColumn("mark", F.when(opens & closes, "both").when(opens, "open").when(closes, "close"))
-    # the last mark before the line says whether a block is open there
-    rows = rows.withColumn("last", F.last(F.when(F.col("mark").isin("open", "close"), F.col("mark")), True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    inside = F.coalesce(F.col("last") == "open", F.lit(False))
-    rows = rows.withColumn("inside", inside).withColumn("begins", ~inside & (F.coalesce(F.col("mark"), F.lit("")) == "open"))
-    rows = rows.withColumn("block", F.sum(F.col("begins").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    block = rows.where("inside or begins").groupBy(*keys, "block")
-    blocks = block.agg(
-        F.min("line_no").alias("line_no"),
-        F.max(F.when(F.col("mark") == "close", True)).alias("closed"),
-        T.join_lines(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])).alias("text"),
-    ).where("closed").select(*keys, "line_no", F.lit("block").alias("type"), "text")
-    bare = T.strip(F.col("line"), T.BLANK)
-    single = rows.where(~F.col("inside") & ~F.col("begins"))
-    whole = single.where("mark = 'both'").select(*keys, "line_no", F.lit("block").alias("type"), F.col("line").alias("text"))
-    line = single.where(F.col("mark").isNull() & bare.startswith("//")).select(*keys, "line_no", F.lit("line").alias("type"), F.col("line").alias("text"))
-    out = blocks.unionByName(whole).unionByName(line)
-    return out.withColumn("class", T.classify_comment(F.col("text")))
+    out = _per_document(docs, keys, text, found_comments, "line_no int, type string, text string").withColumn("class", T.classify_comment(F.col("text")))
+    return out if keep is None else out.where(keep)
 
 
 def sections(rows: DataFrame, *keys: str) -> DataFrame:
@@ -115,10 +143,17 @@ def preceding_comments(lines: Column, line: Column) -> Column:
     return F.aggregate(F.reverse(F.slice(lines, 1, F.greatest(line - 1, F.lit(0)))), state, step, lambda s: s["got"])
 
 
+#: Lines that ``comments_before`` looks at together.
+BLOCK = 64
+
+
 def comments_before(elements: DataFrame, found: DataFrame, key: str = "location") -> DataFrame:
     """Found comments (key, line_no, ...) joined to the element they precede: prev_end_line <= line_no < line.
 
-    An equi-join on the file with a range condition; elements without prev_end_line get none.
+    An equi-join on the file and a block of lines: an element is there once for each block that its lines before it touch, a comment
+    once. So a file of any length is spread, and only what is near each other meets. Elements without prev_end_line get none.
     """
-    c = found.withColumnRenamed("line_no", "comment_line")
-    return elements.join(c, key).where("prev_end_line is not null and comment_line between prev_end_line and line - 1")
+    c = found.withColumnRenamed("line_no", "comment_line").withColumn("_block", F.floor(F.col("comment_line") / BLOCK))
+    near = elements.where("prev_end_line IS NOT NULL AND prev_end_line < line")
+    near = near.withColumn("_block", F.explode(F.sequence(F.floor(F.col("prev_end_line") / BLOCK), F.floor((F.col("line") - 1) / BLOCK))))
+    return near.join(c, [key, "_block"]).where("comment_line between prev_end_line and line - 1").drop("_block")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions import text as T
 from loomline.functions.keys import CLASS_LIKE, FUNCTION_LIKE
 from loomline.operators import extract, fragments, instructions, lines
+from loomline.sources.tables import stored
 
 
 def previous_end(found: DataFrame) -> DataFrame:
@@ -24,9 +25,10 @@ def previous_end(found: DataFrame) -> DataFrame:
 def records(files: DataFrame) -> DataFrame:
     """Files (location, code) -> elements with context_before, context_after (arrays), comments and docstrings (arrays, in order).
 
-    Context comes by an equi-join on the line, comments by one on the file with a range of lines.
+    The scanner runs once; its elements are a stored table. Context comes by an equi-join on the line, comments by one on
+    the file and a block of lines.
     """
-    found = previous_end(extract.elements(files))
+    found = stored(previous_end(stored(extract.elements(files))))  # each is read several times
     around = lines.with_context(files, "location", text="code").withColumnRenamed("line_no", "line")
     split = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(T.lines(F.col(c)))
     out = found.join(around, ["location", "line"], "left").withColumns({c: split(c) for c in ("context_before", "context_after")})
@@ -43,8 +45,9 @@ def documented(code: DataFrame) -> DataFrame:
     return code.withColumns({"code": T.clean_cpp_code(F.col("code")), "docstring": clean("docstrings", T.clean_docstring, "\n"), "comment": clean("comments", T.clean_comment, "")})
 
 
-def prompt(mode: Column, idx: Column, budget: int = 512) -> tuple[Column, Column]:
-    """P14-P17 over a record's columns: (input, too_long) for a mode; only the head (whole, first) has line and context."""
+def prompt(rows: DataFrame, budget: int = 512) -> DataFrame:
+    """P14-P17 over pieces of records (mode, idx): with ``input`` and ``too_long``; only the head (whole, first) has line and context."""
+    mode, idx = F.col("mode"), F.col("idx")
     head = mode.isin("whole", "first")
     instruction = instructions.instruction(F.col("type"), F.col("name"), F.col("parent_type"), F.col("parent_name"), mode, idx.cast("string"), F.col("id"))
     quoted = lambda before, c: F.concat(F.lit(f'{before}: "'), c, F.lit('"'))
@@ -55,7 +58,7 @@ def prompt(mode: Column, idx: Column, budget: int = 512) -> tuple[Column, Column
         "docstring": quoted(" using docstring", F.col("docstring")),
         "comments": quoted(" using comments", F.col("comment")),
     }
-    return instructions.within_budget(parts, budget)
+    return instructions.budgeted(rows, parts, budget, into=("input", "too_long"))
 
 
 def code_pairs(code: DataFrame, budget: int = 512) -> DataFrame:
@@ -65,12 +68,11 @@ def code_pairs(code: DataFrame, budget: int = 512) -> DataFrame:
     """
     tokens = T.token_count(F.col("code"))
     rows = code.where(F.col("type").isin(*FUNCTION_LIKE, *CLASS_LIKE, "enum_decl", "var_decl") & (F.coalesce("code", F.lit("")) != ""))
+    rows = stored(rows)
     long = rows.where((tokens > budget) & F.col("type").isin(*fragments.SPLITTERS))
     target = F.floor(budget * 0.8 * F.length("code") / F.greatest(tokens, F.lit(1))).cast("int")
     pieces = fragments.fragments(long.withColumn("target", target), "id", "code", fragments.split_by_kind, "target", "type")
-    out = instructions.emitted(rows, pieces, budget)
-    text, over = prompt(F.col("mode"), F.col("idx"), budget)
-    return out.select("id", "mode", "idx", text.alias("input"), "output", over.alias("too_long"))
+    return prompt(instructions.emitted(rows, pieces, budget), budget).select("id", "mode", "idx", "input", "output", "too_long")
 
 
 def doc_pairs(code: DataFrame) -> DataFrame:

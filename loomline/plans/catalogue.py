@@ -485,8 +485,7 @@ def prompt_budget(spark, sf_dir):
         "docstring": F.concat(F.lit("\n"), F.col("source"), F.lit(" of "), F.col("lang")),
         "comments": F.concat(F.lit("\n"), F.col("text")),
     }
-    prompt, over = instructions.within_budget(parts)
-    return _docs(spark, sf_dir).select("doc_id", prompt.alias("prompt"), over.alias("too_long"))
+    return instructions.budgeted(_docs(spark, sf_dir), parts).select("doc_id", "prompt", "too_long")
 
 
 _KINDS = ("function_decl", "cxx_method", "constructor", "destructor", "class_decl", "var_decl", "enum_decl", "function_template")
