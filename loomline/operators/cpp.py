@@ -80,7 +80,7 @@ class Declarator:
 class Head:
     """The tokens of a unit, for reading its declarators."""
 
-    def __init__(self, file: Scanner, tokens: list[int]) -> None:
+    def __init__(self, file: Tokens, tokens: list[int]) -> None:
         self.file, self.tokens = file, tokens
         self.words = [file.texts[t] for t in tokens]
         self.match = self._matched()
@@ -242,7 +242,24 @@ class Head:
         return i
 
 
-class Scanner:
+class Tokens:
+    """The tokens of a text, without comments; a directive is one token."""
+
+    def __init__(self, code: str) -> None:
+        self.code = code
+        self.texts: list[str] = []
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.kinds: list[str] = []
+        for m in _TOKEN.finditer(code):
+            if m["comment"] is None:
+                self.texts.append(m[0])
+                self.starts.append(m.start())
+                self.ends.append(m.end())
+                self.kinds.append("directive" if m["directive"] is not None else "literal" if m["literal"] is not None else "word" if m["word"] else "number" if m["number"] else "mark")
+
+
+class Scanner(Tokens):
     """All elements of one file, in ``found``, ordered by place."""
 
     def __init__(self, code: str, location: str, skip: Callable[[str], bool] | None = None) -> None:
@@ -255,21 +272,11 @@ class Scanner:
         self.tests: dict[int, tuple[tuple, str]] = {}  # conditions of heads that differ by branch
         self.aliases: list[tuple[int, str, str, list[str]]] = []  # (line, name, namespace, scope) of namespace aliases
         if not (skip and skip(location)):
-            self._tokens()
+            super().__init__(code)
             self._read()
             self._finish()
 
-    # tokens and conditions -------------------------------------------------------------------------------------
-
-    def _tokens(self) -> None:
-        self.texts, self.starts, self.ends, self.kinds = [], [], [], []
-        for m in _TOKEN.finditer(self.code):
-            if m.lastgroup != "comment" and m["comment"] is None:
-                kind = "directive" if m["directive"] is not None else "literal" if m["literal"] is not None else "word" if m["word"] else "number" if m["number"] else "mark"
-                self.texts.append(m[0])
-                self.starts.append(m.start())
-                self.ends.append(m.end())
-                self.kinds.append(kind)
+    # conditions ------------------------------------------------------------------------------------------------
 
     def _directive(self, t: int, ifs: list) -> tuple[str, str]:
         """Adds the row; gives its word and the rest of the line."""

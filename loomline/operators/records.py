@@ -71,7 +71,7 @@ def code_pairs(code: DataFrame, budget: int = 512) -> DataFrame:
     rows = stored(rows)
     long = rows.where((tokens > budget) & F.col("type").isin(*fragments.SPLITTERS))
     target = F.floor(budget * 0.8 * F.length("code") / F.greatest(tokens, F.lit(1))).cast("int")
-    pieces = fragments.fragments(long.withColumn("target", target), "id", "code", fragments.split_by_kind, "target", "type")
+    pieces = fragments.fragments(long.withColumn("target", target), "id", "code", fragments.split_statements, "target", "type")
     return prompt(instructions.emitted(rows, pieces, budget), budget).select("id", "mode", "idx", "input", "output", "too_long")
 
 

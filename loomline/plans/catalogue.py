@@ -571,13 +571,15 @@ def fragments_no_overlap(spark, sf_dir):
     return fragments.fragments(rows, "doc_id", "text", fragments.split_plain, "target")
 
 
-def _sql_overlapping(base: str) -> str:
-    """The overlapping split of base (id, text, target): recursive rows (id, idx, start, stop, code)."""
+def _sql_overlapping(base: str, before: str = "", points: str | None = None) -> str:
+    """The overlapping split of base (id, text, target), at the places of a list ``points`` if there is one: recursive rows (id, idx, start, stop, code)."""
     back = lambda at: f"coalesce((SELECT min(p) FROM (VALUES (strpos(reverse(substr(text, nxt + 1, {at} - nxt)), chr(10))), (strpos(reverse(substr(text, nxt + 1, {at} - nxt)), ';'))) v(p) WHERE p > 0), 0)"
-    return f"""RECURSIVE f(id, text, n, target, idx, start, stop, nxt) AS (
-    SELECT id, text, length(text), target, -1, 0, 0, 0 FROM ({base}) UNION ALL
-    SELECT id, text, n, target, idx + 1, nxt, best, CASE WHEN e >= n THEN n WHEN p2 > 0 THEN a0 - p2 + 1 ELSE a0 END FROM (SELECT *, {back("a0")} AS p2 FROM (SELECT *, greatest(best - 50, nxt + 1) AS a0 FROM (
-    SELECT *, CASE WHEN e >= n THEN n WHEN p1 > 0 AND e - p1 + 1 > nxt + 50 THEN e - p1 + 1 ELSE e END AS best FROM (SELECT *, {back("e")} AS p1 FROM (SELECT *, nxt + target AS e FROM f WHERE nxt < n)))))),
+    more = f", {points}" if points else ""
+    at = f"list_max(list_filter({points}, lambda p: p >= nxt AND p <= nxt + target))" if points else "NULL"
+    return f"""RECURSIVE {before + ", " if before else ""}f(id, text, n, target, idx, start, stop, nxt{more}) AS (
+    SELECT id, text, length(text), target, -1, 0, 0, 0{more} FROM ({base}) UNION ALL
+    SELECT id, text, n, target, idx + 1, nxt, best, CASE WHEN e >= n THEN n WHEN p2 > 0 THEN a0 - p2 + 1 ELSE a0 END{more} FROM (SELECT *, {back("a0")} AS p2 FROM (SELECT *, greatest(best - 50, nxt + 1) AS a0 FROM (
+    SELECT *, CASE WHEN e >= n THEN n WHEN pt IS NOT NULL THEN CASE WHEN pt > nxt + 50 THEN pt ELSE e END WHEN p1 > 0 AND e - p1 + 1 > nxt + 50 THEN e - p1 + 1 ELSE e END AS best FROM (SELECT *, {back("e")} AS p1, {at} AS pt FROM (SELECT *, nxt + target AS e FROM f WHERE nxt < n)))))),
     g AS (SELECT id, CAST(idx AS INTEGER) AS idx, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, substr(text, start + 1, stop - start) AS code FROM f WHERE idx >= 0)"""
 
 
@@ -814,14 +816,17 @@ def _sql_branches() -> str:
     return f"WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS n, 'src/' || doc_id || '.cc' AS location, len(string_split(text, chr(10))) AS top FROM documents) SELECT location, CAST(line AS INTEGER) AS line, CAST(end_line AS INTEGER) AS end_line, type, name, condition, parent_name, declared FROM ({rows})"
 
 
-@query(_sql_branches())
-def branched_elements(spark, sf_dir):
-    """All branches of nested conditions, and declarators of all forms."""
+def _branched_files(spark, sf_dir):
     n = F.col("doc_id").cast("string")
     words = F.regexp_replace(F.col("text"), r"[*/\\]", " ")
     code = F.concat(F.lit("/* "), words, F.lit(" */\n"), F.replace(F.lit("\n".join(_BRANCHED) + "\n"), F.lit("{n}"), n))
-    files = _docs(spark, sf_dir, "doc_id", "text").select(F.concat(F.lit("src/"), n, F.lit(".cc")).alias("location"), code.alias("code"))
-    found = extract.elements(files, repeated=False)
+    return _docs(spark, sf_dir, "doc_id", "text").select(F.concat(F.lit("src/"), n, F.lit(".cc")).alias("location"), code.alias("code"))
+
+
+@query(_sql_branches())
+def branched_elements(spark, sf_dir):
+    """All branches of nested conditions, and declarators of all forms."""
+    found = extract.elements(_branched_files(spark, sf_dir), repeated=False)
     return found.select("location", "line", "end_line", "type", "name", "condition", "parent_name", F.coalesce("signature.return_type", "var_type").alias("declared"))
 
 

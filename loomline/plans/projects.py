@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomline.operators import entities, extract, includes
-from loomline.plans.catalogue import _docs, _t, query
-from loomline.sources import model, tables
+from loomline.operators import entities, extract, fragments, includes, retrieval, statements
+from loomline.plans.catalogue import ORACLE, _TOP, _branched_files, _docs, _sql_overlapping, _t, query
+from loomline.sources import model, sql, tables
 
 # Includes --------------------------------------------------------------------------------------------------------
 
@@ -92,3 +92,86 @@ def deep_siblings(spark, sf_dir):
     return entities.siblings(rows, ["event_type"], ["ts", "event_id"], "level", None, "event_id").select("event_id", "level", "prev", "next")
 
 
+
+
+# An index --------------------------------------------------------------------------------------------------------
+
+
+@query(_TOP)
+def index_topk(spark, sf_dir):
+    """All vectors in inverted lists, written and read back; exact by the lists' radii."""
+    rows, path = _t(spark, sf_dir, "embeddings", "vec_id", "embedding"), tables.own_folder(spark)
+    retrieval.build_index(rows, path)
+    return retrieval.search_index(spark, path, rows.where("vec_id % 100 = 0"), 3, None)
+
+
+# SQL -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT location, type, name, line, end_line, condition, parent_name FROM ({ORACLE['branched_elements']})")
+def sql_elements(spark, sf_dir):
+    """The elements of the branched files by a lateral table function."""
+    sql.register(spark)
+    _branched_files(spark, sf_dir).createOrReplaceTempView("loomline_files")
+    return spark.sql("SELECT f.location, e.type, e.name, e.line, e.end_line, e.condition, e.parent_name FROM loomline_files f, LATERAL elements(f.location, f.code) e")
+
+
+@query(f"""SELECT doc_id, idx, start, "end" AS stop, code FROM ({ORACLE["fragments_overlap"]})""")
+def sql_fragments(spark, sf_dir):
+    sql.register(spark)
+    _docs(spark, sf_dir, "doc_id", "text").createOrReplaceTempView("loomline_documents")
+    return spark.sql("SELECT d.doc_id, f.idx, f.start, f.stop, f.code FROM loomline_documents d, LATERAL fragments(d.text, 400) f")
+
+
+# Statements ------------------------------------------------------------------------------------------------------
+
+#: A function for each document: {n} is the doc_id, {w} its text within a literal.
+_BODY = """{
+  const char *s = "{w}";
+  if (a > {n}) { g(a); } else { h{n}(); }
+  for (int i = 0; i < a; i++) k(i);
+  while (a) a--;
+  switch (a) { case 1: m(); default: o(); }
+  auto l = [&](int z) { return z; };
+  try { p(); } catch (...) { q(); }
+  do { r(); } while (a < 3);
+  return a; }"""
+_FUNCTION = "int f{n}(int a) " + _BODY
+#: What is in it.
+_STATEMENTS = (
+    ("function_decl", _FUNCTION), ("compound_stmt", _BODY), ("decl_stmt", 'const char *s = "{w}";'), ("if_stmt", "if (a > {n}) { g(a); } else { h{n}(); }"), ("compound_stmt", "{ g(a); }"), ("compound_stmt", "{ h{n}(); }"),
+    ("for_stmt", "for (int i = 0; i < a; i++) k(i);"), ("while_stmt", "while (a) a--;"), ("switch_stmt", "switch (a) { case 1: m(); default: o(); }"), ("compound_stmt", "{ case 1: m(); default: o(); }"), ("case_stmt", "case 1: m();"), ("default_stmt", "default: o();"),
+    ("decl_stmt", "auto l = [&](int z) { return z; };"), ("lambda_expr", "[&](int z) { return z; }"), ("compound_stmt", "{ return z; }"), ("cxx_try_stmt", "try { p(); } catch (...) { q(); }"), ("compound_stmt", "{ p(); }"),
+    ("cxx_catch_stmt", "catch (...) { q(); }"), ("compound_stmt", "{ q(); }"), ("do_stmt", "do { r(); } while (a < 3);"), ("compound_stmt", "{ r(); }"),
+)
+
+
+def _sql_filled(text: str) -> str:
+    quoted = "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return f"replace(replace({quoted}, '{{n}}', n), '{{w}}', w)"
+
+
+_STATED = f"""d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS n, regexp_replace(text, '["\\\\' || chr(10) || chr(13) || ']', ' ', 'g') AS w FROM documents), c AS (SELECT *, {_sql_filled(_FUNCTION)} AS code FROM d),
+    s AS ({" UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, strpos(code, {_sql_filled(x)}) - 1 AS start, strpos(code, {_sql_filled(x)}) - 1 + length({_sql_filled(x)}) AS stop FROM c" for kind, x in _STATEMENTS)})"""
+
+
+def _functions(spark, sf_dir):
+    words = F.regexp_replace(F.col("text"), r'["\\\n\r]', " ")
+    code = F.replace(F.replace(F.lit(_FUNCTION), F.lit("{n}"), F.col("doc_id").cast("string")), F.lit("{w}"), words)
+    return _docs(spark, sf_dir, "doc_id", "text").where("text IS NOT NULL").select("doc_id", code.alias("code"))
+
+
+@query(f"WITH {_STATED} SELECT doc_id, kind, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop FROM s")
+def statement_tree(spark, sf_dir):
+    """All statements of the functions, with their places."""
+    return statements.table(_functions(spark, sf_dir), "doc_id", "code")
+
+
+_POINTED = f"""base AS (WITH {_STATED} SELECT doc_id AS id, any_value(code) AS text, 150 AS target, list_sort(list_distinct(flatten(list([start, stop]) FILTER (kind <> 'function_decl')))) AS points FROM s JOIN c USING (doc_id) GROUP BY doc_id)"""
+
+
+@query(f'WITH {_sql_overlapping("SELECT * FROM base", _POINTED, "points")} SELECT id AS doc_id, idx, start, stop AS "end", code FROM g')
+def statement_fragments(spark, sf_dir):
+    """Functions in pieces that end where statements begin and end."""
+    rows = _functions(spark, sf_dir).withColumns({"target": F.lit(150), "kind": F.lit("function_decl")})
+    return fragments.fragments(rows, "doc_id", "code", fragments.split_statements, "target", "kind")
