@@ -70,7 +70,10 @@ def clean_comment(c: Column) -> Column:
 
 
 def normalize_indent(c: Column, tab: int = 4, most_feeds: int = 2) -> Column:
-    """P1 (P1b with most_feeds=2 for blank runs): right-trimmed lines, no blank lines at the ends, tabs to blanks."""
+    """Right-trimmed lines, no blank lines at the ends, tabs to blanks, at most so many line feeds together.
+
+    P1b, runs of blank lines to one, is most_feeds=2: a blank line is two line feeds.
+    """
     c = join_lines(F.transform(lines(c), lambda x: F.rtrim(x, F.lit(BLANK))))
     c = chain(c, (r"^\n+", ""), (r"\n+$", ""))
     return F.regexp_replace(F.replace(c, F.lit("\t"), F.lit(" " * tab)), r"\n{%d,}" % (most_feeds + 1), "\n" * most_feeds)

@@ -268,9 +268,7 @@ class Scanner(Tokens):
         self.found: list[dict] = []
         self.records: dict[str, _Scope] = {}  # of this file, by name and by qualified name
         self.emitted: dict[int, dict] = {}  # rows of records and enumerations, by their opening brace
-        self.usings: list[tuple[int, str, list[str]]] = []  # (line, name, scope) of using-declarations
         self.tests: dict[int, tuple[tuple, str]] = {}  # conditions of heads that differ by branch
-        self.aliases: list[tuple[int, str, str, list[str]]] = []  # (line, name, namespace, scope) of namespace aliases
         if not (skip and skip(location)):
             super().__init__(code)
             self._read()
@@ -763,10 +761,11 @@ class Scanner(Tokens):
         """The scope that a name with an owner belongs to, and the owner's whole name."""
         if not owner or scope.kind in keys.CLASS_LIKE:
             return scope, None
-        bare = re.sub(r"\s*<.*?>", "", re.sub(r"<[^<>]*>", "", owner)).replace(" ", "").lstrip(":")
-        outside = "::".join([*(scope.path or []), bare])
+        bare = re.sub(r"\s*<.*?>", "", re.sub(r"<[^<>]*>", "", owner)).replace(" ", "")
+        whole, bare = bare.startswith("::"), bare.lstrip(":")
+        outside = bare if whole else "::".join([*(scope.path or []), bare])
         short = bare.split("::")[-1]
-        found = next((self.records[x] for x in (outside, bare, short) if x in self.records), None)
+        found = next((self.records[x] for x in ((outside,) if whole else (outside, bare, short)) if x in self.records), None)
         if found is None:
             found = _Scope("class_decl", short, scope.at, scope)
             found.path, found.inside, found.level, found.known = scope.path, scope.inside, scope.level, False
@@ -821,11 +820,12 @@ class Scanner(Tokens):
             elif w[i + 2 : i + 3] == ["="] and not scope.inside and self._new(seen, "alias", w[i + 1]):
                 self._add("type_alias_decl", w[i + 1], start, stop, scope, ifs, template_parameters=template, aliased=head.text(i + 3, len(w)))
             elif len(w) > i + 2 and "=" not in w and self._new(seen, "using", head.text(i + 1, len(w))):
-                self.usings.append((self._place(start)[0], head.text(i + 1, len(w)), list(scope.path or [])))
+                name = head.text(i + 2 if w[i + 1] == "typename" else i + 1, len(w))
+                self._add("using_declaration", name.split("::")[-1].strip(), start, stop, scope, ifs, namespace=name)
             return
         if w[i] == "namespace":
-            if w[i + 2 : i + 3] == ["="]:
-                self.aliases.append((self._place(start)[0], w[i + 1], head.text(i + 3, len(w)), list(scope.path or [])))
+            if w[i + 2 : i + 3] == ["="] and self._new(seen, "namespace", w[i + 1]):
+                self._add("namespace_alias", w[i + 1], start, stop, scope, ifs, namespace=head.text(i + 3, len(w)))
             return
         if w[i] == "typedef":
             if not scope.inside:

@@ -40,12 +40,15 @@ def last_lengths(rows: DataFrame, key: list[str], order: str, text: str, length:
 def histogram(rows: DataFrame, by: str, value: str, bins: int = 50) -> DataFrame:
     """(by, bin, n): equal widths between least and greatest value, the last bin closed.
 
-    The ranges are one row per group; they are joined to the rows, not collected.
+    A group of one value has it in the first bin; a null group is a group; null values count nowhere. Values are counted first: the
+    ranges, one row per group, are joined to each distinct value of a group, not to each row.
     """
-    span = rows.groupBy(by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    at = F.floor((F.col(value) - F.col("lo")) * bins / F.nullif(F.col("hi") - F.col("lo"), F.lit(0)))
-    placed = rows.join(span, by).select(by, F.coalesce(F.least(at, F.lit(bins - 1)), F.lit(0)).cast("long").alias("bin"))
-    return placed.groupBy(by, "bin").agg(F.count("*").alias("n"))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+    span = counted.groupBy(F.col(by).alias("_by")).agg(F.min("_value").alias("lo"), F.max("_value").alias("hi"))
+    width = F.col("hi") - F.col("lo")
+    at = F.when(width == 0, 0).otherwise(F.least(F.floor((F.col("_value") - F.col("lo")) * bins / F.nullif(width, F.lit(0))), F.lit(bins - 1)))
+    placed = counted.join(span, F.col(by).eqNullSafe(F.col("_by"))).select(by, at.cast("long").alias("bin"), "_n")
+    return placed.groupBy(by, "bin").agg(F.sum("_n").alias("n"))
 
 
 def split_exactly(rows: DataFrame, key: str, share: float = 0.1, seed: int = 42) -> DataFrame:
@@ -70,13 +73,17 @@ def ranked(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
     """rows with ``rank`` from 0 within each group in the order given (the first column of it a number), without a task per group.
 
     Ranges of the first order column (its exponent and three binary digits: some thousand at most) are counted, a
-    running sum over the counts gives where each range begins, and rows are ranked within (group, range).
+    running sum over the counts gives where each range begins, and rows are ranked within (group, range). Infinities and
+    NaN are ranges of their own; NaN comes last, as in Spark's order.
     """
     x = F.abs(F.col(order[0]).cast("double"))
-    exponent = F.when(x == 0, F.lit(-2000.0)).otherwise(F.floor(F.log2(x)))
-    coarse = (exponent * 8 + F.when(x == 0, 0).otherwise(F.floor((x / F.pow(F.lit(2.0), exponent) - 1) * 8))).cast("int")
+    x = F.when(F.isnan(x), None).otherwise(x)
+    finite = F.when(x < float("inf"), x)
+    exponent = F.when(finite == 0, F.lit(-2000.0)).otherwise(F.floor(F.log2(finite)))
+    coarse = (exponent * 8 + F.when(finite == 0, 0).otherwise(F.floor((finite / F.pow(F.lit(2.0), exponent) - 1) * 8))).cast("int")
     sign = F.when(F.col(order[0]) < 0, -1).otherwise(1)
-    dealt = rows.withColumn("_range", F.when(F.col(order[0]).isNull(), F.lit(-1_000_000)).otherwise(sign * (coarse + 20_000)))
+    odd = F.when(F.col(order[0]).isNull(), -1_000_000).when(F.isnan(F.col(order[0]).cast("double")), 900_000).when(x == float("inf"), sign * 800_000)
+    dealt = rows.withColumn("_range", F.coalesce(odd, sign * (coarse + 20_000)))
     sizes = dealt.groupBy(by, "_range").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     first = sizes.select(F.col(by).alias("_by"), F.col("_range").alias("_of"), F.coalesce(before, F.lit(0)).alias("_first"))

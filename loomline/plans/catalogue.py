@@ -405,8 +405,8 @@ def last_lengths(spark, sf_dir):
 
 
 @query(
-    """SELECT lang, CAST(coalesce(least(floor((n_chars - lo) * 50 / nullif(hi - lo, 0)), 49), 0) AS BIGINT) AS bin, count(*) AS n
-    FROM (SELECT *, min(n_chars) OVER (PARTITION BY lang) AS lo, max(n_chars) OVER (PARTITION BY lang) AS hi FROM documents) GROUP BY ALL"""
+    """SELECT lang, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((n_chars - lo) * 50 / nullif(hi - lo, 0)), 49) END AS BIGINT) AS bin, count(*) AS n
+    FROM (SELECT *, min(n_chars) OVER (PARTITION BY lang) AS lo, max(n_chars) OVER (PARTITION BY lang) AS hi FROM documents WHERE n_chars IS NOT NULL) GROUP BY ALL"""
 )
 def length_histogram(spark, sf_dir):
     return profile.histogram(_docs(spark, sf_dir, "lang", "n_chars"), "lang", "n_chars")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomline.operators import entities, extract, fragments, includes, retrieval, statements
+from loomline.operators import entities, extract, fragments, includes, retrieval, statements, symbols
 from loomline.plans.catalogue import ORACLE, _TOP, _branched_files, _docs, _sql_overlapping, _t, query
 from loomline.sources import model, sql, tables
 
@@ -175,3 +175,41 @@ def statement_fragments(spark, sf_dir):
     """Functions in pieces that end where statements begin and end."""
     rows = _functions(spark, sf_dir).withColumns({"target": F.lit(150), "kind": F.lit("function_decl")})
     return fragments.fragments(rows, "doc_id", "code", fragments.split_statements, "target", "kind")
+
+
+# Names -----------------------------------------------------------------------------------------------------------
+
+_LIBRARY = "namespace lib{n} {\nnamespace in { struct S { void f(); void h(); }; }\nstruct T { void g(); };\nnamespace deep { struct T { void g(); }; }\n}\nstruct T { void g(); };\n"
+_USER = "void in::S::f() {}\nusing namespace lib{n};\nnamespace al = lib{n}::in;\nvoid in::S::f() {}\nvoid al::S::h() {}\nnamespace lib{n} { namespace deep { void T::g() {} } void T::g() {} void ::T::g() {} }\nvoid lib{n}::deep::T::g() {}\nusing lib{n}::deep::T;\nvoid None::z() {}\n"
+#: Of the second file: (line, name, whole name of the owner, line of the owner in the first file).
+_OWNED = ((1, "f", None, None), (4, "f", "lib{n}::in::S", 2), (5, "h", "lib{n}::in::S", 2), (6, "g", "lib{n}::deep::T", 4), (6, "g", "lib{n}::T", 3), (6, "g", "T", 6), (7, "g", "lib{n}::deep::T", 4), (9, "z", None, None))
+
+
+def _named_files(spark, sf_dir):
+    """A header and a source for each document; a comment with its text comes last."""
+    n = F.col("doc_id").cast("string")
+    words = F.concat(F.lit("/* "), F.regexp_replace("text", r"[*/\\]", " "), F.lit(" */\n"))
+    put = lambda text: F.concat(F.replace(F.lit(text), F.lit("{n}"), n), words)
+    both = F.array(F.struct(F.concat(F.lit("l/"), n, F.lit(".h")).alias("location"), put(_LIBRARY).alias("code")), F.struct(F.concat(F.lit("u/"), n, F.lit(".cpp")).alias("location"), put(_USER).alias("code")))
+    return _docs(spark, sf_dir, "doc_id", "text").where("text IS NOT NULL").select(F.explode(both).alias("x")).select("x.*")
+
+
+def _sql_owned() -> str:
+    put = lambda x: "CAST(NULL AS VARCHAR)" if x is None else f"replace('{x}', '{{n}}', CAST(doc_id AS VARCHAR))"
+    row = lambda line, name, whole, at: f"SELECT 'u/' || doc_id || '.cpp' AS location, {line} AS line, '{name}' AS name, {put(whole)} AS qualified, {'CAST(NULL AS VARCHAR)' if at is None else LIB if whole != 'T' else FIRST} AS owner_location, {'CAST(NULL AS INTEGER)' if at is None else at} AS owner_line FROM documents"
+    return " UNION ALL ".join(row(*r) for r in _OWNED)
+
+
+LIB, FIRST = "'l/' || doc_id || '.h'", "(SELECT min('l/' || doc_id || '.h') FROM documents)"
+
+
+@query(_sql_owned())
+def resolved_names(spark, sf_dir):
+    """Members defined in one file, their classes in another: by enclosing scopes, using-directives and aliases."""
+    out = symbols.owned(extract.elements(_named_files(spark, sf_dir), repeated=False))
+    return out.select("location", "line", "name", "qualified", F.col("symbol.location").alias("owner_location"), F.col("symbol.line").alias("owner_line"))
+
+
+@query("SELECT 'u/' || doc_id || '.cpp' AS location, 2 AS line, 'lib' || doc_id AS namespace, 'lib' || doc_id AS qualified, 'l/' || doc_id || '.h' AS opened_in FROM documents")
+def using_directives(spark, sf_dir):
+    return symbols.directives(extract.elements(_named_files(spark, sf_dir), repeated=False))

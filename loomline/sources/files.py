@@ -28,7 +28,10 @@ def tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = SOURCE, s
     base = root if ":" in root else f"file:{root}"
     path = keys.relative_path(F.regexp_replace("path", "^file:/+", "file:/"), base)
     text = F.col("content").cast("string")
-    code = {"replace": F.make_valid_utf8(text), "strict": F.try_validate_utf8(text), "ignore": F.when(F.is_valid_utf8(text), text).otherwise(_without_invalid("content"))}["strict" if strict else errors]
+    policies = {"replace": F.make_valid_utf8(text), "strict": F.try_validate_utf8(text), "ignore": F.when(F.is_valid_utf8(text), text).otherwise(_without_invalid("content"))}
+    if errors not in policies:
+        raise ValueError(f"errors is one of {', '.join(policies)}, not {errors}")
+    code = policies["strict" if strict else errors]
     out = files.select(path.alias("location"), code.alias("code"))
     return out.where(~keys.stopped(F.col("location"), stop)) if stop else out
 
@@ -79,11 +82,15 @@ def write_by_type(rows: DataFrame, path: str, by: str = "type") -> None:
     rows.write.partitionBy(by).json(path)  # a type with very many rows stays spread over its tasks
 
 
-def write_pairs(code: list[DataFrame], docs: list[DataFrame], path: str) -> None:
-    """Code pairs and documentation pairs, each the union of its parts in the order given."""
+def write_pairs(code: list[DataFrame], docs: list[DataFrame], path: str, ordinal: str | None = None) -> None:
+    """Code pairs and documentation pairs, each the union of its parts in the order given.
+
+    With ``ordinal`` rows have the number of their part in a column of that name, so that the order does not hang on the files' names.
+    """
     for name, parts in (("code", code), ("docs", docs)):
         out = None
-        for p in parts:
+        for nth, p in enumerate(parts):
+            p = p if ordinal is None else p.withColumn(ordinal, F.lit(nth))
             out = p if out is None else out.unionByName(p, allowMissingColumns=True)
         if out is not None:  # a union's partitions, and so its files, come in the order of its parts
             out.write.json(f"{path}/{name}")

@@ -56,10 +56,11 @@ class _TreeReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         from pyarrow.fs import FileSystem
 
+        options = {k.lower(): v for k, v in options.items()}
         path = options["path"]
         self.uri = path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path)
         self.wanted = options.get("extensions", "cpp,cc,cxx,c").split(",")
-        self.least = int(options.get("splitBytes", 1 << 25))
+        self.least = int(options.get("splitbytes", 1 << 25))
         self.base = FileSystem.from_uri(self.uri)[1].rstrip("/")
 
     def partitions(self) -> list[InputPartition]:
