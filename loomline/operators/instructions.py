@@ -28,24 +28,8 @@ PROMPTS = {
     "attribute": "Implement attribute with name {name}",
 }
 SKIPPED = ("namespace", "lambda", "error_handler")
-DOCSTRING_REQUEST = (
-    "Add doc-strings in English before the C++ method.",
-    "Use tags: @brief, @param, @return, @throws, @note",
-    "Code:",
-    None,
-    "Use this template:",
-    "/**",
-    " * @brief [short description]",
-    " * @param [name] [description]",
-    " * @return [description]",
-    " * @throws [exception] [reason]",
-    " * @note [optional note]",
-    " */",
-    "skip @param, if there is no params",
-    "for the @throws tag use exceptions that are clearly present in the code, skip @throws if there is no exceptions",
-    "do not add description if function return void",
-    "do not repeat the code after docstring",
-)
+#: What is asked for a docstring; the code takes the place of None. Any wording will do.
+DOCSTRING_REQUEST = ("Document this C++ code in English.", "Code:", None, "Use this form for the comment, with those tags that apply, and answer with it alone: /** @brief, @param, @return, @throws, @note */")
 
 
 def signature(kind: Column, parent: Column, sig: Column) -> Column:
@@ -141,9 +125,9 @@ def budgeted(rows: DataFrame, parts: dict[str, Column], budget: int = 512, remov
     return held.withColumns({into[0]: F.concat(*shown.values()), into[1]: F.col(last) > budget}).drop(*(c for c in held.columns if c not in rows.columns))
 
 
-def docstring_prompt(code: Column) -> Column:
-    """P28."""
-    return F.concat_ws("\n", *(code if x is None else F.lit(x) for x in DOCSTRING_REQUEST))
+def docstring_prompt(code: Column, request: tuple[str | None, ...] = DOCSTRING_REQUEST) -> Column:
+    """A request around the code, line by line."""
+    return F.concat_ws("\n", *(code if x is None else F.lit(x) for x in request))
 
 
 def chat_messages(*turns: tuple[str, Column]) -> Column:

@@ -6,7 +6,7 @@ import os
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
-from loomline.plans import catalogue, projects  # noqa: E402, F401
+from loomline.plans import catalogue, projects, small  # noqa: E402, F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
