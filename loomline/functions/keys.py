@@ -63,7 +63,7 @@ def stopped_by_suffix(path: Column, patterns: list[str]) -> Column:
     return F.coalesce(*[F.when(t, True) for t in tests], F.lit(False))
 
 
-#: Type families (P36) and the kinds whose parents own methods.
+#: Type families (P36) and the kinds whose parents own methods.
 CLASS_LIKE = ("class_decl", "struct_decl", "class_template", "class_template_partial_specialization")
 FUNCTION_LIKE = ("function_decl", "cxx_method", "constructor", "destructor", "function_template")
 

@@ -45,6 +45,9 @@ def clean_cpp_code(c: Column) -> Column:
     return join_lines(F.filter(F.transform(lines(c), lambda x: strip(x, BLANK)), lambda x: x != ""))
 
 
+# The patterns of clean_cpp_code, clean_docstring and clean_comment, whose outcome must match.
+
+
 def clean_docstring(c: Column) -> Column:
     """Frames, markers and leading stars out, blanks and line feeds collapsed."""
     c = chain(

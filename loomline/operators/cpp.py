@@ -252,11 +252,12 @@ class Tokens:
         self.ends: list[int] = []
         self.kinds: list[str] = []
         for m in _TOKEN.finditer(code):
-            if m["comment"] is None:
+            kind = m.lastgroup  # of nested groups the outer one
+            if kind != "comment":
                 self.texts.append(m[0])
                 self.starts.append(m.start())
                 self.ends.append(m.end())
-                self.kinds.append("directive" if m["directive"] is not None else "literal" if m["literal"] is not None else "word" if m["word"] else "number" if m["number"] else "mark")
+                self.kinds.append(kind)
 
 
 class Scanner(Tokens):
