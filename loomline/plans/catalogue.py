@@ -605,7 +605,22 @@ def fragment_quality(spark, sf_dir):
     return fragments.quality(_overlapping(spark, sf_dir), "doc_id")
 
 
-@query()
+_CHUNKS = f"""WITH RECURSIVE nodes AS (SELECT doc_id, CAST([] AS BIGINT[]) AS ord, text AS t, 0 AS k FROM documents WHERE text IS NOT NULL UNION ALL
+    SELECT doc_id, list_append(ord, i), part, j + 1 FROM (SELECT doc_id, ord, j, unnest(string_split(t, [chr(10) || chr(10), chr(10), ' ', ''][j + 1])) AS part, generate_subscripts(string_split(t, [chr(10) || chr(10), chr(10), ' ', ''][j + 1]), 1) AS i FROM (
+    SELECT *, CASE WHEN k <= 0 AND contains(t, chr(10) || chr(10)) THEN 0 WHEN k <= 1 AND contains(t, chr(10)) THEN 1 WHEN k <= 2 AND contains(t, ' ') THEN 2 ELSE 3 END AS j FROM nodes)) WHERE length(part) > 500 AND j < 3),
+    marked AS (SELECT doc_id, ord, t, [chr(10) || chr(10), chr(10), ' ', ''][1 + CASE WHEN k <= 0 AND contains(t, chr(10) || chr(10)) THEN 0 WHEN k <= 1 AND contains(t, chr(10)) THEN 1 WHEN k <= 2 AND contains(t, ' ') THEN 2 ELSE 3 END] AS mark FROM nodes),
+    parts AS (SELECT doc_id, ord, mark, unnest(string_split(t, mark)) AS part, generate_subscripts(string_split(t, mark), 1) AS i FROM marked),
+    fits AS (SELECT *, sum(CASE WHEN length(part) > 500 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, ord ORDER BY i) AS run FROM parts),
+    sums AS (SELECT *, CAST(sum(length(part) + length(mark)) OVER (PARTITION BY doc_id, ord, run ORDER BY i) AS BIGINT) AS cum FROM fits WHERE length(part) BETWEEN 1 AND 500),
+    runs AS (SELECT doc_id, list_append(ord, min(i)) AS ord, any_value(mark) AS mark, length(any_value(mark)) AS lm, count(*) AS n, list(part ORDER BY i) AS p, list(cum ORDER BY i) AS ends FROM sums GROUP BY doc_id, ord, run),
+    w AS (SELECT *, CAST(1 AS BIGINT) AS f, CAST(list_max(list_filter(range(1, n + 1), lambda q: ends[q] - lm <= 500)) AS BIGINT) AS e, 0 AS nth FROM runs UNION ALL
+    SELECT doc_id, ord, mark, lm, n, p, ends, g, CAST(list_max(list_filter(range(g, n + 1), lambda q: ends[q] - CASE WHEN g = 1 THEN 0 ELSE ends[g - 1] END - lm <= 500)) AS BIGINT), nth + 1 FROM (
+    SELECT *, CAST(coalesce(list_min(list_filter(range(f, e + 1), lambda q: ends[e] - CASE WHEN q = 1 THEN 0 ELSE ends[q - 1] END - lm <= 50 AND ends[e + 1] - CASE WHEN q = 1 THEN 0 ELSE ends[q - 1] END - lm <= 500)), e + 1) AS BIGINT) AS g FROM w WHERE e < n)),
+    c AS (SELECT doc_id, ord, nth, trim(CASE mark WHEN chr(10) || chr(10) THEN array_to_string(p[f:e], chr(10) || chr(10)) WHEN chr(10) THEN array_to_string(p[f:e], chr(10)) WHEN ' ' THEN array_to_string(p[f:e], ' ') ELSE array_to_string(p[f:e], '') END, {_BLANKS} || chr(10)) AS chunk FROM w)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord, nth) - 1 AS INTEGER) AS idx, chunk FROM c WHERE chunk <> ''"""
+
+
+@query(_CHUNKS)
 def char_chunks(spark, sf_dir):
     return fragments.chunks(_docs(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
 
