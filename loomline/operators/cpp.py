@@ -247,17 +247,11 @@ class Tokens:
 
     def __init__(self, code: str) -> None:
         self.code = code
-        self.texts: list[str] = []
-        self.starts: list[int] = []
-        self.ends: list[int] = []
-        self.kinds: list[str] = []
-        for m in _TOKEN.finditer(code):
-            kind = m.lastgroup  # of nested groups the outer one
-            if kind != "comment":
-                self.texts.append(m[0])
-                self.starts.append(m.start())
-                self.ends.append(m.end())
-                self.kinds.append(kind)
+        found = [m for m in _TOKEN.finditer(code) if m.lastgroup != "comment"]
+        self.texts: list[str] = [m[0] for m in found]
+        self.starts: list[int] = [m.start() for m in found]
+        self.ends: list[int] = [m.end() for m in found]
+        self.kinds: list[str] = [m.lastgroup for m in found]  # of nested groups the outer one
 
 
 class Scanner(Tokens):

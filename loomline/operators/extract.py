@@ -57,6 +57,10 @@ def body_of(code: str, at: int = 0, aware: bool = True) -> str | None:
     return None if start < 0 else code[start : matching(m, start) + 1]
 
 
+#: What an element's id and its parent's are made of.
+_PLACES = ("type", "name", "location", "line", "col", "parent_type", "parent_name", "parent_line", "parent_col")
+
+
 def scan(code: str, location: str, skip: Callable[[str], bool] | None = None) -> tuple[list[dict], str | None]:
     """The elements of a file, and what went wrong, if anything did; then there are none."""
     try:
@@ -71,9 +75,10 @@ def _batch(rows: list[dict], kinds: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e.get(f.name) for e in rows], f.type) for f in kinds], schema=kinds)
 
 
-def elements(files: DataFrame, location: str = "location", code: str = "code", skip: Callable[[str], bool] | None = None, repeated: bool = True) -> DataFrame:
+def elements(files: DataFrame, location: str = "location", code: str = "code", skip: Callable[[str], bool] | None = None, repeated: bool = True, columns: tuple[str, ...] | None = None) -> DataFrame:
     """One row per element of each file (location, code), with id and parent_id, without repeated ids.
 
+    With ``columns`` only these, and those that make ids, are built: Catalyst can't prune what a scan in Arrow makes.
     With ``repeated`` false each location is there once, as from a source tree: then nothing is shuffled.
 
     Null code has no elements; what a file leaves open ends with the file; a file that the scanner fails on gives none
@@ -82,8 +87,10 @@ def elements(files: DataFrame, location: str = "location", code: str = "code", s
     """
 
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    kinds = to_arrow_schema(_schema())
+    schema = _schema() if columns is None else StructType([f for f in _schema().fields if f.name in {*columns, *_PLACES}])
+    kinds = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,7 +102,7 @@ def elements(files: DataFrame, location: str = "location", code: str = "code", s
                     rows = []
             yield _batch(rows, kinds)
 
-    rows = files.select(location, code).mapInArrow(run, _schema())
+    rows = files.select(location, code).mapInArrow(run, schema)
     kind = F.upper("type")
     ident = keys.element_id(kind, F.col("name"), F.col("location"), F.col("line"), F.col("col"))
     parent = F.when(F.col("parent_line").isNotNull(), keys.element_id(F.upper("parent_type"), F.col("parent_name"), F.col("location"), F.col("parent_line"), F.col("parent_col")))

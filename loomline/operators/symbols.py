@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from loomline.functions.keys import CLASS_LIKE
 from loomline.sources.tables import stored
 
+#: What ``owned`` and ``directives`` need of elements.
+COLUMNS = ("type", "name", "location", "line", "col", "path", "namespace", "owner")
 #: Kinds that names may refer to as owners or scopes.
 SCOPES = (*CLASS_LIKE, "union_decl", "enum_decl", "namespace")
 _OPENERS = "array<struct<kind:string,scope:array<string>,name:string,target:string,line:int>>"
@@ -73,7 +75,8 @@ def resolve(references: DataFrame, found: DataFrame, kinds: tuple[str, ...] = SC
     more = F.flatten(F.transform(F.filter("openers", around), opened))
     tried = F.when(global_, F.array(F.struct(F.lit(0).alias("rank"), F.substring(F.col("_name"), F.lit(3), F.length("_name")).alias("qualified")))).otherwise(F.concat(own, more))
     ways = refs.select("ref", F.explode(tried).alias("way")).select("ref", "way.rank", F.regexp_replace("way.qualified", "^::", "").alias("qualified")).where("qualified IS NOT NULL")
-    hits = ways.join(table(found, kinds), "qualified").groupBy("ref").agg(F.min_by(F.struct("symbol", "qualified"), F.struct("rank", "qualified")).alias("_hit"))
+    # the symbols are a table of their own, so that Spark can split the many ways to read a frequent name
+    hits = ways.join(stored(table(found, kinds)), "qualified").groupBy("ref").agg(F.min_by(F.struct("symbol", "qualified"), F.struct("rank", "qualified")).alias("_hit"))
     return references.join(hits, "ref", "left").select(*references.columns, F.col("_hit.symbol").alias("symbol"), F.col("_hit.qualified").alias("qualified"))
 
 

@@ -30,7 +30,7 @@ _EDGES = f"""d AS (SELECT doc_id AS n, len(string_split(text, chr(10))) AS top F
 
 def _edges(spark, sf_dir):
     files = _project(spark, sf_dir)
-    return includes.edges(extract.elements(files, repeated=False), files, [f"p/d{i}" for i in range(10)])
+    return includes.edges(extract.elements(files, repeated=False, columns=("type", "name", "location", "line", "include_kind")), files, [f"p/d{i}" for i in range(10)])
 
 
 @query(f"WITH {_EDGES} SELECT {_PLACE.format('e.n')} AS location, CAST(line AS INTEGER) AS line, name, {_PLACE.format('x.n')} AS target FROM e LEFT JOIN d x ON x.n = e.m")
@@ -206,10 +206,10 @@ LIB, FIRST = "'l/' || doc_id || '.h'", "(SELECT min('l/' || doc_id || '.h') FROM
 @query(_sql_owned())
 def resolved_names(spark, sf_dir):
     """Members defined in one file, their classes in another: by enclosing scopes, using-directives and aliases."""
-    out = symbols.owned(extract.elements(_named_files(spark, sf_dir), repeated=False))
+    out = symbols.owned(extract.elements(_named_files(spark, sf_dir), repeated=False, columns=symbols.COLUMNS))
     return out.select("location", "line", "name", "qualified", F.col("symbol.location").alias("owner_location"), F.col("symbol.line").alias("owner_line"))
 
 
 @query("SELECT 'u/' || doc_id || '.cpp' AS location, 2 AS line, 'lib' || doc_id AS namespace, 'lib' || doc_id AS qualified, 'l/' || doc_id || '.h' AS opened_in FROM documents")
 def using_directives(spark, sf_dir):
-    return symbols.directives(extract.elements(_named_files(spark, sf_dir), repeated=False))
+    return symbols.directives(extract.elements(_named_files(spark, sf_dir), repeated=False, columns=symbols.COLUMNS))
