@@ -32,7 +32,8 @@ def edges(found: DataFrame, files: DataFrame, dirs: list[str]) -> DataFrame:
     own = F.when(F.col("include_kind") == "quoted", F.array(F.concat(folder, F.col("name")))).otherwise(F.array().cast("array<string>"))
     given = F.array(*(F.concat(F.lit(d.rstrip("/") + "/"), F.col("name")) for d in dirs)) if dirs else F.array().cast("array<string>")
     tried = lines.select("location", "line", "name", F.posexplode(F.concat(own, given)).alias("rank", "path")).withColumn("target", normal_path(F.col("path")))
-    there = files.select(F.col("location").alias("target")).distinct()
+    # a table of its own, so that Spark can split the many lines that name a frequent header
+    there = stored(files.select(F.col("location").alias("target")).distinct())
     best = tried.join(there, "target").groupBy("location", "line", "name").agg(F.min_by("target", "rank").alias("target"))
     return lines.select("location", "line", "name").distinct().join(best, ["location", "line", "name"], "left")
 
@@ -51,7 +52,7 @@ def closure(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
         levels.append(frontier)
         depth += 1
         reached = frontier.join(steps, frontier["header"] == steps["_from"]).select("source", F.col("_to").alias("header")).distinct()
-        for known in levels:
-            reached = reached.join(known.select("source", "header"), ["source", "header"], "left_anti")
+        known = reduce(DataFrame.unionByName, levels).select("source", "header")
+        reached = reached.join(known, ["source", "header"], "left_anti")
         frontier = stored(reached.withColumn("depth", F.lit(depth)))
     return reduce(DataFrame.unionByName, levels) if levels else frontier
