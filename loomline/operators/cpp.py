@@ -20,7 +20,7 @@ from loomline.functions import keys
 
 _TOKEN = re.compile(
     r"""(?P<directive>^[ \t]*\#(?:/\*.*?(?:\*/|\Z)|//[^\n]*|\\\r?\n|[^\n])*)
-    |(?P<comment>//(?:\\\r?\n|[^\n])*|/\*.*?(?:\*/|\Z))
+    |(?P<comment>//(?:\\\r?\n|[^\n])*|/\*[^*]*(?:\*(?!/)[^*]*)*(?:\*/|\Z))
     |(?P<literal>(?:u8|[uUL])?R"(?P<d>[^()\\\s]{0,16})\(.*?\)(?P=d)"|(?:u8|[uUL])?"(?:\\.|[^"\\\n])*"?|(?:u8|[uUL])?'(?:\\.|[^'\\\n])*'?)
     |(?P<word>[A-Za-z_]\w*)
     |(?P<number>\.?\d(?:[eEpP][+-]|'\w|[\w.])*)
