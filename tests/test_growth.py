@@ -21,3 +21,11 @@ def test_documentation_is_cleaned_once(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace")
     assert plan(out) == plan(once)
     assert [(r.id, r.output) for r in out.collect()] == [("1", "x")]
+
+
+def test_extract_elements_builds_what_it_returns(spark):
+    from loomline.plans import catalogue
+
+    df = catalogue.QUERIES["extract_elements"](spark, "/root/testdata/sf0.001")
+    made = next(x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "MapInArrow" in x)
+    assert "signature" in made and "rich" not in made and "macro_args" not in made
