@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from loomline.functions import text as T
+from loomline.functions.batches import small
 
 
 def explode_lines(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
@@ -40,7 +41,7 @@ def _per_document(docs: DataFrame, keys: tuple[str, ...], text: str, read: Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(kinds)
-        for b in batches:
+        for b in small(batches):
             at, rows = [], []
             for i, x in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 found = list(read(x)) if x is not None else []

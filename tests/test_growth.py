@@ -1,8 +1,10 @@
 """What must not grow faster than the input: keys that many rows share, expressions written out again, batches."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
+from loomline.functions.batches import PART, small
 from loomline.operators import instructions, records
 
 
@@ -29,3 +31,17 @@ def test_extract_elements_builds_what_it_returns(spark):
     df = catalogue.QUERIES["extract_elements"](spark, "/root/testdata/sf0.001")
     made = next(x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "MapInArrow" in x)
     assert "signature" in made and "rich" not in made and "macro_args" not in made
+
+
+def test_batches_are_read_in_small_parts():
+    """All rows, in order, and no part larger than it may be."""
+    assert sum(b.num_rows for b in small([pa.record_batch({"x": ["a" * 3000] * 5001})])) == 5001
+    seen = []
+
+    def parts(batches):
+        for b in batches:
+            seen.append(b.nbytes)
+            yield b
+
+    whole = pa.record_batch({"id": list(range(64)), "text": ["x" * (1 << 19)] * 64})
+    assert [x for b in parts(small([whole])) for x in b.column(0).to_pylist()] == list(range(64)) and max(seen) <= PART
