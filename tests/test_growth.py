@@ -45,3 +45,11 @@ def test_batches_are_read_in_small_parts():
 
     whole = pa.record_batch({"id": list(range(64)), "text": ["x" * (1 << 19)] * 64})
     assert [x for b in parts(small([whole])) for x in b.column(0).to_pylist()] == list(range(64)) and max(seen) <= PART
+
+
+def test_responses_are_split_once(spark):
+    """Not once more for each of their lines."""
+    docs = spark.createDataFrame([(1, "x\n@brief a\n b\nb \n\nc\n@return z"), (2, None), (3, "")], "id int, text string")
+    out = docs.select("id", T.clean_response(F.col("text")).alias("y"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert sorted((r.id, r.y) for r in out.collect()) == [(1, "@brief a\n b\nc\n@return"), (2, None), (3, "")]
