@@ -7,7 +7,8 @@ stand side by side if the merges would never join across their border, a test on
 border while each of them is being built. Back-pointers from the last prefix give the exact ids.
 
 Text is cut into pieces (and at the added tokens' strings) as the tokenizer file says. The prefixes of equal length of
-many pieces are worked out at once in numpy; encodings of pieces are kept in a bounded memory per worker.
+many pieces are worked out at once in numpy, those in common once; encodings of pieces are kept in a bounded memory per
+worker, of which one half is for pieces that were asked for again.
 
 Defined results: null or empty text has no ids and decodes to ''; texts of any length are encoded whole; ties can't
 occur, since the last token of a prefix is unique; repeated rows are encoded each by itself; an empty table gives no
@@ -79,7 +80,7 @@ class Tokenizer:
         self._borders = lru_cache(8192)(self._border)
         self._pairs = _Pairs(0)
         self._specials: dict[str | int, bytes] = {i: i.to_bytes(4, "little") for i in self.added.values()}
-        self._remembered, self._again = dict(self._specials), set[str | int]()
+        self._often, self._once = dict(self._specials), dict[str | int, bytes]()
         self._automaton()
         self._decoded = {i: self.bytes_of[i] for i in self.bytes_of} | {i: t.encode() for t, i in self.added.items()}
 
@@ -239,32 +240,38 @@ class Tokenizer:
                 here = order[at : at + 1]
                 found = [self.piece(pieces[here[0]])]
             else:
-                found = self._together([pieces[i] for i in here], lengths[here])
+                found = self._together([pieces[i] for i in here])
             for i, ids in zip(here, found, strict=True):
                 out[i] = ids
             at += len(here)
         return out
 
-    def _together(self, pieces: list[bytes], lengths: np.ndarray) -> list[bytes]:
-        """``pieces`` of some pieces in descending order of their lengths."""
-        data, n, most = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64), len(pieces), int(lengths[0])
-        begin = np.cumsum(lengths) - lengths
-        last, size = np.zeros((most, n), np.int32), np.zeros((most, n), np.int32)
-        state = np.zeros(n, np.int32)
+    def _together(self, pieces: list[bytes]) -> list[bytes]:
+        """``pieces`` of some pieces; a beginning that several have in common is worked out for the first of them."""
+        n = len(pieces)
+        order = sorted(range(n), key=pieces.__getitem__)
+        data = np.array([pieces[i] for i in order], np.bytes_)
+        lengths, most = np.fromiter((len(pieces[i]) for i in order), np.int64, n), data.itemsize
+        data = data.view(np.uint8).reshape(n, most)
+        other = data[1:] != data[:-1]
+        same = np.concatenate([[0], np.minimum(np.where(other.any(1), other.argmax(1), most), lengths[:-1])])
+        last, size, state = np.zeros((most, n), np.int32), np.zeros((most, n), np.int32), np.zeros(n, np.int32)
         for end in range(most):
-            live = int(np.searchsorted(-lengths, -end))  # those longer than end
-            state = self._steps(state[:live], data[begin[:live] + end])
-            candidate, todo = self._first[state], np.arange(live)
+            live = np.flatnonzero(lengths > end)
+            first = same[live] <= end
+            heads, of = live[first], np.cumsum(first) - 1
+            here = self._steps(state[heads], data[heads, end].astype(np.int64))
+            found, wide = np.zeros(len(heads), np.int32), np.zeros(len(heads), np.int32)
+            candidate, todo = self._first[here], np.arange(len(heads))
             while len(todo):
-                c = candidate[todo]
-                width, token = self._depth[c], self._token[c]
+                width, token = self._depth[candidate], self._token[candidate]
                 ok = width > end
                 inner = np.flatnonzero(~ok)
-                before = last[end - width[inner], todo[inner]].astype(np.int64)
+                before = last[end - width[inner], heads[todo[inner]]].astype(np.int64)
                 ok[inner] = self._may_follow(before << 20 | token[inner])
-                last[end, todo[ok]], size[end, todo[ok]] = token[ok], width[ok]
-                todo = todo[~ok]
-                candidate[todo] = self._shorter[candidate[todo]]
+                found[todo[ok]], wide[todo[ok]] = token[ok], width[ok]
+                todo, candidate = todo[~ok], self._shorter[candidate[~ok]]
+            last[end, live], size[end, live], state[live] = found[of], wide[of], here[of]
         rows = np.arange(n)
         at, ids, count = lengths - 1, np.zeros((n, most), "<u4"), np.zeros(n, np.int64)
         while len(rows):  # the pointers back, from the right
@@ -275,7 +282,10 @@ class Tokenizer:
             rows = rows[at[rows] >= 0]
         flat = ids[np.arange(most) >= most - count[:, None]].tobytes()
         ends = (4 * np.cumsum(count)).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        out = [b""] * n
+        for i, x, y in zip(order, [0, *ends], ends, strict=False):
+            out[i] = flat[x:y]
+        return out
 
     def _cut(self, text: str) -> list[str | int]:
         """The text's pieces; an added token is its id."""
@@ -293,20 +303,25 @@ class Tokenizer:
         while part := list(islice(pieces, TOGETHER // 4)):
             yield part
 
-    def _known(self, pieces: set[str | int]) -> dict[str | int, bytes]:
-        """The packed ids of all pieces, some more among them."""
-        if len(self._remembered) > REMEMBERED:  # what was asked for once goes
-            kept = self._again if len(self._again) < REMEMBERED // 2 else set()
-            self._remembered, self._again = self._specials | {p: self._remembered[p] for p in kept}, set()
-        missing = pieces.difference(self._remembered)
-        self._again |= pieces - missing
-        new = list(missing)
-        found = dict(zip(new, self.pieces([p.encode("utf-8", "surrogatepass") for p in new]), strict=True))
-        if max(map(len, new), default=0) <= LONG_PIECE:
-            self._remembered.update(found)
-            return self._remembered
-        self._remembered.update((p, ids) for p, ids in found.items() if len(p) <= LONG_PIECE)
-        return self._remembered | found
+    def _learned(self, pieces: set[str]) -> dict[str | int, bytes]:
+        """The packed ids of pieces that are not known as frequent; those that were asked for before become so."""
+        found = {p: ids for p in pieces if (ids := self._once.pop(p, None)) is not None}
+        if len(self._often) + len(found) > REMEMBERED // 2:
+            self._often = dict(self._specials)
+        self._often.update(found)
+        new = [p for p in pieces if p not in found]
+        more = dict(zip(new, self.pieces([p.encode("utf-8", "surrogatepass") for p in new]), strict=True))
+        if len(self._once) + len(more) > REMEMBERED // 2:
+            self._once = {}
+        self._once.update(more if max(map(len, new), default=0) <= LONG_PIECE else {p: ids for p, ids in more.items() if len(p) <= LONG_PIECE})
+        return found | more
+
+    def _looked_up(self, cut: list[list[str | int]]) -> Iterator[bytes]:
+        """The packed ids of each list of pieces: one look for a frequent piece."""
+        found = [list(map(self._often.get, x)) for x in cut]
+        new = self._learned({p for x, ids in zip(cut, found, strict=True) if None in ids for p, known in zip(x, ids, strict=True) if known is None})
+        for x, ids in zip(cut, found, strict=True):
+            yield b"".join([new[p] if known is None else known for p, known in zip(x, ids, strict=True)] if None in ids else ids)
 
     def packed(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
@@ -316,12 +331,9 @@ class Tokenizer:
                 last = group.pop()
             else:
                 last = None
-            cut = [self._cut(x) for x in group]
-            ids = self._known(set().union(*cut))
-            for x in cut:
-                yield b"".join(map(ids.__getitem__, x))
+            yield from self._looked_up([self._cut(x) for x in group])
             if last is not None:
-                yield b"".join(b"".join(map(self._known(set(part)).__getitem__, part)) for part in self._cut_long(last))
+                yield b"".join(x for part in self._cut_long(last) for x in self._looked_up([part]))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(next(self.packed([text])), "<u4").tolist()
@@ -342,44 +354,42 @@ def _some(texts: Iterator[str]) -> Iterator[str]:
 
 
 class _Pairs:
-    """Whole numbers by keys that are not negative, in numpy arrays: the pairs are looked up many at a time."""
+    """Numbers below 2 ** 22 by keys below 2 ** 41, both in one number of a numpy array: many are looked up at a time."""
 
     def __init__(self, room: int) -> None:
         self.bits = max(12, (2 * room).bit_length())
-        self.key, self.value, self.held = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32), 0
+        self.slots, self.held = np.full(1 << self.bits, -1, np.int64), 0
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """The values, -1 where there is none."""
         at = self._slot(keys)
-        there = self.key[at]
-        out = np.where(there == keys, self.value[at], -1)
-        todo = np.flatnonzero((there != keys) & (there >= 0))
+        there = self.slots[at]
+        out, todo = there & 0x3FFFFF, np.flatnonzero(there >> 22 != keys)
+        out[todo] = -1
+        todo = todo[there[todo] >= 0]
         while len(todo):
             at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
-            there = self.key[at[todo]]
-            hit = there == keys[todo]
-            out[todo[hit]] = self.value[at[todo[hit]]]
+            there = self.slots[at[todo]]
+            hit = there >> 22 == keys[todo]
+            out[todo[hit]] = there[hit] & 0x3FFFFF
             todo = todo[~hit & (there >= 0)]
         return out
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
         """New keys, each once."""
-        if 2 * (self.held + len(keys)) > len(self.key):
-            old = self.key >= 0
-            had, of = self.key[old], self.value[old]
+        if 2 * (self.held + len(keys)) > len(self.slots):
+            had = self.slots[self.slots >= 0]
             self.__init__(2 * (self.held + len(keys)))
-            self.add(had, of)
+            self.add(had >> 22, had & 0x3FFFFF)
         self.held += len(keys)
-        at, todo = self._slot(keys), np.arange(len(keys))
+        both, at, todo = keys << 22 | values, self._slot(keys), np.arange(len(keys))
         while len(todo):
-            free = todo[self.key[at[todo]] < 0]
-            self.key[at[free]] = keys[free]  # of those for one slot the last gets it
-            got = self.key[at[todo]] == keys[todo]
-            self.value[at[todo[got]]] = values[todo[got]]
-            todo = todo[~got]
+            free = todo[self.slots[at[todo]] < 0]
+            self.slots[at[free]] = both[free]  # of those for one slot the last gets it
+            todo = todo[self.slots[at[todo]] != both[todo]]
             at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from loomline.llm import bpe
@@ -58,3 +59,15 @@ def test_frame(spark, pair):
     back = bpe.decode(bpe.encode(docs, path), path)
     assert sorted(r.text for r in back.collect()) == ["", "", "hello world", "hello world"]
     assert bpe.digests(docs.limit(0), path).count() == 0
+
+
+def test_beginnings_in_common_are_worked_out_once(pair, monkeypatch):
+    """Not once for each piece that has them; also where one piece is another's beginning or bytes are zero."""
+    ours, theirs = pair
+    words = ["unconventional" + a + b for a in "abcdefgh" for b in ("", "x", "yz", "\x00")]
+    steps, done = ours._steps, []
+    monkeypatch.setattr(ours, "_steps", lambda state, byte: done.append(len(state)) or steps(state, byte))
+    got = ours.pieces([w.encode() for w in words])
+    one = [ours.piece(w.encode()) for w in words]
+    assert got == one and all(theirs.encode(w, add_special_tokens=False).ids == np.frombuffer(x, "<u4").tolist() for w, x in zip(words, one, strict=True) if "\x00" not in w)
+    assert sum(done) == len({w[:n] for w in words for n in range(1, len(w) + 1)})
