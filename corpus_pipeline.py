@@ -6,7 +6,7 @@ next stage's docs. All but the last return the columns of documents; n_chars fol
 * ``language_id`` drops documents without a language: those whose text is null or has no letter, and those of which no
   language is as likely as all others together.
 * ``near_dedup`` keeps, of each group of near copies (five-word shingles, similarity 0.8 or more), the one with
-  the smallest doc_id.
+  the smallest doc_id; candidates come from SimHash fingerprints within 3 bits, and from bands of minima.
 * ``suffix_dedup`` cuts passages of 50 bytes or more that an earlier document has.
 * ``secret_scan`` masks secrets.
 * ``best_fit_packing`` packs what is left into sequences of 2048 tokens.

@@ -11,10 +11,11 @@ spanning forest of the links, never all pairs. A bucket of more than ``limit`` d
 compared but dealt again by more of the bits that its mask has left (exact again), so hot groups spread out.
 Components are found by alternating large-star and small-star contraction on written tables.
 
-``deduplicated`` is about the Jaccard similarity of sets of distinct shingles, for which fingerprints at a distance
-are too vague. Candidates are chained by equal bands of MinHash minima, which miss a pair of similarity s with a
-probability of (1 - s ** rows) ** bands (0.8: 0.00015); within a chained cluster sets are compared exactly, whatever
-its size, up to the 64 bits of a shingle's hash.
+``deduplicated`` is about the Jaccard similarity of sets of distinct shingles. Candidates are chained by the links of
+the sets' fingerprints, as above. At a similarity near 0.8 fingerprints differ in more bits than blocks can bridge, so
+equal bands of MinHash minima chain as well; they miss a pair of similarity s with a probability of
+(1 - s ** rows) ** bands (0.8: 0.00015). Within a chained cluster sets are compared exactly, whatever its size, up to
+the 64 bits of a shingle's hash.
 
 Defined results: null and blank texts have fingerprint zero and are linked like any others; fewer words than a
 shingle make one shingle; repeated rows with the same doc_id count once as a node; null doc_ids are left as
@@ -64,6 +65,7 @@ class Near:
     block: int = 256  # documents of a cluster that are compared with each other at once
     bands: int = 48
     rows: int = 8  # minima of a band
+    scheme: Scheme = Scheme(shingle=5)  # of the fingerprints
 
     def recall(self, similarity: float) -> float:
         """The share of the pairs of that similarity that have a band in common."""
@@ -85,8 +87,12 @@ def hashed_shingles(text: str | None, k: int) -> np.ndarray:
 
 def fingerprint(text: str | None, scheme: Scheme) -> np.ndarray:
     """The fingerprint as unsigned 64-bit words, the lowest bits first."""
+    return _majority(hashed_shingles(text, scheme.shingle), scheme)
+
+
+def _majority(h: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """The bits that are set in over half the hashes."""
     out = np.zeros(scheme.words, np.uint64)
-    h = hashed_shingles(text, scheme.shingle)
     if not len(h):
         return out
     for w in range(scheme.words):
@@ -410,7 +416,8 @@ def _bands(near: Near, h: np.ndarray, by: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, near: Near) -> DataFrame:
-    """doc_id, c0, c1, bands: equal sets of distinct shingles have equal c0 and c1; a blank text has no bands."""
+    """doc_id, c0, c1, bands and the fingerprint's words: equal sets of distinct shingles have equal c0 and c1; a blank text has no bands."""
+    names = [f"f{i}" for i in range(near.scheme.words)]
     by = np.random.default_rng(near.bands * near.rows).integers(0, 1 << 63, near.bands * near.rows, np.uint64) * np.uint64(2) + np.uint64(1)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,13 +425,17 @@ def sketches(docs: DataFrame, near: Near) -> DataFrame:
             sets = [np.unique(hashed_shingles(x.as_py(), near.shingle)).astype("<u8") for x in b.column(1)]
             same = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h.tobytes()) for h in sets), np.int64).reshape(-1, 2)
             bands = pa.array([_bands(near, h, by).view(np.int64) if len(h) else [] for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same[:, 0]), pa.array(same[:, 1]), bands], ["doc_id", "c0", "c1", "bands"])
+            f = np.array([_majority(h, near.scheme) for h in sets], np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same[:, 0]), pa.array(same[:, 1]), bands, *(pa.array(f[:, i]) for i in range(len(names)))], ["doc_id", "c0", "c1", "bands", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(made), "doc_id long, c0 long, c1 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(made), "doc_id long, c0 long, c1 long, bands array<long>, " + ", ".join(f"{n} long" for n in names))
 
 
-def clusters(classes: DataFrame) -> DataFrame:
-    """(doc_id, cluster) of the classes (rep, bands) that common bands chain together, named by the smallest."""
+def clusters(classes: DataFrame, scheme: Scheme) -> DataFrame:
+    """(doc_id, cluster) of the classes (rep, bands, f0, ...) that links of fingerprints and common bands chain together, named by the smallest."""
+    names = [f"f{i}" for i in range(scheme.words)]
+    marked = classes.where(F.size("bands") > 0)
+    alike = links(stored(marked.groupBy(*names).agg(F.min("rep").alias("rep"))), scheme)
 
     def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, pivot = None, 0
@@ -438,17 +449,19 @@ def clusters(classes: DataFrame) -> DataFrame:
             open_key, pivot = key[-1], to[-1]
             yield pa.RecordBatch.from_arrays([pa.array(x[rep != to]) for x in (rep, to)], ["a", "b"])
 
-    keys = classes.select(F.explode("bands").alias("key"), "rep").repartition(partitions(classes.sparkSession), "key").sortWithinPartitions("key", "rep")
-    found = stored(components(keys.mapInArrow(lean(starred), "a long, b long")))
+    every = marked.select(F.explode(F.array_append("bands", F.xxhash64(*names))).alias("key"), "rep")  # an equal fingerprint is one more key
+    keys = every.repartition(partitions(classes.sparkSession), "key").sortWithinPartitions("key", "rep")
+    found = stored(components(keys.mapInArrow(lean(starred), "a long, b long").unionByName(alike)))
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).unionByName(found.select(F.col("component").alias("doc_id"), F.col("component").alias("cluster")).distinct())
 
 
 def deduplicated(docs: DataFrame, near: Near = NEAR) -> DataFrame:
     """docs without the documents that similar pairs connect with a smaller doc_id; all columns stay."""
     made = stored(sketches(docs, near).where(F.col("doc_id").isNotNull()))
-    classes = stored(made.groupBy("c0", "c1").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
+    marks = ["bands", *(f"f{i}" for i in range(near.scheme.words))]
+    classes = stored(made.groupBy("c0", "c1").agg(F.min("doc_id").alias("rep"), *(F.min_by(c, "doc_id").alias(c) for c in marks)))
     copies = made.select("doc_id", "c0", "c1").join(classes.select("c0", "c1", "rep"), ["c0", "c1"]).where("doc_id <> rep").select("doc_id")
-    found = components(similar(docs, clusters(classes), near))
+    found = components(similar(docs, clusters(classes, near.scheme), near))
     name = free(docs, "_gone")
     gone = copies.unionByName(found.select(F.col("node").alias("doc_id"))).select(F.col("doc_id").alias(name)).distinct()
     return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")

@@ -141,3 +141,16 @@ def test_all_pairs_just_above_the_similarity_are_linked(spark):
     for block in (256, 5):
         got = {r.node: r.component for r in simhash.components(simhash.similar(df, members, simhash.Near(block=block))).collect()}
         assert [got.get(i, i) for i in range(60)] == low and 2 < len(set(low)) < 59
+
+
+def test_near_copies_are_linked_by_fingerprints(spark):
+    """Where bands of minima can't meet, near copies whose fingerprints differ in up to 3 bits go all the same; others stay."""
+    rng = random.Random(8)
+    docs = [["w%d" % rng.randrange(5000) for _ in range(3000)] for _ in range(12)]
+    docs += [changed(rng, d, 1) for d in docs]
+    near = simhash.Near(bands=1, rows=2000)
+    prints = [int(simhash.fingerprint(" ".join(d), near.scheme)[0]) for d in docs]
+    gone = {12 + i for i in range(12) if (prints[i] ^ prints[12 + i]).bit_count() <= 3}
+    assert len(gone) > 3
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.deduplicated(df, near).collect()} == set(range(24)) - gone
