@@ -78,3 +78,24 @@ def test_long_documents_are_read_in_linear_time(spark):
     df = spark.range(1).selectExpr("id", "repeat('// a comment\n/* b\n*/\n', 200000) as text")
     assert lines.comments(df, "id").count() == 400_000
     assert lines.offsets(df, "id").agg({"start": "max"}).first()[0] == 200_000 * 21
+
+
+def test_a_closure_reads_no_pair_table_again(spark, monkeypatch):
+    """A round's table has a row for each file, not for each pair; files are scanned once; roots, chains and cycles as before."""
+    n = 12
+    edges = spark.createDataFrame([(f"f{i}", 1, "x", f"f{i + 1}") for i in range(n)] + [(f"f{n}", 1, "x", f"f{n - 1}")], "location string, line int, name string, target string")
+    rows, stored = [], includes.stored
+
+    def counted(df):
+        out = stored(df)
+        if "header" in out.columns or "levels" in out.columns:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(includes, "stored", counted)
+    reach = {(r.source, r.header): r.depth for r in includes.closure(edges).collect()}
+    want = {(f"f{i}", f"f{j}"): j - i for i in range(n + 1) for j in range(i + 1, n + 1)} | {(f"f{n}", f"f{n - 1}"): 1, (f"f{n}", f"f{n}"): 2, (f"f{n - 1}", f"f{n - 1}"): 2}
+    assert reach == want
+    assert rows and max(rows) <= n + 1
+    some = includes.closure(edges, spark.createDataFrame([("f9",), ("f11",), ("none",)], "location string"))
+    assert {(r.source, r.header): r.depth for r in some.collect()} == {k: v for k, v in want.items() if k[0] in ("f9", "f11")}
