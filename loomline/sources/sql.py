@@ -24,6 +24,7 @@ from loomline.operators import extract, fragments
 
 #: What a lateral call gives of an element; ids are expressions over these (``functions.keys``).
 ELEMENTS = "type string, name string, line int, col int, end_line int, end_col int, level int, parent_type string, parent_name string, is_defined boolean, condition string, owner string, code string"
+_NAMES = tuple(part.split()[0] for part in ELEMENTS.split(", "))
 FRAGMENTS = "idx int, start int, stop int, code string"
 
 
@@ -32,9 +33,8 @@ class Elements:
     """The elements of one file; none of a null or of one that can't be read."""
 
     def eval(self, location: str, code: str) -> Iterator[tuple]:
-        names = [part.split()[0] for part in ELEMENTS.split(", ")]
-        for e in extract.scan(code, location or "")[0] if code else []:
-            yield tuple(e.get(n) for n in names)
+        for e in extract.scan(code, location or "", signatures=False)[0] if code else []:
+            yield tuple(e.get(n) for n in _NAMES)
 
 
 @udtf(returnType=FRAGMENTS)

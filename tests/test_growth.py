@@ -53,3 +53,22 @@ def test_responses_are_split_once(spark):
     out = docs.select("id", T.clean_response(F.col("text")).alias("y"))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert sorted((r.id, r.y) for r in out.collect()) == [(1, "@brief a\n b\nc\n@return"), (2, None), (3, "")]
+
+
+def test_parameters_are_read_only_if_asked_for(spark, monkeypatch):
+    """Names, places and return types are the same without them."""
+    from loomline.operators import cpp, extract
+
+    code = "#if A\nint f(int a)\n#else\nint f(char b)\n#endif\n{ return 0; }\nstruct S { S(int x = 1); ~S(); auto g(int) -> long; static int n; };\nvoid S::h(const char *p) const {}\nexplicit(true) operator bool();\n"
+    whole = extract.scan(code, "a.h")[0]
+    read = []
+    parameter = cpp.Scanner.parameter
+    monkeypatch.setattr(cpp.Scanner, "parameter", lambda self, head, a, b: read.append(head.text(a, b)) or parameter(self, head, a, b))
+    bare = extract.scan(code, "a.h", signatures=False)[0]
+    assert read == ["int a", "char b"]  # two heads of one body are told apart by them
+    cut = lambda rows: [({k: v for k, v in e.items() if k not in ("signature", "rich")}, (e.get("signature") or {}).get("return_type")) for e in rows]
+    assert cut(bare) == cut(whole) and sum(e["name"] == "f" for e in bare) == 2
+    files = spark.createDataFrame([("a.h", code)], "location string, code string")
+    out = extract.elements(files, repeated=False, columns=("name", "signature.return_type"))
+    assert out.schema["signature"].dataType.names == ["return_type"]
+    assert [(r.name, r.signature and r.signature.return_type) for r in out.collect()] == [(e["name"], e.get("signature") and e["signature"]["return_type"]) for e in whole]
