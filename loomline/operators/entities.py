@@ -74,9 +74,17 @@ def zip_back(requests: DataFrame, responses: DataFrame, index: str) -> DataFrame
     return requests.join(responses, index, "left").withColumn("response", F.coalesce("response", F.lit("")))
 
 
+#: Children that a task nests, about; a key's own children stay together.
+_NESTED = 250_000
+
+
 def attach(parents: DataFrame, children: DataFrame, key: str, record: Column, order: str) -> DataFrame:
-    """Parents with their children as an ordered array; parents that only children name are made."""
-    nested = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("ord"), record.alias("item")))).alias("_items"))
+    """Parents with their children as an ordered array; parents that only children name are made.
+
+    children are counted first, so that more of them are more tasks, not larger ones.
+    """
+    tasks = max(children.sparkSession.sparkContext.defaultParallelism, children.count() // _NESTED + 1)
+    nested = children.repartition(tasks, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("ord"), record.alias("item")))).alias("_items"))
     out = parents.join(nested, key, "full_outer")
     return out.withColumn("children", F.transform(F.coalesce("_items", F.array()), lambda x: x["item"])).drop("_items")
 

@@ -72,3 +72,20 @@ def test_parameters_are_read_only_if_asked_for(spark, monkeypatch):
     out = extract.elements(files, repeated=False, columns=("name", "signature.return_type"))
     assert out.schema["signature"].dataType.names == ["return_type"]
     assert [(r.name, r.signature and r.signature.return_type) for r in out.collect()] == [(e["name"], e.get("signature") and e["signature"]["return_type"]) for e in whole]
+
+
+def test_more_children_are_more_tasks(spark, monkeypatch):
+    """A task nests about so many; classes are read once for their own pairs and their methods'."""
+    from loomline.operators import entities
+
+    monkeypatch.setattr(entities, "_NESTED", 10)
+    items = spark.range(1000).select((F.col("id") % 50).alias("k"), "id")
+    out = entities.attach(items.select("k").distinct(), items, "k", F.struct(F.col("id").cast("string").alias("name"), F.lit("c").alias("code")), "id")
+    assert "hashpartitioning(k" in out._jdf.queryExecution().toString() and ", 101)" in out._jdf.queryExecution().toString()
+    assert sum(len(r.children) for r in out.collect()) == 1000
+    classes = out.select(F.col("k").cast("string").alias("name"), F.lit("d").alias("declaration"), F.col("children").alias("methods"))
+    pairs = instructions.nested_pairs(classes)
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Range") == classes._jdf.queryExecution().optimizedPlan().toString().count("Range")
+    assert pairs.count() == 1050 and pairs.where("ord = 0 AND output = 'd'").count() == 50
+    bare = spark.createDataFrame([("A", None, None), ("B", "b", [])], "name string, declaration string, methods array<struct<name:string,code:string>>")
+    assert sorted((r.name, r.ord, r.output) for r in instructions.nested_pairs(bare).collect()) == [("A", 0, ""), ("B", 0, "b")]
