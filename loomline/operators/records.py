@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,26 +27,42 @@ def previous_end(found: DataFrame) -> DataFrame:
 
 #: What the instruction pairs are made of, besides ids, places and the columns that ``records`` adds.
 PAIRS = ("type", "name", "location", "line", "parent_type", "parent_name", "code")
-#: What ``records`` itself reads.
-_READ = ("location", "line", "end_line", "start", "stop")
+#: What ``records`` adds to elements.
+_BESIDE = "prev_end_line int, context_before array<string>, context_after array<string>, comments array<string>, docstrings array<string>"
+
+
+def _identity(kind: str, name: str | None, line: int, col: int) -> tuple:
+    """What ``keys.element_id`` tells elements of one file apart by."""
+    return (kind.upper(), name, line, col) if name else (kind.upper()[:5], None, line, col)
+
+
+def _surroundings(code: str, found: list[dict]) -> None:
+    """E25, E27, E28, J6, J7b for a file's elements: where the one before ends (as ``previous_end``), context, comments and documentation."""
+    if not found:
+        return
+    rows, comments = code.split("\n"), list(lines.found_comments(code))
+    at = [c[0] for c in comments]
+    here = {_identity(e["type"], e["name"], e["line"], e["col"]) for e in found}
+    ends: dict[tuple | None, int] = {}
+    bare = lambda part: [] if (out := [x.strip(T.BLANK) for x in part]) == [""] else out
+    for e in sorted(found, key=lambda e: (e["start"], e["stop"])):
+        line, up = e["line"], e.get("parent_line")
+        parent = None if up is None else _identity(e["parent_type"], e["parent_name"], up, e["parent_col"])
+        last = ends.get(parent, up if parent in here else None)
+        ends[parent] = max(e["end_line"], ends.get(parent, e["end_line"]))
+        near = [] if last is None else [c[2] for c in comments[bisect_left(at, last) : bisect_left(at, line)]]
+        documents = [x.lstrip(T.BLANK).startswith(T.DOCUMENTATION) for x in near]
+        e["prev_end_line"], e["context_before"], e["context_after"] = last, bare(rows[max(line - 4, 0) : line - 1]), bare(rows[line - 1 : line + 2])
+        e["comments"], e["docstrings"] = ([x for x, d in zip(near, documents, strict=True) if d == which] for which in (False, True))
 
 
 def records(files: DataFrame, repeated: bool = True, columns: tuple[str, ...] | None = None) -> DataFrame:
-    """Files (location, code) -> elements with context_before, context_after (arrays), comments and docstrings (arrays, in order).
+    """Files (location, code) -> elements with prev_end_line, context_before, context_after (arrays), comments and docstrings (arrays, in order).
 
-    ``repeated`` and ``columns`` are those of ``extract.elements``.
-    The scanner runs once; its elements are a stored table. Context comes by an equi-join on the line, comments by one on
-    the file and a block of lines.
+    ``repeated`` and ``columns`` are those of ``extract.elements``. All is found where a file is scanned: nothing is stored,
+    and nothing shuffled unless locations are repeated.
     """
-    found = stored(previous_end(stored(extract.elements(files, repeated=repeated, columns=None if columns is None else (*columns, *_READ)))))  # each is read several times
-    around = lines.with_context(files, "location", text="code").withColumnRenamed("line_no", "line")
-    split = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(T.lines(F.col(c)))
-    out = found.join(around, ["location", "line"], "left").withColumns({c: split(c) for c in ("context_before", "context_after")})
-    near = lines.comments_before(found.select("id", "location", "line", "prev_end_line"), lines.comments(files, "location", text="code").select("location", "line_no", F.col("text").alias("comment"), "class"))
-    pick = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("class") == kind, F.struct("comment_line", "comment")))), lambda x: x["comment"])
-    texts = near.groupBy("id").agg(pick("comment").alias("comments"), pick("docstring").alias("docstrings"))
-    none = F.array().cast("array<string>")
-    return out.join(texts, "id", "left").withColumns({c: F.coalesce(c, none) for c in ("comments", "docstrings")})
+    return extract.elements(files, repeated=repeated, columns=columns, beside=(_BESIDE, _surroundings))
 
 
 def documented(code: DataFrame) -> DataFrame:
