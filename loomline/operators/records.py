@@ -61,13 +61,13 @@ def _surroundings(code: str, found: list[dict]) -> None:
         e["comments"], e["docstrings"] = ([x for x, d in zip(near, documents, strict=True) if d == which] for which in (False, True))
 
 
-def records(files: DataFrame, repeated: bool = True, columns: tuple[str, ...] | None = None) -> DataFrame:
+def records(files: DataFrame, repeated: bool = True, columns: tuple[str, ...] | None = None, strict: bool = True) -> DataFrame:
     """Files (location, code) -> elements with prev_end_line, context_before, context_after (arrays), comments and docstrings (arrays, in order).
 
-    ``repeated`` and ``columns`` are those of ``extract.elements``. All is found where a file is scanned: nothing is stored,
-    and nothing shuffled unless locations are repeated.
+    ``repeated``, ``columns`` and ``strict`` are those of ``extract.elements``: a file that the scanner fails on ends the run.
+    All is found where a file is scanned: nothing is stored, and nothing shuffled unless locations are repeated.
     """
-    return extract.elements(files, repeated=repeated, columns=columns, beside=(_BESIDE, _surroundings))
+    return extract.elements(files, repeated=repeated, columns=columns, beside=(_BESIDE, _surroundings), strict=strict)
 
 
 def documented(code: DataFrame) -> DataFrame:
