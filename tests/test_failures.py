@@ -43,3 +43,9 @@ def test_doc_pairs_end_at_a_failure(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "_synthetic_files", poisoned(catalogue._synthetic_files))
     with pytest.raises(PySparkException, match="src/[0-9]+.cpp: not read: "):
         catalogue.QUERIES["doc_pairs"](spark, SF).collect()
+
+
+def test_element_records_end_at_a_failure(spark, monkeypatch):
+    monkeypatch.setattr(catalogue, "_synthetic_files", poisoned(catalogue._synthetic_files))
+    with pytest.raises(PySparkException, match="src/[0-9]+.cpp: not read: "):
+        catalogue.QUERIES["element_records"](spark, SF).collect()
