@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from loomline.operators import extract, records
-from loomline.plans import catalogue
+from loomline.plans import catalogue, projects
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +49,18 @@ def test_element_records_end_at_a_failure(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "_synthetic_files", poisoned(catalogue._synthetic_files))
     with pytest.raises(PySparkException, match="src/[0-9]+.cpp: not read: "):
         catalogue.QUERIES["element_records"](spark, SF).collect()
+
+
+def test_using_directives_end_at_a_failure(spark, monkeypatch):
+    monkeypatch.setattr(projects, "_named_files", poisoned(projects._named_files))
+    with pytest.raises(PySparkException, match="[lu]/[0-9]+.(h|cpp): not read: "):
+        catalogue.QUERIES["using_directives"](spark, SF).collect()
+
+
+def test_documents_without_text_have_their_files(spark, tmp_path):
+    """As in the SQL, which reads no text."""
+    spark.createDataFrame([(1, "some */ text"), (2, None), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in catalogue.QUERIES["using_directives"](spark, str(tmp_path)).collect())
+    assert got == [(f"u/{n}.cpp", 2, f"lib{n}", f"lib{n}", f"l/{n}.h") for n in (1, 2, 3)]
+    owned = catalogue.QUERIES["resolved_names"](spark, str(tmp_path)).groupBy("location").count().collect()
+    assert sorted(map(tuple, owned)) == [(f"u/{n}.cpp", 8) for n in (1, 2, 3)]
